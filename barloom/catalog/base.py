@@ -7,7 +7,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans import factors as plan
 from ..sources import tables as src
+from ..sources.statements import fundamentals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +45,22 @@ class Inputs:
     def statements(self) -> DataFrame:
         return src.statement_lines(self.spark, self.folder)
 
+    @cached_property
+    def fund(self) -> DataFrame:
+        return fundamentals(self.statements)
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        return plan.factor_table(self.bars, self.bench, self.fund, bound=self.bound)
+
+    @cached_property
+    def dataset(self) -> DataFrame:
+        return plan.dataset(self.bars, self.bench, (5, 10, 20))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return plan.signals(self.bars, self.bench, bound=self.bound)
+
     @cached_property
     def bound(self) -> int | None:
         return src.series_bound(self.spark, self.folder)
@@ -171,3 +189,83 @@ block("fund", "yearly", """SELECT sym, make_date(fy, 12, 31) AS fy_end,
     ni / nullif(lag(ni) OVER (PARTITION BY sym ORDER BY fy), 0) - 1 AS earn_growth,
     ni / nullif(rev, 0) AS profit_margin
   FROM yearly""")
+
+MOM = div(lag("close", 21), lag("close", 252)) + " - 1"
+RANKED = plan.RANKED
+
+block("feat0", "bars bench", f"""SELECT bars.*, bench, volume * close AS vc, {ret(20)} AS ret_20,
+    {MOM} AS mom_12_1, {ret(126)} AS mom_6m,
+    deliv_pct - {roll('avg', 'deliv_pct', 20, 5)} AS deliv_chg20, {fwd(30)} AS fwd_ret
+  FROM bars LEFT JOIN bench USING (date)""")
+block("feat", "feat0", f"""SELECT *, -ret_20 AS rev, {roll('avg', 'vc', 20)} AS liq,
+    deliv_pct * ret_20 AS deliv_x_ret, fwd_ret - {fwd(30, 'bench')} AS fwd_excess FROM feat0""")
+block("fact0", "feat fund", """SELECT f.* EXCLUDE (bench, vc, fwd_ret), avail_date, eps, roe,
+    earn_growth, profit_margin, eps / nullif(close, 0) AS earn_yield
+  FROM feat f ASOF LEFT JOIN fund u ON f.sym = u.sym AND f.date >= u.avail_date
+  WHERE f.sym IN (SELECT sym FROM fund)""")
+block("fact1", "fact0", "SELECT *, " + ", ".join(f"{prank(f)} AS rank_{f}" for f in RANKED)
+      + " FROM fact0")
+block("fact2", "fact1", """SELECT *, (rank_mom_12_1 + rank_rev) / 2 AS score_mr,
+    (rank_rev + (1 - rank_deliv_x_ret) + rank_earn_yield) / 3 AS score_fund3 FROM fact1""")
+block("factors", "fact2", f"""SELECT *, {prank('score_mr')} AS rank_score_mr,
+    {prank('score_fund3')} AS rank_score_fund3 FROM fact2""")
+block("ds0", "bars", f"""SELECT *, volume * close AS vc, {ret(20)} AS ret_20, {MOM} AS mom_12_1,
+    {ret(126)} AS mom_6m, {fwd(5)} AS fwd_5, {fwd(10)} AS fwd_10, {fwd(20)} AS fwd_20,
+    count(close) OVER (PARTITION BY sym) AS nb FROM bars""")
+block("ds1", "ds0", f"SELECT *, {roll('avg', 'vc', 20)} AS liq FROM ds0")
+block("ds", "ds1 bench", """SELECT ds1.*, fwd_5 - b5 AS exc_5, fwd_10 - b10 AS exc_10, fwd_20 - b20 AS exc_20
+  FROM ds1 LEFT JOIN (SELECT date, lead(bench, 5) OVER w / bench - 1 AS b5,
+      lead(bench, 10) OVER w / bench - 1 AS b10, lead(bench, 20) OVER w / bench - 1 AS b20
+    FROM bench WINDOW w AS (ORDER BY date)) USING (date)
+  WHERE nb >= 300 AND mom_12_1 IS NOT NULL AND mom_6m IS NOT NULL AND ret_20 IS NOT NULL
+    AND liq IS NOT NULL""")
+block("bfwd", "bench", """SELECT date, lead(bench, 10) OVER (ORDER BY date) / bench - 1 AS bench_fwd
+  FROM bench""")
+block("sig0", "bars bfwd", f"""SELECT sym, date, close, -{ret(20)} AS rev, {fwd(10)} AS fwd_ret,
+    {fwd(10)} - bench_fwd AS fwd_excess FROM bars LEFT JOIN bfwd USING (date)
+  QUALIFY rev IS NOT NULL AND fwd_excess IS NOT NULL""")
+block("signals", "sig0", f"""SELECT *, {prank('rev')} AS proba, CAST(fwd_excess > 0 AS INTEGER) AS label,
+    CAST(year(date) AS INTEGER) AS fold FROM sig0""")
+
+
+def ic_blocks(name: str, src: str, factors, target: str, min_n: int, where: str = "TRUE",
+              sign=None) -> None:
+    """Register <name>: (date, factor, ic, n)."""
+    sign = sign or {}
+    union = " UNION ALL ".join(
+        f"SELECT date, '{f}' AS factor, {'-' if sign.get(f, 1) < 0 else ''}{f} AS x, {target} AS y "
+        f"FROM {src} WHERE {f} IS NOT NULL AND {target} IS NOT NULL AND {where}" for f in factors)
+    block(name + "_l", src, union)
+    block(name + "_r", name + "_l", f"SELECT *, {prank('x', 'date, factor')} AS rx, "
+                                    f"{prank('y', 'date, factor')} AS ry FROM {name}_l")
+    block(name, name + "_r", f"""SELECT date, factor, ic, n FROM (
+      SELECT date, factor, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic,
+        count(*) AS n FROM {name}_r GROUP BY 1, 2) WHERE n >= {min_n} AND ic IS NOT NULL""")
+
+
+def tests_blocks(name: str, src: str, key: str, order: str, x: str, horizon: int,
+                 lags: str | None = None) -> None:
+    """Register <name>: mean, n, t_naive, t_hac, t_nonoverlap, ... per key."""
+    block(name + "_d", src, f"""SELECT {key}, {x} AS x, row_number() OVER w AS i,
+      count(*) OVER (PARTITION BY {key}) AS n, {x} - avg({x}) OVER (PARTITION BY {key}) AS d
+      FROM {src} WHERE {x} IS NOT NULL WINDOW w AS (PARTITION BY {key} ORDER BY {order})""")
+    lag_expr = lags or str(max(1, 2 * horizon - 1))
+    block(name + "_g", name + "_d", f"""SELECT a.{key}, b.i - a.i AS k, sum(a.d * b.d) / max(a.n) AS g,
+      max(a.n) AS n, greatest(0, least(max({lag_expr.replace('n', 'a.n') if lags else lag_expr}),
+        max(a.n) - 2)) AS lags
+      FROM {name}_d a JOIN {name}_d b ON a.{key} = b.{key} AND b.i >= a.i GROUP BY 1, 2""")
+    block(name + "_h", name + "_g", f"""SELECT {key}, max(n) AS n, max(lags) AS lags,
+      sum(CASE WHEN k = 0 THEN g WHEN k <= lags THEN 2.0::DOUBLE * (1.0::DOUBLE - k / (lags + 1.0::DOUBLE)) * g
+        ELSE 0 END) AS v FROM {name}_g GROUP BY 1""")
+    block(name + "_se", name + "_h", f"""SELECT {key}, n, lags,
+      CASE WHEN n >= 3 AND v > 0 THEN sqrt(v / n) END AS hac_se FROM {name}_h""")
+    block(name + "_b", name + "_d", f"""SELECT {key}, avg(x) AS mean, count(x) AS n, stddev_samp(x) AS sd,
+      avg(x) FILTER ((i - 1) % {horizon} = 0) AS sm, count(x) FILTER ((i - 1) % {horizon} = 0) AS sn,
+      stddev_samp(x) FILTER ((i - 1) % {horizon} = 0) AS ss FROM {name}_d GROUP BY 1""")
+    block(name, f"{name}_b {name}_se", f"""SELECT b.{key}, mean, b.n,
+      round_even(b.n / {horizon}.0::DOUBLE, 1) AS n_effective,
+      CASE WHEN b.n >= 3 THEN mean / nullif(sd / sqrt(b.n), 0) END AS t_naive,
+      CASE WHEN b.n >= 3 THEN mean / nullif(hac_se, 0) END AS t_hac,
+      CASE WHEN b.n >= 3 AND sn >= 3 THEN sm / nullif(ss / sqrt(sn), 0) END AS t_nonoverlap,
+      CASE WHEN b.n >= 3 THEN (mean / nullif(sd / sqrt(b.n), 0)) / nullif(mean / nullif(hac_se, 0), 0)
+        END AS inflation FROM {name}_b b JOIN {name}_se s ON b.{key} = s.{key}""")

@@ -149,6 +149,9 @@ def quantile_table(df: DataFrame, value: str, qs: Sequence[float], by: str | Seq
     if fits(bound):
         return (df.where(F.col(value).isNotNull()).groupBy(*by)
                 .agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in qs])).alias("q")))
+    if not by:
+        whole = quantile_table(df.withColumn("_all", F.lit(0)), value, qs, "_all", None, range_cells)
+        return whole.drop("_all")
     rows = df.where(F.col(value).isNotNull()).select(*by, value)
     counts = _value_counts(rows, by, value, None, range_cells)
     last = F.col("ties_below") + F.col("ties") - 1

@@ -6,7 +6,7 @@ the partitioning or a task retry; ratios turn to double only after the sums.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
@@ -99,12 +99,15 @@ def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
         .agg((F.sum(F.col("cents") * (100 - F.col("disc"))) / 10000.0).alias("ni"),
              (F.sum("cents") / 100.0).alias("rev"), F.sum("qty").cast("double").alias("qty")))
     period = F.make_date("fy", F.lit(12), F.lit(31)).alias("period")
+    def line(statement: str, item: str, value: Column) -> Column:
+        return F.struct(F.lit(statement).alias("statement"), F.lit(item).alias("item"),
+                        value.alias("value"))
+
     items = F.array(
-        F.struct(F.lit("income").alias("statement"), F.lit("Net Income Common Stockholders")
-                 .alias("item"), F.col("ni").alias("value")),
-        F.struct(F.lit("income"), F.lit("Operating Revenue"), F.col("rev")),
-        F.struct(F.lit("income"), F.lit("Basic EPS"), F.col("ni") / F.col("qty")),
-        F.struct(F.lit("balance"), F.lit("Common Stock Equity"), F.col("rev") * 0.5))
+        line("income", "Net Income Common Stockholders", F.col("ni")),
+        line("income", "Operating Revenue", F.col("rev")),
+        line("income", "Basic EPS", F.col("ni") / F.col("qty")),
+        line("balance", "Common Stock Equity", F.col("rev") * 0.5))
     return yearly.select("sym", period, F.inline(items))
 
 
