@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeseries", "crosssection")
+MODULES = ("timeseries", "crosssection", "aggregates", "statistics")
 
 
 def load():

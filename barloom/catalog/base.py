@@ -205,8 +205,8 @@ block("fact0", "feat fund", """SELECT f.* EXCLUDE (bench, vc, fwd_ret), avail_da
   WHERE f.sym IN (SELECT sym FROM fund)""")
 block("fact1", "fact0", "SELECT *, " + ", ".join(f"{prank(f)} AS rank_{f}" for f in RANKED)
       + " FROM fact0")
-block("fact2", "fact1", """SELECT *, (rank_mom_12_1 + rank_rev) / 2 AS score_mr,
-    (rank_rev + (1 - rank_deliv_x_ret) + rank_earn_yield) / 3 AS score_fund3 FROM fact1""")
+block("fact2", "fact1", """SELECT *, round((rank_mom_12_1 + rank_rev) / 2, 12) AS score_mr,
+    round((rank_rev + (1 - rank_deliv_x_ret) + rank_earn_yield) / 3, 12) AS score_fund3 FROM fact1""")
 block("factors", "fact2", f"""SELECT *, {prank('score_mr')} AS rank_score_mr,
     {prank('score_fund3')} AS rank_score_fund3 FROM fact2""")
 block("ds0", "bars", f"""SELECT *, volume * close AS vc, {ret(20)} AS ret_20, {MOM} AS mom_12_1,

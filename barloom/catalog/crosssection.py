@@ -112,12 +112,13 @@ def _(t):
 
 
 block("liqrev", "ds", f"""SELECT *, {prank('liq')} AS rank_liq, 1 - {prank('ret_20')} AS rank_rev,
-  {prank('liq')} + (1 - {prank('ret_20')}) AS score FROM ds""")
+  round({prank('liq')} + (1 - {prank('ret_20')}), 12) AS score FROM ds""")
 
 
 def liquidity_reversal(t):
     df = xs.rank_pct(t.dataset, {"rank_liq": "liq", "_r": "ret_20"}, bound=t.bound)
-    return df.withColumn("rank_rev", 1 - c("_r")).withColumn("score", c("rank_liq") + c("rank_rev"))
+    return df.withColumn("rank_rev", 1 - c("_r")).withColumn(
+        "score", F.round(c("rank_liq") + c("rank_rev"), xs.TIE_DIGITS))
 
 
 @query("XS-5_liquidity_reversal", sql("liqrev", f"SELECT sym, date, {r('rank_liq; rank_rev; score')}"
@@ -160,7 +161,7 @@ def chosen_composite(data, ranks, min_names, min_dates, bound):
     data = data.withColumn("_best", best.scalar())
     picked = F.coalesce(*[F.when(c("_best.factor") == f, c(ranks[f])) for f in plan.FUNDAMENTAL])
     signed = F.when(c("_best.mean") > 0, picked).otherwise(1 - picked)
-    score = (c("rank_rev") + (1 - c("rank_deliv_x_ret")) + signed) / 3
+    score = F.round((c("rank_rev") + (1 - c("rank_deliv_x_ret")) + signed) / 3, xs.TIE_DIGITS)
     return data.withColumns({"best": c("_best.factor"), "score": score}).drop("_best")
 
 

@@ -19,6 +19,7 @@ from ..session import materialise
 
 WINDOW_LIMIT = 100_000
 RANGE_CELLS = 1_000_000
+TIE_DIGITS = 12
 
 
 def fits(bound: int | None) -> bool:
@@ -234,14 +235,14 @@ def zscore(df: DataFrame, columns: Sequence[str], by: str = "date", bound: int |
 
 
 def composite_mr(mom: str = "rank_mom_12_1", rev: str = "rank_rev") -> Column:
-    """Momentum plus reversal."""
-    return (c(mom) + c(rev)) / 2
+    """Momentum plus reversal; rounded so that equal rank sums tie exactly."""
+    return F.round((c(mom) + c(rev)) / 2, TIE_DIGITS)
 
 
 def composite_fund3(rev: str = "rank_rev", flow: str = "rank_deliv_x_ret",
                     value: str = "rank_earn_yield") -> Column:
     """Reversal, inverted delivery flow and earnings yield."""
-    return (c(rev) + (1 - c(flow)) + c(value)) / 3
+    return F.round((c(rev) + (1 - c(flow)) + c(value)) / 3, TIE_DIGITS)
 
 
 def correlation(x: str, y: str) -> Column:
