@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeseries", "crosssection", "aggregates", "statistics")
+MODULES = ("timeseries", "crosssection", "aggregates", "statistics", "joining", "labelling",
+           "projections", "quality")
 
 
 def load():
