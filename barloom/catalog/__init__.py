@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("timeseries", "crosssection", "aggregates", "statistics", "joining", "labelling",
-           "projections", "quality")
+           "projections", "quality", "recurrences", "scores")
 
 
 def load():

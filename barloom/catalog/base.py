@@ -86,8 +86,13 @@ def query(name: str, sql: str | None = None):
 BLOCKS: dict[str, tuple[list[str], str]] = {}
 
 
-def block(name: str, needs: str, text: str, recursive: bool = False) -> None:
+COLUMNS: dict[str, str] = {}
+
+
+def block(name: str, needs: str, text: str, columns: str = "") -> None:
+    """``columns`` is given for recursive tables only."""
     BLOCKS[name] = (needs.split(), text)
+    COLUMNS[name] = columns
 
 
 def _order(names: list[str], seen: list[str]) -> list[str]:
@@ -101,8 +106,8 @@ def _order(names: list[str], seen: list[str]) -> list[str]:
 def sql(needs: str, text: str) -> str:
     """``WITH`` the needed blocks in dependency order, then the text."""
     names = _order(needs.split(), [])
-    parts = [n + (" AS (" if "(" in n else " AS MATERIALIZED (") + BLOCKS[n][1] + ")"
-             for n in names]
+    parts = [f"{n}({COLUMNS[n]}) AS ({BLOCKS[n][1]})" if COLUMNS[n]
+             else f"{n} AS MATERIALIZED ({BLOCKS[n][1]})" for n in names]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + text
 
 
