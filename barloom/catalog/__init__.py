@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("timeseries", "crosssection", "aggregates", "statistics", "joining", "labelling",
-           "projections", "quality", "recurrences", "scores")
+           "projections", "quality", "recurrences", "scores",
+           "backtests", "ledgers", "sourcing", "sinking")
 
 
 def load():
