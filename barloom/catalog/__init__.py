@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = ("timeseries", "crosssection", "aggregates", "statistics", "joining", "labelling",
            "projections", "quality", "recurrences", "scores",
-           "backtests", "ledgers", "sourcing", "sinking", "learning")
+           "backtests", "ledgers", "sourcing", "sinking", "learning", "streams")
 
 
 def load():

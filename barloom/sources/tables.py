@@ -21,8 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
+    return priced(table(spark, folder, "lineitem"))
+
+
+def priced(lineitem: DataFrame) -> DataFrame:
     """Line items as priced quantities per day."""
-    return table(spark, folder, "lineitem").select(
+    return lineitem.select(
         F.col("l_partkey"), F.col("l_suppkey"),
         F.to_date("l_shipdate").alias("day"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
