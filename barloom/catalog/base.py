@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import factors as plan
+from ..session import materialise
 from ..sources import tables as src
 from ..sources.statements import fundamentals
 
@@ -53,6 +54,11 @@ class Inputs:
     def factors(self) -> DataFrame:
         return plan.factor_table(self.bars, self.bench, self.fund, bound=self.bound)
 
+    @cached_property
+    def stored_factors(self) -> DataFrame:
+        """The factor table written once, for queries that read it several times."""
+        return materialise(self.factors)
+
     @cached_property
     def dataset(self) -> DataFrame:
         return plan.dataset(self.bars, self.bench, (5, 10, 20))

@@ -11,6 +11,7 @@ from ..operators import crosssection as xs
 from ..operators import joins, stats
 from ..plans import factors as plan
 from ..plans import ranking as weekly
+from ..session import materialise
 from .base import (MOM, RANKED, block, div, fwd, ic_blocks, lag, prank, query, r, ret, roll, rows,
                    sql)
 from .timeseries import keep
@@ -149,7 +150,7 @@ block("chosen", "fund_t", "SELECT factor, m FROM fund_t ORDER BY abs(t) DESC, fa
 
 
 def rebalanced(t, step=10):
-    data = t.factors.where(c("fwd_excess").isNotNull())
+    data = t.stored_factors.where(c("fwd_excess").isNotNull())
     return joins.on_rebalance_dates(data, step)
 
 
@@ -171,7 +172,7 @@ SELECT sym, date, c.factor AS best, {r('''score=(rank_rev + (1 - rank_deliv_x_re
 FROM (SELECT r.*, c.factor, c.m, CASE c.factor WHEN 'earn_yield' THEN rank_earn_yield WHEN 'roe' THEN rank_roe
   WHEN 'earn_growth' THEN rank_earn_growth ELSE rank_profit_margin END AS x FROM rebal r, chosen c) c"""))
 def _(t):
-    df = chosen_composite(rebalanced(t), {f: f"rank_{f}" for f in plan.FUNDAMENTAL}, 10, 3, t.bound)
+    df = chosen_composite(materialise(rebalanced(t)), {f: f"rank_{f}" for f in plan.FUNDAMENTAL}, 10, 3, t.bound)
     return keep(df, "best", "score")
 
 

@@ -57,7 +57,7 @@ def _(t):
 @query("DQ-6_all_gates", sql("g_look g_ret g_dup g_cov", """SELECT 'schema' AS gate, TRUE AS passed, '8 panel columns' AS detail
 UNION ALL SELECT * FROM g_look UNION ALL SELECT * FROM g_ret UNION ALL SELECT * FROM g_dup UNION ALL SELECT * FROM g_cov"""))
 def _(t):
-    return quality.all_gates(t.bars, t.fund, t.factors, RANKED)
+    return quality.all_gates(t.bars, t.fund, t.stored_factors, RANKED)
 
 
 @query("DQ-7_delivery_coverage", sql("bars", f"SELECT {r('deliv_cov=avg(CAST(nullif(deliv_pct, 0) IS NOT NULL AS INTEGER)) * 100')} FROM bars"))

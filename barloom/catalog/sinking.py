@@ -101,11 +101,12 @@ def _(t):
 def _(t):
     from ..operators import joins, stats
     path = new_path(t.spark, "metrics")
-    common = t.factors.na.drop(subset=["score_mr", "score_fund3"])
+    stored = t.stored_factors
+    common = stored.na.drop(subset=["score_mr", "score_fund3"])
     hit = lambda s: quintile_statistics(t, common, s, 4).select(F.round("hit_rate", 5)).scalar()
-    tests = stats.date_grid_tests(factor_ic(t), joins.every_hth_date(t.factors, 10))
+    tests = stats.date_grid_tests(factor_ic(t, stored), joins.every_hth_date(stored, 10))
     ic = tests.agg(F.struct(F.count(F.lit(1)).alias("n"), F.bool_or("significant").alias("any"))).scalar()
-    doc = t.factors.agg(
+    doc = stored.agg(
         F.max("date").cast("string").alias("as_of"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sym").alias("n_symbols"),
         F.bround(F.avg(c("deliv_pct").isNotNull().cast("double")) * 100, 1).alias("delivery_coverage_pct"))
     doc = doc.select("*", F.struct(hit("score_mr").alias("score_mr"), hit("score_fund3").alias("score_fund3")).alias("hit_rate"), ic.alias("ic"))

@@ -21,8 +21,8 @@ tests_blocks("fic_rule", "fic", "factor", "date", "ic", 10,
              lags="CAST(floor(4 * pow(n / 100.0::DOUBLE, 2.0::DOUBLE / 9)) AS BIGINT)")
 
 
-def factor_ic(t):
-    return xs.information_coefficient(t.factors, RANKS, bound=t.bound)
+def factor_ic(t, factors=None):
+    return xs.information_coefficient(t.factors if factors is None else factors, RANKS, bound=t.bound)
 
 
 @query("ST-1_newey_west", sql("fic_rule_se fic_rule_b", f"""SELECT s.factor, b.n, CAST(lags AS INTEGER) AS lags,
@@ -36,7 +36,7 @@ TESTCOLS = "mean; n_effective; t_naive; t_hac; t_nonoverlap; inflation"
 
 @query("ST-2_mean_tests", sql("fic_t", f"SELECT factor, n, {r(TESTCOLS, 5)} FROM fic_t"))
 def _(t):
-    return rounded(stats.mean_tests(factor_ic(t), "factor", "date", "ic", 10), 5)
+    return rounded(stats.mean_tests(factor_ic(t), "factor", "date", "ic", 10).drop("positive"), 5)
 
 
 @query("ST-3_verdicts", sql("fic_t", """SELECT factor, CASE WHEN t_nonoverlap IS NULL THEN 'inconclusive'
@@ -54,12 +54,10 @@ def _(t):
   CAST(row_number() OVER (ORDER BY abs(round_even(t_nonoverlap, 2)) DESC NULLS LAST, t.factor) AS INTEGER) AS place
 FROM fic_t t JOIN (SELECT factor, avg(CAST(ic > 0 AS INTEGER)) AS pos FROM fic GROUP BY 1) p ON t.factor = p.factor"""))
 def _(t):
-    ic = factor_ic(t)
-    positive = ic.groupBy("factor").agg(metrics.hit_rate("ic").alias("pos"))
-    df = stats.mean_tests(ic, "factor", "date", "ic", 10).join(positive, "factor")
+    df = stats.mean_tests(factor_ic(t), "factor", "date", "ic", 10)
     df = df.select("factor", F.bround("mean", 4).alias("ic_mean"),
                    F.bround("t_nonoverlap", 2).alias("t_nonovlp"), F.bround("t_hac", 2).alias("t_hac"),
-                   F.bround("t_naive", 2).alias("t_naive"), F.bround("pos", 2).alias("pos_days"),
+                   F.bround("t_naive", 2).alias("t_naive"), F.bround("positive", 2).alias("pos_days"),
                    F.coalesce(F.abs("t_nonoverlap") >= 1.96, F.lit(False)).alias("sig_5pct"))
     order = Window.orderBy(F.abs("t_nonovlp").desc_nulls_last(), "factor")
     return df.withColumn("place", F.row_number().over(order))
@@ -77,8 +75,9 @@ block("fic_grid", "fic grid_all", GRID_T.format(grid="grid_all", ic="fic"))
 @query("ST-5_date_grid_ic_table", sql("fic_grid", f"""SELECT factor, {r('ic_mean; t_naive; t_nonovlp', 5)}, n_indep,
   coalesce(abs(t_nonovlp) >= 1.96::DOUBLE, FALSE) AS significant FROM fic_grid"""))
 def _(t):
-    grid = joins.every_hth_date(t.factors, 10)
-    return rounded(stats.date_grid_tests(factor_ic(t), grid), 5)
+    stored = t.stored_factors
+    grid = joins.every_hth_date(stored, 10)
+    return rounded(stats.date_grid_tests(factor_ic(t, stored), grid), 5)
 
 
 def quintile_blocks(name: str, src: str, score: str, step: int) -> None:
@@ -114,9 +113,10 @@ def _(t):
         ("score_mr", "common", "q_mrc"), ("score_fund3", "common", "q_f3c")))))
 def _(t):
     from functools import reduce
-    common = t.factors.na.drop(subset=["score_mr", "score_fund3"])
+    stored = t.stored_factors
+    common = stored.na.drop(subset=["score_mr", "score_fund3"])
     parts = [quintile_statistics(t, df, s, 4).withColumns({"score": F.lit(s), "sample": F.lit(k)})
-             for k, df in (("all", t.factors), ("common", common))
+             for k, df in (("all", stored), ("common", common))
              for s in ("score_mr", "score_fund3")]
     return rounded(reduce(lambda a, b: a.unionByName(b), parts), 5)
 

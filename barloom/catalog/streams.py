@@ -60,7 +60,6 @@ FROM (SELECT *, coalesce(up <> lag(up) OVER (PARTITION BY sym ORDER BY rn), TRUE
   SELECT event_type AS sym, event_id, row_number() OVER w AS rn, value >= lag(value) OVER w AS up FROM events
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE up IS NOT NULL)"""))
 def _(t):
-    runner.use_rocksdb(t.spark)
     return runner.to_table(stateful.direction_streaks(tick_stream(t)), "direction")
 
 
@@ -73,7 +72,6 @@ FROM (SELECT *, sum(CASE WHEN st IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (
     CASE WHEN (user_id % 2 = 0) = (value >= 30) THEN 'HIT' WHEN value >= 30 THEN 'UP' ELSE 'DOWN' END AS st,
     row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 5)))"""))
 def _(t):
-    runner.use_rocksdb(t.spark)
     word = lambda cond: F.when(cond, F.lit("UP")).otherwise(F.lit("DOWN"))
     events = runner.event_stream(t.spark, t.folder).select(
         c("event_type").alias("sym"), "ts", "event_id", word(c("user_id") % 2 == 0).alias("pred"),
@@ -125,7 +123,6 @@ SELECT *, row_number() OVER (PARTITION BY position ORDER BY k) AS first FROM (
     FROM events o JOIN events x ON o.user_id = x.user_id AND x.event_type <> 'purchase' AND (x.ts, x.event_id) > (o.ts, o.event_id)
     WHERE o.event_type = 'purchase') WHERE k <= 10) WHERE reason IS NOT NULL) WHERE first = 1"""))
 def _(t):
-    runner.use_rocksdb(t.spark)
     events = runner.event_stream(t.spark, t.folder).select(
         c("user_id").cast("string").alias("key"), "ts", "event_id", c("value").alias("price"),
         (c("event_type") == "purchase").alias("is_open"))
@@ -140,7 +137,6 @@ block("tke", "tk", """SELECT sym, event_id, rn, value::DOUBLE FROM tk WHERE rn =
 
 @query("STR-7_streaming_ewm", sql("tke", f"SELECT sym, event_id, {r('ema')} FROM tke"))
 def _(t):
-    runner.use_rocksdb(t.spark)
     return rounded(runner.to_table(stateful.running_mean(tick_stream(t), 2.0 / 13), "ema"))
 
 

@@ -60,6 +60,36 @@ def _vols(t):
     return ind.volatility(ind.returns(t.bars, (1,)))
 
 
+TICKS = "PARTITION BY event_type ORDER BY ts, event_id"
+T20 = f"({TICKS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+def tick_rows(t):
+    return t.table("events").select(c("event_type").alias("sym"), "ts", "event_id", c("value").alias("close"))
+
+
+@query("WIN-3_rolling_on_ticks", sql("", f"""SELECT event_id, round(CASE WHEN count(value) OVER {T20} >= 20 THEN avg(value) OVER {T20} END, 6) + 0.0 AS avg_20,
+  round(max(value) OVER {T20}, 6) + 0.0 AS max_20, round(lead(value, 3) OVER ({TICKS}), 6) + 0.0 AS next_3 FROM events"""))
+def _(t):
+    """Windows over raw ticks: a series is cut into blocks, so a hot symbol is no hot task."""
+    from ..operators.longseries import in_blocks
+
+    def build(df):
+        kw = dict(order="_row")
+        return df.withColumns({"avg_20": w.mean("close", 20, **kw), "max_20": w.high("close", 20, 1, **kw),
+                               "next_3": w.shift("close", -3, **kw)})
+
+    df = in_blocks(tick_rows(t), build, back=19, ahead=3, block_rows=500, order=["ts", "event_id"], unit="day")
+    return rounded(df.select("event_id", "avg_20", "max_20", "next_3"))
+
+
+@query("WIN-7_cumulative_sum_on_ticks", sql("", f"""SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER ({TICKS}) AS BIGINT) AS cents FROM events"""))
+def _(t):
+    from ..operators.longseries import running_total
+    df = running_total(tick_rows(t), F.round(c("close") * 100).cast("bigint"), "cents", order=["ts", "event_id"], unit="day")
+    return df.select("event_id", "cents")
+
+
 @query("WIN-4_rolling_median", bar_sql(f"med_60={roll('median', 'volatility_20', 60, 20)}",
                                        src="vols"))
 def _(t):

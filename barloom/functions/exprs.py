@@ -66,7 +66,7 @@ def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             n = per_column.get(field.name, digits)
-            cols.append(F.round(field.name, n).alias(field.name))
+            cols.append(F.round(f"`{field.name}`", n).alias(field.name))
         else:
-            cols.append(F.col(field.name))
+            cols.append(F.col(f"`{field.name}`"))
     return df.select(*cols)

@@ -32,10 +32,13 @@ def _list(x: str | Sequence[str]) -> list[str]:
 
 # ---- the primitive -------------------------------------------------------------------------
 def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence[str],
-          bound: int | None = None, range_cells: int = RANGE_CELLS) -> DataFrame:
+          bound: int | None = None, range_cells: int = RANGE_CELLS,
+          stable: bool = False) -> DataFrame:
     """For unique (group, value) cells: each measure summed over smaller values, and its total.
 
-    Adds ``<m>_below`` and ``<m>_total``.
+    Adds ``<m>_below`` and ``<m>_total``.  The split path reads the cells in two branches that must
+    agree, so they are checkpointed unless the caller already works on ``stable`` (checkpointed)
+    rows; Spark then reuses the shuffle that builds the cells.
     """
     group = _list(group)
     if fits(bound):
@@ -48,7 +51,7 @@ def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence
             out[f"{m}_total"] = F.sum(m).over(whole)
         return cells.withColumns(out)
 
-    cells = materialise(cells)
+    cells = cells if stable else materialise(cells)
     edges = (cells.where(F.pmod(F.xxhash64(value), F.lit(range_cells)) == 0)
              .groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_edges")))
     place = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
@@ -72,9 +75,10 @@ def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence
         *[F.col(f"{m}_total") for m in measures])
 
 
-def _value_counts(rows: DataFrame, group: Sequence[str], value: str, bound, range_cells):
+def _value_counts(rows: DataFrame, group: Sequence[str], value: str, range_cells: int,
+                  stable: bool = True) -> DataFrame:
     cells = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
-    return below(cells, group, value, ["ties"], bound, range_cells)
+    return below(cells, group, value, ["ties"], None, range_cells, stable)
 
 
 def _pct(smaller, ties, n) -> Column:
@@ -103,16 +107,21 @@ def rank_pct(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] =
     if fits(bound):
         return df.withColumns({out: peers(x, by) for out, x in ranks.items()})
     df = materialise(df)
+    return df.join(_split_ranks(df, ranks, by, keys, range_cells), list(keys), "left")
+
+
+def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
+                 keys: Sequence[str], range_cells: int) -> DataFrame:
+    """(keys, ranks) of checkpointed rows; all ranked columns share one set of shuffles."""
     pairs = F.array(*[F.struct(F.lit(out).alias("_name"), c(x).cast("double").alias("_v"))
                       for out, x in ranks.items()])
     extra = [b for b in by if b not in keys]
-    long = df.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
-    counts = _value_counts(long, [*by, "_name"], "_v", None, range_cells)
+    long = stable.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
+    counts = _value_counts(long, [*by, "_name"], "_v", range_cells)
     ranked = long.join(counts, [*by, "_name", "_v"]).withColumn(
         "_pct", _pct(F.col("ties_below"), F.col("ties"), F.col("ties_total")))
-    wide = ranked.groupBy(*keys).agg(
+    return ranked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == out, F.col("_pct"))).alias(out) for out in ranks])
-    return df.join(wide, list(keys), "left")
 
 
 def ordinal(df: DataFrame, score: str, by: str | Sequence[str] = "date", tie: str = "sym",
@@ -124,9 +133,9 @@ def ordinal(df: DataFrame, score: str, by: str | Sequence[str] = "date", tie: st
         order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie).asc())
         return df.withColumn(name, F.row_number().over(order).cast("bigint"))
     df = materialise(df)
-    counts = _value_counts(df, by, score, None, range_cells).select(
+    counts = _value_counts(df, by, score, range_cells).select(
         *by, score, (F.col("ties_total") - F.col("ties_below") - F.col("ties")).alias("_above"))
-    within = _value_counts(df, [*by, score], tie, None, range_cells).select(
+    within = _value_counts(df, [*by, score], tie, range_cells).select(
         *by, score, tie, F.col("ties_below").alias("_before"))
     return (df.join(counts, [*by, score]).join(within, [*by, score, tie])
             .withColumn(name, F.col("_above") + F.col("_before") + 1)
@@ -154,7 +163,7 @@ def quantile_table(df: DataFrame, value: str, qs: Sequence[float], by: str | Seq
         whole = quantile_table(df.withColumn("_all", F.lit(0)), value, qs, "_all", None, range_cells)
         return whole.drop("_all")
     rows = df.where(F.col(value).isNotNull()).select(*by, value)
-    counts = _value_counts(rows, by, value, None, range_cells)
+    counts = _value_counts(rows, by, value, range_cells, stable=False)
     last = F.col("ties_below") + F.col("ties") - 1
     cols = []
     for i, q in enumerate(qs):
@@ -252,7 +261,7 @@ def correlation(x: str, y: str) -> Column:
 
 def information_coefficient(df: DataFrame, factors: Sequence[str], target: str = "fwd_excess",
                             by: str = "date", min_names: int = 6, bound: int | None = None,
-                            range_cells: int = RANGE_CELLS) -> DataFrame:
+                            range_cells: int = RANGE_CELLS, key: str = "sym") -> DataFrame:
     """Rank correlation of each factor with the target per group: (by, factor, ic, n).
 
     Ranks are taken among rows where factor and target are both known; groups with fewer than
@@ -261,18 +270,14 @@ def information_coefficient(df: DataFrame, factors: Sequence[str], target: str =
     pairs = F.array(*[F.struct(F.lit(f).alias("factor"), c(f).cast("double").alias("x"))
                       for f in factors])
     long = (df.where(c(target).isNotNull())
-            .select(by, c(target).cast("double").alias("y"), F.inline(pairs))
+            .select(key, by, c(target).cast("double").alias("y"), F.inline(pairs))
             .where(F.col("x").isNotNull()))
     group = [by, "factor"]
     if fits(bound):
         ranked = long.withColumns({"rx": peers("x", group), "ry": peers("y", group)})
     else:
-        long = materialise(long)
-        for v, r in (("x", "rx"), ("y", "ry")):
-            counts = _value_counts(long.select(*group, v), group, v, None, range_cells).select(
-                *group, v, _pct(F.col("ties_below"), F.col("ties"), F.col("ties_total")).alias(r))
-            long = long.join(counts, [*group, v])
-        ranked = long
+        ranked = _split_ranks(materialise(long), {"rx": "x", "ry": "y"}, group, [key, *group],
+                              range_cells)
     return (ranked.groupBy(*group)
             .agg(correlation("rx", "ry").alias("ic"), F.count(F.lit(1)).alias("n"))
             .where((F.col("n") >= min_names) & F.col("ic").isNotNull()))

@@ -13,10 +13,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .longseries import cut
+
 Source = str | Callable[[pd.DataFrame], pd.Series]
 
 
@@ -59,28 +60,9 @@ def run_up(steps: Sequence[Ewm | Derived]) -> int:
                for s in steps if isinstance(s, Ewm))
 
 
-def numbered(df: DataFrame, key: str = "sym", order: str = "date", unit: str = "month",
-             name: str = "row") -> DataFrame:
-    """Row number per series without putting a whole series in one task.
-
-    Rows are counted per calendar chunk, the chunk counts are accumulated (a handful of rows per
-    series), and numbers inside a chunk are shifted by the rows before it.
-    """
-    chunk = F.date_trunc(unit, order).alias("_chunk")
-    sizes = df.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(
-        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))
-    starts = sizes.select(F.col(key).alias("_key"), F.col("_chunk"), before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy(key, "_at").orderBy(order))
-    rows = df.withColumn("_at", F.date_trunc(unit, order)).withColumn("_local", local)
-    return (rows.join(starts, (rows[key] == F.col("_key")) & (rows._at == F.col("_chunk")))
-            .withColumn(name, F.col("_before") + F.col("_local"))
-            .drop("_key", "_at", "_chunk", "_before", "_local"))
-
-
 def ewm(df: DataFrame, steps: Sequence[Ewm | Derived], key: str = "sym", order: str = "date",
-        drop: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
+        drop: Sequence[str] = (), block_rows: int | None = None,
+        unit: str = "month") -> DataFrame:
     """Append the means of ``steps`` (evaluated in turn) to every row."""
     names = [f.name for f in df.schema.fields]
     outs = [s.out for s in steps if s.out not in drop]
@@ -96,15 +78,7 @@ def ewm(df: DataFrame, steps: Sequence[Ewm | Derived], key: str = "sym", order:
     if block_rows is None:
         return df.groupBy(key).applyInPandas(lambda f: fill(f)[names + outs], schema)
 
-    halo = run_up(steps)
-    size = max(block_rows, halo)
-    number = F.col("_row") - 1
-    home = F.floor(number / size).alias("_block")
-    spread = F.when(number % size >= size - halo, F.array(F.floor(number / size),
-                                                          F.floor(number / size) + 1)) \
-        .otherwise(F.array(F.floor(number / size)))
-    blocks = (numbered(df, key, order, name="_row")
-              .withColumn("_home", home).withColumn("_block", F.explode(spread)))
+    blocks = cut(df, run_up(steps), 0, block_rows, key, order, unit)
 
     def fill_block(frame: pd.DataFrame) -> pd.DataFrame:
         done = fill(frame)

@@ -30,33 +30,59 @@ def with_levels(df: DataFrame, price: str = "entry_price", stop: float = STOP,
                            "target": F.bround(c(price) * (1 + sign * target), 2)})
 
 
-def exits(positions: DataFrame, bars: DataFrame, max_hold: int = MAX_HOLD) -> DataFrame:
-    """First exit of each position over its bars (entry bar included).
+NEAR_BARS = 64
 
-    Inside a bar the stop counts before the target.  Without a hit the position expires at its last
-    close once ``max_hold`` bars exist, else it stays open.  A symbol's bars are bounded by the
-    calendar; they are reduced per position map-side right after the join.
-    """
-    b = bars.select(c("sym").alias("_s"), c("date").alias("_d"), "high", "low", "close")
-    pairs = positions.join(b, (c("sym") == c("_s")) & (c("_d") >= c("entry_date")))
+
+def _outcome(high: Column, low: Column) -> tuple[Column, Column]:
+    """Status and exit price of one bar; inside a bar the stop counts before the target."""
     up = c("direction") == "UP"
-    stopped = F.when(up, c("low") <= c("stop_loss")).otherwise(c("high") >= c("stop_loss"))
-    reached = F.when(up, c("high") >= c("target")).otherwise(c("low") <= c("target"))
+    stopped = F.when(up, low <= c("stop_loss")).otherwise(high >= c("stop_loss"))
+    reached = F.when(up, high >= c("target")).otherwise(low <= c("target"))
     status = F.when(stopped, F.lit("CLOSED_SL")).when(reached, F.lit("CLOSED_TP"))
-    price = F.when(stopped, c("stop_loss")).otherwise(c("target"))
+    return status, F.when(stopped, c("stop_loss")).otherwise(c("target"))
+
+
+def exits(positions: DataFrame, bars: DataFrame, max_hold: int = MAX_HOLD,
+          near: int = NEAR_BARS) -> DataFrame:
+    """First exit of each position over its bars (entry bar included).
+
+    Without a hit a position expires at its last close once ``max_hold`` bars exist, else it stays
+    open.  The next ``near`` bars are looked at first, carried to the entry bar by one window; only
+    positions still open after them are matched with all their later bars.
+    """
     keys = list(positions.columns)
-    out = pairs.groupBy(*keys).agg(
-        F.min_by(F.struct(c("_d").alias("d"), status.alias("s"), price.alias("p")),
-                 F.when(status.isNotNull(), c("_d"))).alias("_hit"),
-        F.count(F.lit(1)).alias("bars"), F.max_by("close", "_d").alias("_last"),
-        F.max("_d").alias("_end"))
-    hit = c("_hit.s").isNotNull()
-    old = c("bars") >= max_hold
+    at = Window.partitionBy("sym").orderBy("date")
+    whole = at.rowsBetween(0, Window.unboundedFollowing)
+    entry = bars.select(
+        c("sym"), c("date").alias("entry_date"),
+        F.collect_list(F.struct("date", "high", "low")).over(at.rowsBetween(0, near - 1))
+        .alias("_near"),
+        F.count(F.lit(1)).over(whole).alias("bars"), F.last("close").over(whole).alias("_last"),
+        F.last("date").over(whole).alias("_end"))
+
+    def judged(b: Column) -> Column:
+        status, price = _outcome(b["high"], b["low"])
+        return F.struct(b["date"].alias("d"), status.alias("s"), price.alias("p"))
+
+    first = F.filter(F.transform("_near", judged), lambda x: x["s"].isNotNull())
+    held = positions.join(entry, ["sym", "entry_date"]).withColumn(
+        "_hit", F.get(first, F.lit(0))).drop("_near")
+    open_still = c("_hit").isNull() & (c("bars") > near)
+
+    later = bars.select(c("sym").alias("_s"), c("date").alias("_d"), "high", "low")
+    status, price = _outcome(c("high"), c("low"))
+    hit = F.min_by(F.struct(c("_d").alias("d"), status.alias("s"), price.alias("p")),
+                   F.when(status.isNotNull(), c("_d"))).alias("_hit")
+    rest = (held.where(open_still).drop("_hit")
+            .join(later, (c("sym") == c("_s")) & (c("_d") >= c("entry_date")))
+            .groupBy(*keys, "bars", "_last", "_end").agg(hit))
+    out = held.where(~open_still).unionByName(rest)
+    closed, old = c("_hit.s").isNotNull(), c("bars") >= max_hold
     return out.select(
-        *keys, F.when(hit, c("_hit.s")).when(old, F.lit("CLOSED_EXPIRY")).otherwise(F.lit("OPEN"))
-        .alias("status"),
-        F.when(hit, c("_hit.p")).when(old, c("_last")).alias("exit_price"),
-        F.when(hit, c("_hit.d")).when(old, c("_end")).alias("exit_date"), "bars",
+        *keys, F.when(closed, c("_hit.s")).when(old, F.lit("CLOSED_EXPIRY"))
+        .otherwise(F.lit("OPEN")).alias("status"),
+        F.when(closed, c("_hit.p")).when(old, c("_last")).alias("exit_price"),
+        F.when(closed, c("_hit.d")).when(old, c("_end")).alias("exit_date"), "bars",
         c("_last").alias("last_close"))
 
 

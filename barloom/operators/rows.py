@@ -58,5 +58,5 @@ def wide(df: DataFrame, value: str, columns: Sequence[str] | None = None, index:
 
 
 def long(df: DataFrame, value: str, index: str = "date", key: str = "sym") -> DataFrame:
-    names = [x for x in df.columns if x != index]
+    names = [F.col(f"`{x}`") for x in df.columns if x != index]
     return df.unpivot([index], names, key, value).where(F.col(value).isNotNull())

@@ -34,26 +34,29 @@ def autocovariance(df: DataFrame, key: str, order: str, x: str, lags: int) -> Da
     return long.groupBy(key, "lag").agg((F.sum("p") / F.max("n")).alias("autocov"))
 
 
-def newey_west(df: DataFrame, key: str, order: str, x: str,
-               lags: int | None = None) -> DataFrame:
-    """(key, n, mean, lags, hac_se): Bartlett-weighted standard error of the mean.
+def _profile(df: DataFrame, key: str, order: str, x: str, horizon: int = 1) -> DataFrame:
+    """One row per series: moments of all and of every horizon-th value, and the deviations.
 
-    Without ``lags`` the rule floor(4 (n/100)^(2/9)) is used; lags are capped at n - 2.  The error
-    is missing for fewer than three values or a non-positive variance.  Pairs are matched through an
-    index join on the symmetric lag range, so the lag count may differ per series.
+    The array of deviations is as long as the calendar.
     """
     rows = _dense(df, key, order, x)
+    sub = F.when((F.col("i") - 1) % horizon == 0, F.col("x"))
+    return rows.groupBy(key).agg(
+        F.max("n").alias("n"), F.max("mu").alias("mean"), F.stddev_samp("x").alias("sd"),
+        F.avg(sub).alias("sub_mean"), F.count(sub).alias("sub_n"), F.stddev_samp(sub).alias("sub_sd"),
+        F.avg((F.col("x") > 0).cast("double")).alias("positive"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda s: s["d"]).alias("d"))
+
+
+def _with_hac(profile: DataFrame, lags: int | None) -> DataFrame:
+    """Append lags and hac_se; the deviation array is dropped."""
     rule = F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9.0))) if lags is None else F.lit(lags)
     capped = F.greatest(F.lit(0), F.least(rule, F.col("n") - 2)).cast("int")
-    arranged = rows.groupBy(key).agg(
-        F.max("n").alias("n"), F.max("mu").alias("mean"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda s: s["d"]).alias("d"))
-    arranged = arranged.withColumn("lags", capped)
     zero = F.lit(0.0)
 
     def gamma(k: Column) -> Column:
-        pairs = F.zip_with(F.slice("d", k + 1, F.greatest(F.col("n") - k, F.lit(0)).cast("int")),
-                           F.slice("d", F.lit(1), F.greatest(F.col("n") - k, F.lit(0)).cast("int")),
+        length = F.greatest(F.col("n") - k, F.lit(0)).cast("int")
+        pairs = F.zip_with(F.slice("d", k + 1, length), F.slice("d", F.lit(1), length),
                            lambda a, b: a * b)
         return F.aggregate(pairs, zero, lambda acc, v: acc + v) / F.col("n")
 
@@ -61,25 +64,28 @@ def newey_west(df: DataFrame, key: str, order: str, x: str,
         .otherwise(F.array().cast("array<int>"))
     var = gamma(F.lit(0)) + F.aggregate(
         ks, zero, lambda acc, k: acc + 2.0 * (1.0 - k / (F.col("lags") + 1.0)) * gamma(k))
-    se = F.when((F.col("n") >= 3) & (F.col("var") > 0), F.sqrt(F.col("var") / F.col("n")))
-    return arranged.withColumn("var", var).select(key, "n", "mean", "lags", se.alias("hac_se"))
+    se = F.when((F.col("n") >= 3) & (F.col("_var") > 0), F.sqrt(F.col("_var") / F.col("n")))
+    return (profile.withColumn("lags", capped).withColumn("_var", var)
+            .withColumn("hac_se", se).drop("d", "_var"))
+
+
+def newey_west(df: DataFrame, key: str, order: str, x: str,
+               lags: int | None = None) -> DataFrame:
+    """(key, n, mean, lags, hac_se): Bartlett-weighted standard error of the mean.
+
+    Without ``lags`` the rule floor(4 (n/100)^(2/9)) is used; lags are capped at n - 2.  The error
+    is missing for fewer than three values or a non-positive variance.
+    """
+    return _with_hac(_profile(df, key, order, x), lags).select(key, "n", "mean", "lags", "hac_se")
 
 
 def mean_tests(df: DataFrame, key: str, order: str, x: str, horizon: int) -> DataFrame:
-    """Naive, HAC and non-overlapping t-statistics of the mean per series.
+    """Naive, HAC and non-overlapping t-statistics of the mean per series, in one pass.
 
-    Columns: mean, n, n_effective, t_naive, t_hac, t_nonoverlap, inflation.  The calibrated one is
-    t_nonoverlap, taken on every horizon-th known value.
+    Columns: mean, n, n_effective, t_naive, t_hac, t_nonoverlap, inflation, positive (share of
+    positive values).  The calibrated one is t_nonoverlap, taken on every horizon-th known value.
     """
-    rows = _dense(df, key, order, x)
-    thin = (F.col("i") - 1) % horizon == 0
-    basic = rows.groupBy(key).agg(
-        F.avg("x").alias("mean"), F.count("x").alias("n"), F.stddev_samp("x").alias("sd"),
-        F.avg(F.when(thin, F.col("x"))).alias("sub_mean"),
-        F.count(F.when(thin, F.col("x"))).alias("sub_n"),
-        F.stddev_samp(F.when(thin, F.col("x"))).alias("sub_sd"))
-    hac = newey_west(df, key, order, x, max(1, 2 * horizon - 1)).select(key, "hac_se")
-    out = basic.join(hac, key, "left")
+    out = _with_hac(_profile(df, key, order, x, horizon), max(1, 2 * horizon - 1))
     enough = F.col("n") >= 3
     t_naive = F.when(enough, ratio("mean", ratio("sd", F.sqrt("n"))))
     t_hac = F.when(enough, ratio("mean", "hac_se"))
@@ -87,7 +93,7 @@ def mean_tests(df: DataFrame, key: str, order: str, x: str, horizon: int) -> Dat
                    ratio("sub_mean", ratio("sub_sd", F.sqrt("sub_n"))))
     return (out.select(key, "mean", "n", F.bround(F.col("n") / horizon, 1).alias("n_effective"),
                        t_naive.alias("t_naive"), t_hac.alias("t_hac"),
-                       t_sub.alias("t_nonoverlap"))
+                       t_sub.alias("t_nonoverlap"), "positive")
             .withColumn("inflation", ratio("t_naive", "t_hac")))
 
 

@@ -12,14 +12,17 @@ from ..functions.exprs import c, ratio, share
 from ..operators import backtest as bt
 from ..operators import crosssection as xs
 from ..operators import metrics
+from ..session import materialise
 
 
 def compare_models(oos: DataFrame, horizon: int = 10, k: int = 5, cost_bps: float = 10,
                    bound: int | None = None) -> DataFrame:
     """One rounded metric row per model from (model, fold, date, sym, proba, label, fwd_excess).
 
-    All models go through the same grouped passes; nothing loops over models or folds.
+    All models go through the same grouped passes; nothing loops over models or folds.  The
+    predictions are stored once, since every metric reads them.
     """
+    oos = materialise(oos)
     overall = oos.groupBy("model").agg(
         metrics.accuracy().alias("acc"), F.avg("label").alias("base"),
         F.count(F.lit(1)).alias("n_predictions"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from .runner import finish
 
 
 def refresh_on_arrival(stream: DataFrame, build: Callable[[DataFrame], DataFrame], label: str,
@@ -29,11 +30,7 @@ def refresh_on_arrival(stream: DataFrame, build: Callable[[DataFrame], DataFrame
     query = (stream.writeStream.foreachBatch(handle)
              .option("checkpointLocation", new_path(spark, f"{label}-state"))
              .trigger(availableNow=True).start())
-    try:
-        if not query.awaitTermination(timeout):
-            raise TimeoutError(f"stream {label} did not finish in {timeout}s")
-    finally:
-        query.stop()
+    finish(query, label, timeout)
     results = spark.read.option("basePath", out).parquet(out)
     newest = results.agg(F.max("epoch")).scalar()
     return results.where(F.col("epoch") == newest).drop("epoch")

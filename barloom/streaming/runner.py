@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,32 @@ def to_table(stream: DataFrame, label: str, checkpoint: str | None = None,
     path = path or new_path(spark, label)
     checkpoint = checkpoint or new_path(spark, f"{label}-state")
     schema = stream.schema
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", checkpoint).option("path", path)
-             .trigger(availableNow=True).start())
+    with state_settings(spark):
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", checkpoint).option("path", path)
+                 .trigger(availableNow=True).start())
+    finish(query, label, timeout)
+    return spark.read.schema(schema).parquet(path)
+
+
+def finish(query, label: str, timeout: int) -> None:
     try:
         if not query.awaitTermination(timeout):
             raise TimeoutError(f"stream {label} did not finish in {timeout}s")
     finally:
         query.stop()
-    return spark.read.schema(schema).parquet(path)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State of arbitrary stateful operators lives in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def state_settings(spark: SparkSession):
+    """Settings a query keeps from its start: RocksDB state, one state partition per core."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
