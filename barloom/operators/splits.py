@@ -31,11 +31,19 @@ def walk_forward_folds(df: DataFrame, test_months: int = 2, embargo_days: int =
     folds = months.where(start).select(
         c("pos"), F.date_sub("m", embargo_days + 5).alias("train_end"), c("m").alias("test_start"),
         F.last_day("last").alias("test_end"))
-    d = days.select(c(date).alias("_d"), "_n")
-    train, test = c("_d") < c("train_end"), c("_d").between(c("test_start"), c("test_end"))
-    sized = folds.join(d, train | test).groupBy("pos", "train_end", "test_start", "test_end").agg(
-        F.coalesce(F.sum(F.when(train, c("_n"))), F.lit(0)).alias("n_train"),
-        F.coalesce(F.sum(F.when(test, c("_n"))), F.lit(0)).alias("n_test"))
+    # Rows before each border: borders are stacked with the days and one running sum serves all.
+    border = lambda name, day: F.struct(F.lit(name).alias("b"), day.alias("_d"))
+    borders = folds.select("*", F.inline(F.array(
+        border("train", c("train_end")), border("from", c("test_start")),
+        border("to", F.date_add("test_end", 1)))))
+    stacked = days.select(c(date).alias("_d"), "_n").unionByName(
+        borders.withColumn("_n", F.lit(0)), allowMissingColumns=True)
+    before = F.sum("_n").over(Window.orderBy("_d", c("b").isNull())
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = stacked.withColumn("_before", before).where(c("b").isNotNull())
+    count = lambda name: F.max(F.when(c("b") == name, c("_before")))
+    sized = at.groupBy("pos", "train_end", "test_start", "test_end").agg(
+        count("train").alias("n_train"), (count("to") - count("from")).alias("n_test"))
     kept = sized.where((c("n_train") >= min_train) & (c("n_test") > 0))
     return kept.select(F.row_number().over(Window.orderBy("pos")).alias("fold"), "train_end",
                        "test_start", "test_end", "n_train", "n_test")

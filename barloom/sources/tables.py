@@ -46,12 +46,14 @@ def brand_lines(spark: SparkSession, folder: str) -> DataFrame:
 def bars_from_lines(items: DataFrame, unit: str = "week") -> DataFrame:
     """OHLCV bars per (sym, period) from rows (sym, day, cents, qty, price, final_qty).
 
-    The open is the volume-weighted price of the first day in the period.  Two partial-aggregated
-    steps: a hot symbol shrinks to one row per day before anything is shuffled by period.
+    The open is the volume-weighted price of the first day in the period.  A hot symbol shrinks to
+    one row per day in the map-side half of the first aggregation; the daily rows, bounded by the
+    calendar, then move once to their symbol, which serves the period aggregation and every window
+    over the series after it.
     """
     daily = items.groupBy("sym", "day").agg(
         F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.max("price").alias("hi"),
-        F.min("price").alias("lo"), F.sum("final_qty").alias("final_qty"))
+        F.min("price").alias("lo"), F.sum("final_qty").alias("final_qty")).repartition("sym")
     period = F.col("day") if unit == "day" else F.trunc("day", unit)
     spot = F.col("cents") / 100.0 / F.col("qty")
     return (
