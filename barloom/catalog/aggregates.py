@@ -11,6 +11,7 @@ from ..functions.exprs import c, ratio, rounded, share
 from ..operators import crosssection as xs
 from ..operators import metrics
 from ..plans import factors as plan
+from ..session import materialise
 from .base import (RANKED, block, div, fwd, ic_blocks, lag, prank, query, r, ret, roll, rows, sql)
 from .crosssection import QS, cut_sql, liquidity_reversal
 from .timeseries import keep
@@ -114,6 +115,16 @@ def _(t):
     return rounded(ic.select("date", "factor", "ic", "n"))
 
 
+@query("AGG-6_factor_ic_mean", sql("fic factors", f"""SELECT 'spearman' AS method, {r('mean_ic=avg(ic)')}, count(*) AS n_dates FROM fic WHERE factor = 'rank_rev'
+UNION ALL SELECT 'pearson', round(avg(ic), 6) + 0.0, count(*) FROM (SELECT covar_pop(rev, fwd_excess) / nullif(stddev_pop(rev) * stddev_pop(fwd_excess), 0) AS ic
+  FROM factors WHERE rev IS NOT NULL AND fwd_excess IS NOT NULL GROUP BY date HAVING count(*) >= 6) WHERE ic IS NOT NULL"""))
+def _(t):
+    df = t.stored_factors
+    rows = [xs.factor_ic(df, f, method=m, bound=t.bound).withColumn("method", F.lit(m))
+            for f, m in (("rank_rev", "spearman"), ("rev", "pearson"))]
+    return rounded(rows[0].unionByName(rows[1]))
+
+
 block("wic_src", "wbars", f"SELECT *, -{ret(4)} AS rev, {fwd(4)} AS fwd_4 FROM wbars")
 ic_blocks("wic", "wic_src", ["rev", "deliv_pct"], "fwd_4", 30)
 
@@ -219,8 +230,10 @@ def accuracy_by_symbol(t):
   arg_max(sym, (round(acc, 6), sym)) AS best FROM acc"""))
 def _(t):
     key = F.struct(F.round("acc", 6), "sym")
-    return rounded(accuracy_by_symbol(t).agg(
-        F.avg("acc").alias("mean"), F.percentile("acc", F.lit(0.5)).alias("median"),
+    acc = materialise(accuracy_by_symbol(t))
+    median = xs.quantile_table(acc, "acc", (0.5,), ()).select(c("q")[0]).scalar()
+    return rounded(acc.agg(
+        F.avg("acc").alias("mean"), F.max(median).alias("median"),
         F.stddev_pop("acc").alias("std"), F.min("acc").alias("min"), F.max("acc").alias("max"),
         F.min_by("sym", key).alias("worst"), F.max_by("sym", key).alias("best")))
 

@@ -50,6 +50,14 @@ class Inputs:
     def fund(self) -> DataFrame:
         return fundamentals(self.statements)
 
+    @cached_property
+    def wide_fund(self) -> DataFrame:
+        return fundamentals(src.statement_lines(self.spark, self.folder, "supplier"))
+
+    @cached_property
+    def wide_bound(self) -> int | None:
+        return src.series_bound(self.spark, self.folder, "s_suppkey", "supplier")
+
     @cached_property
     def factors(self) -> DataFrame:
         return plan.factor_table(self.bars, self.bench, self.fund, bound=self.bound)
@@ -194,32 +202,41 @@ block("yearly", "", """SELECT p_brand AS sym, CAST(year(l_shipdate) AS INTEGER)
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS rev,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS qty
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+block("wyearly", "", BLOCKS["yearly"][1].replace("p_brand AS sym", "CAST(l_suppkey AS VARCHAR) AS sym")
+      .replace(" JOIN part ON l_partkey = p_partkey", ""))
 block("fund", "yearly", """SELECT sym, make_date(fy, 12, 31) AS fy_end,
     CAST(make_date(fy, 12, 31) + INTERVAL 90 DAY AS DATE) AS avail_date, ni / qty AS eps,
     CASE WHEN rev * 0.5::DOUBLE > 0 THEN ni / (rev * 0.5::DOUBLE) END AS roe,
     ni / nullif(lag(ni) OVER (PARTITION BY sym ORDER BY fy), 0) - 1 AS earn_growth,
     ni / nullif(rev, 0) AS profit_margin
   FROM yearly""")
+block("wfund", "wyearly", BLOCKS["fund"][1].replace("FROM yearly", "FROM wyearly"))
 
 MOM = div(lag("close", 21), lag("close", 252)) + " - 1"
 RANKED = plan.RANKED
 
-block("feat0", "bars bench", f"""SELECT bars.*, bench, volume * close AS vc, {ret(20)} AS ret_20,
+def factor_blocks(p: str, bars: str, fund: str) -> None:
+    """Register <p>factors over a bar and a statement table."""
+    block(p + "feat0", f"{bars} bench", f"""SELECT b.*, bench, volume * close AS vc, {ret(20)} AS ret_20,
     {MOM} AS mom_12_1, {ret(126)} AS mom_6m,
     deliv_pct - {roll('avg', 'deliv_pct', 20, 5)} AS deliv_chg20, {fwd(30)} AS fwd_ret
-  FROM bars LEFT JOIN bench USING (date)""")
-block("feat", "feat0", f"""SELECT *, -ret_20 AS rev, {roll('avg', 'vc', 20)} AS liq,
-    deliv_pct * ret_20 AS deliv_x_ret, fwd_ret - {fwd(30, 'bench')} AS fwd_excess FROM feat0""")
-block("fact0", "feat fund", """SELECT f.* EXCLUDE (bench, vc, fwd_ret), avail_date, eps, roe,
+  FROM {bars} b LEFT JOIN bench USING (date)""")
+    block(p + "feat", p + "feat0", f"""SELECT *, -ret_20 AS rev, {roll('avg', 'vc', 20)} AS liq,
+    deliv_pct * ret_20 AS deliv_x_ret, fwd_ret - {fwd(30, 'bench')} AS fwd_excess FROM {p}feat0""")
+    block(p + "fact0", f"{p}feat {fund}", f"""SELECT f.* EXCLUDE (bench, vc, fwd_ret), avail_date, eps, roe,
     earn_growth, profit_margin, eps / nullif(close, 0) AS earn_yield
-  FROM feat f ASOF LEFT JOIN fund u ON f.sym = u.sym AND f.date >= u.avail_date
-  WHERE f.sym IN (SELECT sym FROM fund)""")
-block("fact1", "fact0", "SELECT *, " + ", ".join(f"{prank(f)} AS rank_{f}" for f in RANKED)
-      + " FROM fact0")
-block("fact2", "fact1", """SELECT *, round((rank_mom_12_1 + rank_rev) / 2, 12) AS score_mr,
-    round((rank_rev + (1 - rank_deliv_x_ret) + rank_earn_yield) / 3, 12) AS score_fund3 FROM fact1""")
-block("factors", "fact2", f"""SELECT *, {prank('score_mr')} AS rank_score_mr,
-    {prank('score_fund3')} AS rank_score_fund3 FROM fact2""")
+  FROM {p}feat f ASOF LEFT JOIN {fund} u ON f.sym = u.sym AND f.date >= u.avail_date
+  WHERE f.sym IN (SELECT sym FROM {fund})""")
+    block(p + "fact1", p + "fact0", "SELECT *, " + ", ".join(
+        f"{prank(f)} AS rank_{f}" for f in RANKED) + f" FROM {p}fact0")
+    block(p + "fact2", p + "fact1", f"""SELECT *, round((rank_mom_12_1 + rank_rev) / 2, 12) AS score_mr,
+    round((rank_rev + (1 - rank_deliv_x_ret) + rank_earn_yield) / 3, 12) AS score_fund3 FROM {p}fact1""")
+    block(p + "factors", p + "fact2", f"""SELECT *, {prank('score_mr')} AS rank_score_mr,
+    {prank('score_fund3')} AS rank_score_fund3 FROM {p}fact2""")
+
+
+factor_blocks("", "bars", "fund")
+factor_blocks("w", "wbars", "wfund")
 block("ds0", "bars", f"""SELECT *, volume * close AS vc, {ret(20)} AS ret_20, {MOM} AS mom_12_1,
     {ret(126)} AS mom_6m, {fwd(5)} AS fwd_5, {fwd(10)} AS fwd_10, {fwd(20)} AS fwd_20,
     count(close) OVER (PARTITION BY sym) AS nb FROM bars""")

@@ -211,6 +211,14 @@ def _(t):
                 keys=("sym", "date", "avail_date"))
 
 
+@query("XS-9_factor_table_suppliers", sql("wfactors", f"""SELECT sym, date, avail_date,
+  {r('; '.join(COLUMNS36 + ['rank_' + f for f in RANKED]))} FROM wfactors"""))
+def _(t):
+    table = plan.factor_table(t.wide_bars, t.bench, t.wide_fund, bound=t.wide_bound)
+    return keep(table, *COLUMNS36, *[f"rank_{f}" for f in RANKED],
+                keys=("sym", "date", "avail_date"))
+
+
 CELLS = " UNION ALL ".join(
     f"SELECT sym, date, '{m}' AS model, CAST({h} AS INTEGER) AS horizon, sig_{m} AS sig, fwd_{h} AS fwd, "
     f"exc_{h} AS exc FROM sigp" for m in plan.MODELS for h in (5, 10, 20))

@@ -259,6 +259,25 @@ def correlation(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
+def factor_ic(df: DataFrame, factor: str, target: str = "fwd_excess", method: str = "spearman",
+              by: str = "date", min_names: int = 6, bound: int | None = None,
+              key: str = "sym") -> DataFrame:
+    """One row: mean correlation per date and the number of dates it is known for.
+
+    Dates overlap when the target spans several of them; test significance on every h-th date.
+    """
+    if method == "spearman":
+        per = information_coefficient(df, [factor], target, by, min_names, bound, key=key)
+    elif method == "pearson":
+        known = df.where(c(factor).isNotNull() & c(target).isNotNull())
+        per = (known.groupBy(by).agg(correlation(factor, target).alias("ic"),
+                                     F.count(F.lit(1)).alias("n"))
+               .where((F.col("n") >= min_names) & F.col("ic").isNotNull()))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return per.agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_dates"))
+
+
 def information_coefficient(df: DataFrame, factors: Sequence[str], target: str = "fwd_excess",
                             by: str = "date", min_names: int = 6, bound: int | None = None,
                             range_cells: int = RANGE_CELLS, key: str = "sym") -> DataFrame:

@@ -92,16 +92,24 @@ def event_bars(spark: SparkSession, folder: str) -> DataFrame:
                  F.count("value").cast("double").alias("volume")))
 
 
-def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Long statement table (sym, statement, item, period, value) per brand and fiscal year."""
-    part = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("sym"))
-    li = table(spark, folder, "lineitem").select(
-        "l_partkey", F.year("l_shipdate").alias("fy"),
+def statement_lines(spark: SparkSession, folder: str, per: str = "brand") -> DataFrame:
+    """Long statement table (sym, statement, item, period, value) per fiscal year.
+
+    ``per`` is "brand" or "supplier".
+    """
+    li = table(spark, folder, "lineitem")
+    if per == "brand":
+        part = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("sym"))
+        li = li.join(part, li.l_partkey == part.p_partkey)
+    else:
+        li = li.withColumn("sym", F.col("l_suppkey").cast("string"))
+    li = li.select(
+        "sym", F.year("l_shipdate").alias("fy"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
         F.col("l_quantity").cast("bigint").alias("qty"))
     yearly = (
-        li.join(part, li.l_partkey == part.p_partkey).groupBy("sym", "fy")
+        li.groupBy("sym", "fy")
         .agg((F.sum(F.col("cents") * (100 - F.col("disc"))) / 10000.0).alias("ni"),
              (F.sum("cents") / 100.0).alias("rev"), F.sum("qty").cast("double").alias("qty")))
     period = F.make_date("fy", F.lit(12), F.lit(31)).alias("period")

@@ -51,11 +51,3 @@ def prediction_outcomes(predictions: DataFrame, bars: DataFrame, within: str = "
     return p.join(b, on).select(
         "key", "pred_ts", "bar_ts", hit.alias("is_hit"),
         (F.abs(F.col("pred_price") - F.col("price")) / F.col("price") * 100).alias("mape"))
-
-
-def running_accuracy(outcomes: DataFrame, size: str = "1 day") -> DataFrame:
-    """Hits and error sums per day of the realised bar; a second stateful step on the stream."""
-    return (outcomes.groupBy(F.window("bar_ts", size).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_hit").alias("hits"),
-                 F.avg("mape").alias("mape"))
-            .select(F.col("w.start").alias("day"), "n", "hits", "mape"))

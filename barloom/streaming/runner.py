@@ -14,9 +14,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1,
-                 pattern: str = "events.parquet") -> DataFrame:
-    """Event files as a stream; zone-free times become UTC timestamps for watermarks."""
-    return (spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch)
+                 pattern: str = "events.parquet", bytes_per_batch: str | None = None) -> DataFrame:
+    """Event files as a stream; zone-free times become UTC timestamps for watermarks.
+
+    A batch is limited by files or by bytes, which also bounds what a key brings to one batch.
+    """
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else \
+        ("maxFilesPerTrigger", files_per_batch)
+    return (spark.readStream.schema(EVENTS).option(*limit)
             .option("pathGlobFilter", pattern).parquet(folder)
             .withColumn("ts", F.col("ts").cast("timestamp")))
 

@@ -1,7 +1,8 @@
 """Per-key state machines on transformWithStateInPandas.
 
-Rows of a key are handled in event-time order inside a batch; late rows below the watermark are not
-reordered into the past.
+Rows of a key are handled in event-time order inside a batch; late rows are not reordered into the
+past.  A key never brings more than one batch, whose size the source limits (files or bytes per
+trigger); between batches only the small state is kept.
 """
 
 from __future__ import annotations

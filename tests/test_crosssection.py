@@ -125,3 +125,15 @@ def test_top_k_and_fifths(frame, data):
 def test_buckets_on_tiny_group(spark):
     df = spark.createDataFrame([("a", 1, 1.0)], "sym string, date int, x double")
     assert xs.quantile_cut(df, "x", bound=5).first().bucket == 0
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+def test_mean_factor_ic(frame, data, method):
+    from barloom.api import factor_ic
+    got = factor_ic(frame, "x", "y", method, bound=1000).first()
+    want = data.dropna().groupby("date").apply(
+        lambda g: np.corrcoef(*((g.x.rank(), g.y.rank()) if method == "spearman" else (g.x, g.y)))[0, 1],
+        include_groups=False)
+    assert got.n_dates == len(want) and got.mean_ic == pytest.approx(want.mean())
+    with pytest.raises(ValueError):
+        factor_ic(frame, "x", "y", "kendall")
