@@ -35,9 +35,9 @@ def sided(t):
     return signal_pnl(t.signals.withColumn("pred", (c("proba") >= 0.6).cast("int")), 0.6, 10)
 
 
-def hits(t):
+def hits(t, signals=None):
     word = lambda cond: F.when(cond, F.lit("UP")).otherwise(F.lit("DOWN"))
-    return t.signals.withColumns({
+    return (t.signals if signals is None else signals).withColumns({
         "dir_a": word(c("proba") >= 0.5), "dir_b": word(c("proba") >= 0.6),
         "actual_dir": word(c("fwd_ret") >= 0), "tradeable": F.abs(c("proba") - 0.5) >= 0.2,
         "is_hit": (c("proba") >= 0.5) == (c("fwd_ret") >= 0)})
@@ -302,7 +302,7 @@ def _(t):
 FROM (SELECT *, quantile_cont(proba, 0.5) OVER () AS md FROM hits)"""))
 def _(t):
     from ..operators.backtest import confidence_gate
-    return rounded(confidence_gate(hits(t), "proba"))
+    return rounded(confidence_gate(hits(t, t.stored_signals), "proba"))
 
 
 @query("AGG-21_synthetic_benchmark", sql("rets", f"""SELECT date, {r('''log_level=ln(product(1 + coalesce(m, 0)) OVER (ORDER BY date));

@@ -43,7 +43,7 @@ block("trades", "signals greedy_dates", """SELECT date, avg(fwd_excess) - 2 * 0.
 
 
 def trades(t):
-    return bt.basket(t.signals, bt.greedy_schedule(t.signals, 10, 25), "proba", 5)
+    return bt.basket(t.stored_signals, bt.greedy_schedule(t.stored_signals, 10, 25), "proba", 5)
 
 
 @query("BT-3_basket_pnl", sql("trades", f"SELECT date, {r('pnl; hit')}, picks FROM trades"))
@@ -77,8 +77,8 @@ block("vs1", "vs0", """SELECT date, avg(fwd_ret) FILTER (k <= 5) - 0.002::DOUBLE
 @query("BT-5_basket_and_universe", sql("vs1", """SELECT date, picks, round_even(s * 100, 2) AS strat_ret, round_even(b * 100, 2) AS bench_ret,
   round_even((s - b) * 100, 2) AS excess, hit_rate FROM vs1"""))
 def _(t):
-    grid = bt.greedy_schedule(t.signals, 10, 25)
-    return bt.against_universe(t.signals.join(grid, "date", "left_semi"), "proba", 5, horizon=1)
+    grid = bt.greedy_schedule(t.stored_signals, 10, 25)
+    return bt.against_universe(t.stored_signals.join(grid, "date", "left_semi"), "proba", 5, horizon=1)
 
 
 block("rot0", "health", "SELECT sym, date, close, score FROM health WHERE sma_50 IS NOT NULL")

@@ -75,6 +75,14 @@ class Inputs:
     def signals(self) -> DataFrame:
         return plan.signals(self.bars, self.bench, bound=self.bound)
 
+    @cached_property
+    def stored_bars(self) -> DataFrame:
+        return materialise(self.bars)
+
+    @cached_property
+    def stored_signals(self) -> DataFrame:
+        return materialise(self.signals)
+
     @cached_property
     def bound(self) -> int | None:
         return src.series_bound(self.spark, self.folder)

@@ -35,9 +35,9 @@ block("tr", "ex", f"""SELECT sym, direction, entry_price, exit_price, shares, ro
 
 
 def sized(t):
-    df = t.bars.withColumn("r", w.change("close", 20)).where(c("r").isNotNull())
+    df = t.stored_bars.withColumn("r", w.change("close", 20)).where(c("r").isNotNull())
     df = xs.rank_pct(df, {"p": "r"}, bound=t.bound)
-    df = df.join(joins.every_hth_date(t.bars, 10), "date", "left_semi")
+    df = df.join(joins.every_hth_date(t.stored_bars, 10), "date", "left_semi")
     df = df.select("sym", c("date").alias("entry_date"), c("close").alias("price"),
                    F.when(c("r") >= 0, F.lit("UP")).otherwise(F.lit("DOWN")).alias("direction"),
                    (40 + 60 * c("p")).alias("confidence"), F.lit(CAPITAL).alias("capital"))
@@ -50,7 +50,7 @@ def positions(t, stop=ledger.STOP, target=ledger.TARGET):
 
 
 def closed(t):
-    return ledger.exits(positions(t), t.bars)
+    return ledger.exits(positions(t), t.stored_bars)
 
 
 @query("TR-1_position_size", sql("pos1", f"SELECT sym, entry_date, {r('confidence')}, shares FROM pos1"))
@@ -84,7 +84,7 @@ block("open5", "pos5 bars", """SELECT p.sym, p.entry_date, direction, entry_pric
 @query("TR-5_open_value", sql("open5", f"""SELECT sym, count(*) AS n_open, {r(f"open_pnl=sum({PNL.replace('exit_price', 'last_close')})", 4)}
 FROM open5 GROUP BY 1"""))
 def _(t):
-    return rounded(ledger.open_value(ledger.exits(positions(t, 0.99, 99.0), t.bars)), 4)
+    return rounded(ledger.open_value(ledger.exits(positions(t, 0.99, 99.0), t.stored_bars)), 4)
 
 
 @query("TR-6_performance_report", sql("tr", """SELECT n AS total_trades, wn AS winning_trades, n - wn AS losing_trades, round_even(wn / n * 100, 2) AS win_rate,

@@ -112,7 +112,7 @@ block("hist", "signals", """SELECT *, row_number() OVER (PARTITION BY date ORDER
 
 def snapshot_files(t):
     path = new_path(t.spark, "snapshots")
-    snapshots.history(t.signals, "proba").write.json(path)
+    snapshots.history(t.stored_signals, "proba").write.json(path)
     return snapshots.read_snapshots(t.spark, path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c, clip, ratio
+from ..session import materialise
 
 # Risk settings of the ledger.
 MAX_POSITION, FLOOR_VALUE, STOP, TARGET, MAX_HOLD = 0.10, 10000.0, 0.03, 0.06, 10
@@ -67,6 +68,7 @@ def exits(positions: DataFrame, bars: DataFrame, max_hold: int = MAX_HOLD,
     first = F.filter(F.transform("_near", judged), lambda x: x["s"].isNotNull())
     held = positions.join(entry, ["sym", "entry_date"]).withColumn(
         "_hit", F.get(first, F.lit(0))).drop("_near")
+    held = materialise(held)  # split in two below
     open_still = c("_hit").isNull() & (c("bars") > near)
 
     later = bars.select(c("sym").alias("_s"), c("date").alias("_d"), "high", "low")

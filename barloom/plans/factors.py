@@ -10,6 +10,7 @@ from ..functions import windows as w
 from ..functions.exprs import c, ratio
 from ..operators import crosssection as xs
 from ..operators import joins
+from ..session import materialise
 
 # Ranked factors of the released table, and the default horizon.
 RANKED = ("rev", "mom_12_1", "mom_6m", "liq", "deliv_pct", "deliv_chg20", "deliv_x_ret",
@@ -93,9 +94,7 @@ def model_bench(df: DataFrame, horizons: tuple[int, ...], bound: int | None = No
                                c(f"sig_{m}").alias("sig"), c(f"fwd_{h}").alias("fwd"),
                                c(f"exc_{h}").alias("exc"))
                       for m in MODELS for h in horizons])
-    latest = df.agg(F.max("date")).scalar()
-    long = df.withColumn("_latest", latest).select(
-        "sym", (c("date") == c("_latest")).alias("is_latest"), F.inline(cells))
+    long = df.select("sym", "date", F.inline(cells))
     scored = F.col("fwd").isNotNull() & F.col("exc").isNotNull()
     is_long = F.col("sig") >= 0.5
     hit = lambda x: F.avg(F.when(scored, (is_long == (F.col(x) > 0)).cast("double")))
@@ -103,8 +102,9 @@ def model_bench(df: DataFrame, horizons: tuple[int, ...], bound: int | None = No
         hit("exc").alias("acc_excess"), hit("fwd").alias("acc_abs"),
         F.avg(F.when(scored, (F.col("fwd") > 0).cast("double"))).alias("up_rate"),
         F.count(F.when(scored, F.lit(1))).alias("n"),
-        F.max(F.when(F.col("is_latest"), F.col("sig"))).alias("sig"),
-        F.max("is_latest").alias("listed")).where("listed").drop("listed")
+        F.max_by("sig", "date").alias("sig"), F.max("date").alias("_last"))
+    per = materialise(per)  # one row per symbol, model and horizon; read three times below
+    per = per.where(F.col("_last") == per.agg(F.max("_last")).scalar()).drop("_last")
     ranked = xs.ordinal(per, "sig", ["model", "horizon"], "sym", bound)
     size = per.groupBy("model", "horizon").agg(F.count(F.lit(1)).alias("universe"))
     pct = lambda x: F.bround(F.col(x) * 100, 1)
