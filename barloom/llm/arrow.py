@@ -42,3 +42,16 @@ def groups(texts: list[bytes], budget: int) -> Iterator[tuple[int, int]]:
 
 def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``budget`` bytes of ``column``, so that memory follows the budget
+    and the longest text, not the number of rows that Spark puts in a batch."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        first = 0
+        while first < len(sizes):
+            running = np.cumsum(sizes[first:first + 4096])
+            n = max(1, int(np.searchsorted(running, budget)))
+            yield batch.slice(first, n)
+            first += n

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import utf8
+from .arrow import slices, utf8
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -40,7 +40,7 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     reaches its reducer as one row per task.  The largest doc_id of a key keeps its lines.
     """
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [{line_hash(line, min_chars) for line in set(text.split(b"\n"))} - {None}
                      for text in utf8(batch.column("text"))]
             flat = pa.array([h for some in found for h in some], pa.binary())
@@ -71,7 +71,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     names = base.columns
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, before, gone = [], [], []
             for text, bad in zip(utf8(batch.column("text")), batch.column("_dropped").to_pylist()):
                 lines = text.split(b"\n")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup
+from . import linededup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 OP7_SQL = """
 WITH lines AS (
   SELECT doc_id, i AS place, parts[i] AS line,
@@ -49,3 +56,10 @@ FROM marked GROUP BY doc_id
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = linededup.dedup_lines(documents(spark, folder), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
