@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing
+from . import binary, linededup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query("op1_token_binary_output")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return binary.materialise_order(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
