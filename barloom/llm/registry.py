@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, linededup, packing
+from . import binary, linededup, packing, prefixcounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_token_binary_output")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return binary.materialise_order(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    counts = prefixcounts.prefix_counts(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
+    return prefixcounts.answers(counts, budget=2048) \
+        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars")
