@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, linededup, packing, prefixcounts
+from . import binary, linededup, packing, prefixcounts, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     counts = prefixcounts.prefix_counts(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
     return prefixcounts.answers(counts, budget=2048) \
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars")
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")

@@ -1,7 +1,7 @@
 """Words, shingles and their 64-bit hashes for whole groups of texts at once, in numpy.
 
 A word is a maximal run of bytes outside a set of ASCII separators; since all separators are ASCII,
-bytes of UTF-8 give the same words as code points.  A-Z count as a-z.  A word's hash is a polynomial
+bytes of UTF-8 give the same words as code points.  A-Z count as a-z (``fold``).  A word's hash is a polynomial
 over per-byte random values modulo 2**64 with a final mix; a shingle's hash mixes its words' hashes.
 Long texts are read in windows that end at a separator, so memory follows the window and the words
 of one text, not the bytes of a group.
@@ -45,9 +45,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _tables(separators: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     values = _odd(12, 256)
-    values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
+    if fold:
+        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
     is_word = np.ones(256, bool)
     is_word[list(separators)] = False
     if ord("A") in separators:  # the separators are given for lower-cased text
@@ -56,9 +57,9 @@ def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     return values, is_word
 
 
-def window_words(buffer: np.ndarray, separators: bytes = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_words(buffer: np.ndarray, separators: bytes = SPACES, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of a buffer that begins and ends with a separator."""
-    values, is_word = worker_cache(f"wordhash-{separators.hex()}", lambda: _tables(separators))
+    values, is_word = worker_cache(f"wordhash-{separators.hex()}-{fold}", lambda: _tables(separators, fold))
     size = 1 << max(20, int(len(buffer)).bit_length())
     up, down = worker_cache(f"wordhash-powers-{size}", lambda: _powers(size))
     inside = is_word[buffer]
@@ -84,18 +85,18 @@ def _windows(text: bytes, separators: bytes) -> Iterator[bytes]:
         at = end
 
 
-def hashed_words(texts: list[bytes], separators: bytes = SPACES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[bytes], separators: bytes = SPACES, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, words per text, hashes of all words) of group after group of texts."""
     for first, last in groups(texts, WINDOW):
         if last - first == 1 and len(texts[first]) > WINDOW:
-            parts = [window_words(np.frombuffer(b" " + piece + b" ", np.uint8), separators)[2]
+            parts = [window_words(np.frombuffer(b" " + piece + b" ", np.uint8), separators, fold)[2]
                      for piece in _windows(texts[first], separators)]
             words = np.concatenate(parts)
             yield first, np.array([len(words)]), words
             continue
         some = texts[first:last]
         buffer = np.frombuffer(b" " + b" ".join(some) + b" ", np.uint8)
-        starts, _, words = window_words(buffer, separators)
+        starts, _, words = window_words(buffer, separators, fold)
         borders = np.cumsum([1] + [len(t) + 1 for t in some])
         yield first, np.diff(np.searchsorted(starts, borders)), words
 
