@@ -3,8 +3,9 @@
 The pre-tokenizer of such a model never joins what stands before a space with the space and the
 non-space after it, nor across a line break between two non-spaces.  Texts are cut there, each piece
 is encoded once per worker process by the library and kept, and the ids of a text are the pieces'
-ids in a row: the same ids as for the text at once, several times faster, since words repeat.
-Models of another kind are given whole texts.
+ids in a row: the same ids as for the text at once, several times faster, since words repeat.  A new
+piece of Latin letters and signs behind them goes straight to the library's model; any other piece
+goes through the whole of its pre-tokenizer.  Models of another kind are given whole texts.
 """
 
 from __future__ import annotations
@@ -15,16 +16,26 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 LONG_PIECE = 48
+#: Letters of the Latin blocks, then signs that are neither letters nor digits: two words to the pre-tokenizer.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 BEFORE_WORD = re.compile(r"(?= \S)")
 
 
+def byte_letters() -> list[str]:
+    """The letter by which byte-level models write each byte: printable bytes as themselves, the
+    others as the letters from code point 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
 class PieceEncoder:
     """Texts to little-endian ids of ``width`` bytes.
 
-    Pieces are kept under a key: a piece after one space under its text without the space, any other
-    under a mark (a line break) and its text; a kept piece itself begins with no white space.
+    A piece that follows a space is kept under its text without the space, any other under a line
+    break and its text; a piece of the first kind begins with no white space.
     """
 
     def __init__(self, path: str):
@@ -38,43 +49,54 @@ class PieceEncoder:
         self.cuts = (first.get("type") == "ByteLevel" and first.get("use_regex") is True
                      and not first.get("add_prefix_space") and not spec.get("normalizer"))
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.bpe = self.model.model
+        self.packed = [x.tobytes() for x in np.arange(self.model.get_vocab_size(True)).astype(self.kind)]
+        self.letters = byte_letters()
         self.kept: dict[str, bytes] = {}
 
-    def _keys(self, text: str) -> list[str]:
-        """The text as keys of pieces that can be encoded apart from each other."""
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        spelled = (word.replace(" ", self.letters[0x20]) if word.isascii()
+                   else "".join([self.letters[b] for b in word.encode()]))
+        return b"".join([self.packed[t.id] for t in self.bpe.tokenize(spelled)])
+
+    def _piece(self, piece: str, spaced: bool) -> bytes:
+        """Ids of a piece, with the space before it if ``spaced``."""
+        key = piece if spaced else "\n" + piece
+        ids = self.kept.get(key)
+        if ids is None:
+            space = " " if spaced else ""
+            if simple := WORD_AND_SIGNS.fullmatch(piece):
+                ids = self._word(space + simple[1])
+                if simple[2]:
+                    ids += self._piece(simple[2], False)
+            else:
+                ids = self._whole(space + piece)
+            if len(piece) <= LONG_PIECE:
+                self.kept[key] = ids
+        return ids
+
+    def _uneven(self, text: str) -> bytes:
+        """For texts with runs of white space: cut only before a space that a non-space follows."""
+        return b"".join([self._piece(x[1:], True) if x[0] == " " and len(x) > 1 and not x[1].isspace()
+                         else self._piece(x, False) for x in BEFORE_WORD.split(text) if x])
+
+    def _text(self, text: str) -> bytes:
         parts = text.split(" ")
         parts[0] = "\n" + parts[0]
-        keys: list[str] = []
-        for i, part in enumerate(parts):
-            if part in self.kept:
-                keys.append(part)
-                continue
-            lines = part.split("\n")
-            if i == 0:
-                lines = lines[1:]
+        found = list(map(self.kept.get, parts))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            lines = parts[i].split("\n")[i == 0:]
             if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 return self._uneven(text)
-            keys.append(lines[0] if i else "\n" + lines[0])
-            for line in lines[1:]:
-                keys += ("\n\n", "\n" + line)
-        return keys
-
-    def _uneven(self, text: str) -> list[str]:
-        """For texts with runs of white space: cut only before a space that a non-space follows."""
-        return [x[1:] if x[0] == " " and not x[1:2].isspace() and len(x) > 1 else "\n" + x
-                for x in BEFORE_WORD.split(text) if x]
+            found[i] = self._piece(lines[0], i > 0)
+            if len(lines) > 1:
+                found[i] += b"".join([self._piece("\n", False) + self._piece(x, False) for x in lines[1:]])
+        return b"".join(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE_PIECES:
             self.kept.clear()
-        keys = [self._keys(t) if self.cuts else ["\n" + t] for t in texts]
-        new = list({k for some in keys for k in some if k not in self.kept})
-        passing: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            plain = [k[1:] if k[0] == "\n" else " " + k for k in some]
-            for k, e in zip(some, self.model.encode_batch(plain, add_special_tokens=False)):
-                (self.kept if len(k) <= LONG_PIECE else passing)[k] = np.array(e.ids, self.kind).tobytes()
-        if not passing:
-            return [b"".join([self.kept[k] for k in some]) for some in keys]
-        return [b"".join([passing[k] if k in passing else self.kept[k] for k in some]) for some in keys]
+        return [self._text(t) if self.cuts else self._whole(t) for t in texts]
