@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_path
 from .arrow import slices, utf8, worker_cache
 from .packing import part_bases
+from .store import stored
 from .tokenids import PieceEncoder
 
 ROUNDS = 6
@@ -83,10 +83,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int) -
     longs = {c: T.StructField(c, T.LongType()) for c in ("part", "row", "nth", "n_tokens")}
     schema = T.StructType([longs["part"], longs["row"], docs.schema["doc_id"], longs["nth"], longs["n_tokens"],
                            T.StructField("ids", T.BinaryType())])
-    spark = docs.sparkSession
-    path = new_path(spark, "sequences")
-    docs.select("doc_id", "text").mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return stored(docs.select("doc_id", "text").mapInArrow(encode, schema), "sequences")
 
 
 def shards(sequences: DataFrame, length: int, key: int, per_shard: int, pad_id: int, token_bytes: int) -> DataFrame:
@@ -152,10 +149,10 @@ def materialise_order(docs: DataFrame, tokenizer: str, length: int = 512, key: i
     A null or empty text is one sequence with the one id ``end_id``; every row is a document,
     repeated or not, and a null doc_id is carried along; other columns are not.
     """
-    stored = token_sequences(docs, tokenizer, length, end_id)
+    cut = token_sequences(docs, tokenizer, length, end_id)
     from tokenizers import Tokenizer
     wide = Tokenizer.from_file(tokenizer).get_vocab_size(True) > 1 << 16
-    return shards(stored, length, key, per_shard, end_id, 4 if wide else 2)
+    return shards(cut, length, key, per_shard, end_id, 4 if wide else 2)
 
 
 def write_shards(table: DataFrame, path: str) -> None:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_path
 from .arrow import slices, utf8, worker_cache
+from .store import stored
 from .tokenids import PieceEncoder
 
 
@@ -44,15 +44,12 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("part", T.LongType()),
                            T.StructField("part_start", T.LongType()), T.StructField("doc_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType())])
-    spark = docs.sparkSession
-    path = new_path(spark, "token-ids")
-    docs.select("doc_id", "text").mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return stored(docs.select("doc_id", "text").mapInArrow(encode, schema), "token-ids")
 
 
-def part_bases(stored: DataFrame, amount: str) -> DataFrame:
+def part_bases(rows: DataFrame, amount: str) -> DataFrame:
     """(part, base, total): the sum of ``amount`` over the parts before, one row per part."""
-    totals = stored.groupBy("part").agg(F.sum(amount).alias("_n"))
+    totals = rows.groupBy("part").agg(F.sum(amount).alias("_n"))
     order = Window.orderBy("part")
     return totals.select("part", (F.sum("_n").over(order) - F.col("_n")).alias("base"))
 
@@ -66,8 +63,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     gives no pieces.  Other columns are not carried.  The table of bases that is broadcast has a row
     for each input partition, whatever the number of documents.
     """
-    stored = tokenised(docs, tokenizer, end_id)
-    placed = stored.join(F.broadcast(part_bases(stored, "doc_tokens")), "part") \
+    tokens = tokenised(docs, tokenizer, end_id)
+    placed = tokens.join(F.broadcast(part_bases(tokens, "doc_tokens")), "part") \
         .select("doc_id", "doc_tokens", (F.col("base") + F.col("part_start")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
