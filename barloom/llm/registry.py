@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, linededup, minhash, packing, prefixcounts, quality
+from . import binary, licenses, linededup, minhash, packing, prefixcounts, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,55 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder), width=5, percent=75)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_sql(threshold: float) -> str:
+    """Base places by word positions; labels by comparing every line with every template."""
+    word = "[^\\x{0}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+"
+    phrases = ", ".join(f"({_quoted(p)}, {_quoted(label)})" for p, label in licenses.PHRASES.items())
+    sets = ", ".join(f"({n}, {_quoted(label)}, [{', '.join(map(_quoted, tokens))}])"
+                     for n, (label, tokens) in enumerate(licenses.template_sets(licenses.TEMPLATES)))
+    return f"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+worded AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS words FROM lowered),
+phrases AS (SELECT string_split(phrase, ' ') AS parts, label FROM (VALUES {phrases}) v(phrase, label)),
+spots AS (
+  SELECT doc_id, label, i - 1 AS spot
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM worded), phrases
+  WHERE words[i:i + len(parts) - 1] = parts),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base_labels
+  FROM spots GROUP BY doc_id),
+templates AS (SELECT * FROM (VALUES {sets}) v(nth, label, tokens)),
+lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS tokens
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM lowered)),
+hits AS (
+  SELECT l.doc_id, t.label, len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) AS share
+  FROM lines l, templates t
+  WHERE len(list_intersect(l.tokens, t.tokens)) >= ceil({threshold} * len(t.tokens) - 1e-9)),
+method AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base,
+       b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(b.base_labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.base_labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0)::DOUBLE END AS score
+FROM worded w LEFT JOIN base b USING (doc_id) LEFT JOIN method m USING (doc_id)
+"""
+
+
+@query("op5_license_scan", license_sql(0.85))
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, folder), threshold=0.85).drop("blocks")
+
+
+@query("op6_weighted_tree_sharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = sharding.shard_documents(documents(spark, folder), sharding.even_tree(3, 2, 4))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
