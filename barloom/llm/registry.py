@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, licenses, linededup, minhash, packing, prefixcounts, quality, sharding
+from . import binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_documents(documents(spark, folder), sharding.even_tree(3, 2, 4))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), threshold=0.75)
