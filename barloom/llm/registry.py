@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, sharding
+from . import binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, secretscan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), threshold=0.75)
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    out = secretscan.scan_secrets(documents(spark, folder))
+    # the secret itself stays out of the result
+    return out.select("doc_id", "place", F.char_length("value").cast("long").alias("length"),
+                      F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), "label", "score", "finding")
