@@ -39,7 +39,7 @@ def _(t):
 @query("SNK-3_coverage_csv", sql("factors", " UNION ALL ".join(
     f"SELECT '{f}' AS factor, round_even(avg(CAST({f} IS NOT NULL AS INTEGER)) * 100, 1) AS non_null_pct FROM factors" for f in RANKED)))
 def _(t):
-    return t.spark.read.schema("factor string, non_null_pct double").option("header", True).csv(f"{released(t)}/coverage")
+    return release.coverage(t.spark, released(t))
 
 
 @query("SNK-4_manifest_json", sql("bars factors fund g_look g_ret g_dup g_cov", f"""SELECT '{VERSION}' AS version, CAST(30 AS INTEGER) AS horizon_days,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.exprs import c, rounded
 from ..operators import rows as rw
+from ..operators.quality import GateFailure
 from ..plans import factors as plan
 from ..session import new_path
 from ..sources import flows, raw, release, snapshots, statements, universe
@@ -19,18 +20,32 @@ from .base import BLOCKS, RANKED, block, div, query, r, sql
 from .timeseries import keep
 
 RELEASES: dict[tuple, str] = {}
-VERSION = "2001.11"
+VERSION, EARLIER, FAILING = "2001.11", "1999.12", "2002.01"
+EARLIER_END = "1999-12-31"
 
 
 def released(t) -> str:
-    """Root of a release of the folder's tables, written once per session."""
+    """Root with two releases of the folder's tables and a candidate that failed, written once per session.
+
+    The weekly tables have gaps that the coverage gate does not accept, so the two are published
+    without enforcing the gates; the candidate repeats a day's rows and is refused.
+    """
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in RELEASES:
         root = new_path(t.spark, "release")
         panel = t.bars.select("date", "sym", "close", "high", "low", "volume", "deliv_pct")
+        old = [df.where(c(day) <= F.lit(EARLIER_END).cast("date"))
+               for df, day in ((panel, "date"), (t.fund, "avail_date"), (t.factors, "date"))]
+        release.write_release(*old, RANKED, root, EARLIER, plan.HORIZON, check=False)
         release.write_release(panel, t.fund, t.factors, RANKED, root, VERSION, plan.HORIZON,
                               check=False)
-        RELEASES[key] = root
+        twice = panel.unionByName(panel.where(c("date") == F.lit("1999-12-27").cast("date")))
+        try:
+            release.write_release(twice, t.fund, t.factors, RANKED, root, FAILING, plan.HORIZON)
+        except GateFailure:
+            RELEASES[key] = root
+        else:
+            raise AssertionError("a candidate with repeated rows was published")
     return RELEASES[key]
 
 
@@ -98,6 +113,18 @@ def universe_rows(t, root):
     return release.universe(t.spark, root)
 
 
+@query("SRC-6_published_versions", sql("bars", f"""SELECT '{EARLIER}' AS version, count(*) AS panel_rows, max(date) AS as_of, count(DISTINCT sym) AS symbols
+FROM bars WHERE date <= DATE '{EARLIER_END}' UNION ALL SELECT '{VERSION}', count(*), max(date), count(DISTINCT sym) FROM bars"""))
+def _(t):
+    root = released(t)
+    rows = []
+    for version in release.published(t.spark, root):
+        listed = release.universe(t.spark, root, version).agg(F.max("as_of").alias("as_of"), F.count(F.lit(1)).alias("symbols"))
+        panel = release.load_panel(t.spark, root, version=version).agg(F.count(F.lit(1)).alias("panel_rows"))
+        rows.append(panel.crossJoin(listed).select(F.lit(version).alias("version"), "panel_rows", "as_of", "symbols"))
+    return rows[0].unionByName(rows[1])
+
+
 @query("SRC-7_release_resolution", sql("", """SELECT version FROM (SELECT DISTINCT strftime(o_orderdate, '%Y.%m') || CASE WHEN o_orderdate >= TIMESTAMP '2001-06-01'
   THEN '-sample' ELSE '' END AS version FROM orders) ORDER BY version LIKE '%sample%', version DESC LIMIT 1"""))
 def _(t):

@@ -1,9 +1,13 @@
-"""Versioned dataset releases: writing, resolving and loading."""
+"""Versioned dataset releases: writing, resolving and loading.
+
+Every artefact of a release lies in ``<root>/<artefact>/version=<version>``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ class UnknownColumns(KeyError):
     """A requested factor column does not exist."""
 
 
+class UnknownVersion(KeyError):
+    """A requested release was never published."""
+
+
 # ---- loading -------------------------------------------------------------------------------
 def slice_rows(df: DataFrame, symbols: Sequence[str] | str | None = None,
                start: str | None = None, end: str | None = None) -> DataFrame:
@@ -37,16 +45,34 @@ def resolve(versions: DataFrame, version: str = "version") -> DataFrame:
         .select("b.version")
 
 
-def newest(df: DataFrame) -> DataFrame:
-    """Rows of the resolved version of a partitioned table (partition pruning by subquery)."""
-    return df.where(c("version") == resolve(df.select("version").distinct()).scalar())
+def place(root: str, name: str, version: str) -> str:
+    """Folder of one artefact of one release."""
+    return f"{root}/{name}/version={version}"
+
+
+def published(spark: SparkSession, root: str) -> list[str]:
+    """Versions with a manifest; it is written last, so a release without one does not exist."""
+    try:
+        rows = manifest(spark, root, every=True).select("version").distinct().collect()
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return []
+    return [r["version"] for r in rows]
+
+
+def pick(spark: SparkSession, root: str, version: str | None = None) -> str:
+    """The given version, or the newest, of the published ones."""
+    have = published(spark, root)
+    if version is None and have:
+        return resolve(spark.createDataFrame([(v,) for v in have], "version string")).first()[0]
+    if version not in have:
+        raise UnknownVersion(f"no release {version}; published: {sorted(have)}")
+    return version
 
 
 def load(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root}/{name}")
-    df = df.withColumn("version", c("version").cast("string"))
-    df = newest(df) if version is None else df.where(c("version") == version)
-    return df.drop("version")
+    return spark.read.parquet(place(root, name, pick(spark, root, version)))
 
 
 def load_panel(spark, root, symbols=None, start=None, end=None, version=None) -> DataFrame:
@@ -69,16 +95,23 @@ def load_fundamentals(spark, root, symbols=None, version=None) -> DataFrame:
     return slice_rows(load(spark, root, FUNDAMENTALS, version), symbols)
 
 
-def universe(spark: SparkSession, root: str) -> DataFrame:
+def universe(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     return spark.read.schema("symbol string, as_of date").option("header", True).csv(
-        f"{root}/universe")
+        place(root, "universe", pick(spark, root, version)))
+
+
+def coverage(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    return spark.read.schema("factor string, non_null_pct double").option("header", True).csv(
+        place(root, "coverage", pick(spark, root, version)))
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(f"{root}/manifest")
+def manifest(spark: SparkSession, root: str, version: str | None = None, every: bool = False) -> DataFrame:
+    """The manifest of one release (default: the newest), or of all of them."""
+    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(f"{root}/manifest")
+    return rows if every else rows.where(c("version") == pick(spark, root, version))
 
 
-MANIFEST = ("version string, horizon_days int, n_symbols bigint, date_min date, date_max date, "
+MANIFEST = ("version string, built_utc timestamp, horizon_days int, n_symbols bigint, date_min date, date_max date, "
             "rows struct<panel: bigint, factors: bigint, fundamentals: bigint>, "
             "validation array<struct<gate: string, passed: boolean, detail: string>>, "
             "fingerprint struct<panel: string, factors: string, fundamentals: string>")
@@ -94,29 +127,32 @@ def fingerprint(df: DataFrame) -> DataFrame:
         .select(F.substring(F.sha2("text", 256), 1, 16).alias("fingerprint"))
 
 
-def write_table(df: DataFrame, root: str, name: str, version: str) -> None:
-    (df.withColumn("version", F.lit(version)).write.mode("overwrite")
-     .partitionBy("version").parquet(f"{root}/{name}"))
-
-
 def write_release(panel: DataFrame, fund: DataFrame, factors: DataFrame, ranked: Sequence[str],
-                  root: str, version: str, horizon: int, check: bool = True) -> None:
-    """Tables first, then gates and manifest over the written tables, so nothing runs twice."""
+                  root: str, version: str, horizon: int, check: bool = True,
+                  replace: bool = False) -> None:
+    """Write a release into folders of its own; other releases stay as they are.
+
+    The tables are written once, gates run over what was written, and only if they pass does the
+    manifest follow, which publishes the release.  A published version is not touched unless
+    ``replace`` is set; what a failed candidate left behind is not read and makes way for the next.
+    """
     spark = panel.sparkSession
+    if version in published(spark, root) and not replace:
+        raise ValueError(f"release {version} exists; set replace to write it again")
     for name, df in ((PANEL, panel), (FUNDAMENTALS, fund), (FACTORS, factors)):
-        write_table(df, root, name, version)
-    p, f, u = (load(spark, root, n, version) for n in (PANEL, FACTORS, FUNDAMENTALS))
+        df.write.mode("overwrite").parquet(place(root, name, version))
+    p, f, u = (spark.read.parquet(place(root, n, version)) for n in (PANEL, FACTORS, FUNDAMENTALS))
     gates = quality.all_gates(p, u, f, ranked)
     if check:
         quality.enforce(gates)
     newest_day = p.agg(F.max("date")).scalar()
     (p.select(c("sym").alias("symbol")).distinct().withColumn("as_of", newest_day)
      .orderBy("symbol").write.mode("overwrite").option("header", True)
-     .csv(f"{root}/universe"))
+     .csv(place(root, "universe", version)))
     coverage_table(f, ranked).write.mode("overwrite").option("header", True).csv(
-        f"{root}/coverage")
+        place(root, "coverage", version))
     build_manifest(p, u, f, gates, version, horizon).write.mode("overwrite").json(
-        f"{root}/manifest")
+        place(root, "manifest", version))
 
 
 def coverage_table(factors: DataFrame, ranked: Sequence[str]) -> DataFrame:
@@ -132,7 +168,7 @@ def build_manifest(panel: DataFrame, fund: DataFrame, factors: DataFrame, gates:
     base = panel.agg(F.count_distinct("sym").alias("n_symbols"), F.min("date").alias("date_min"),
                      F.max("date").alias("date_max"), F.count(F.lit(1)).alias("_rows"))
     return base.select(
-        F.lit(version).alias("version"), F.lit(horizon).alias("horizon_days"), "n_symbols",
+        F.lit(version).alias("version"), F.current_timestamp().alias("built_utc"), F.lit(horizon).alias("horizon_days"), "n_symbols",
         "date_min", "date_max",
         F.struct(c("_rows").alias("panel"), size(factors).alias("factors"),
                  size(fund).alias("fundamentals")).alias("rows"),

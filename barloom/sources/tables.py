@@ -77,7 +77,8 @@ def supplier_bars(spark: SparkSession, folder: str, unit: str = "week") -> DataF
 
 def benchmark(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     """Volume-weighted price of everything per period."""
-    return (lines(spark, folder).groupBy(F.trunc("day", unit).alias("date"))
+    period = F.col("day") if unit == "day" else F.trunc("day", unit)
+    return (lines(spark, folder).groupBy(period.alias("date"))
             .agg((F.sum("cents") / 100.0 / F.sum("qty")).alias("bench")))
 
 

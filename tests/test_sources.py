@@ -93,7 +93,8 @@ def test_release_round_trip(spark, panel):
     release.write_release(panel.select(cols), fund, factors, plan.RANKED, root, "2024.01", 10)
     back = release.load_panel(spark, root, "AAA.NS", "2022-02-01", "2022-02-28")
     assert back.count() == panel.where("sym = 'AAA.NS' and date between '2022-02-01' and '2022-02-28'").count()
-    assert "PartitionFilters" in back._jdf.queryExecution().toString()
+    assert all("/panel/version=2024.01/" in f for f in back.inputFiles())
+    assert "PushedFilters: [IsNotNull(sym)" in back._jdf.queryExecution().toString()
     two = release.load_factors(spark, root, columns=["rev"])
     assert two.columns == ["date", "sym", "rev"]
     with pytest.raises(release.UnknownColumns):
@@ -103,6 +104,38 @@ def test_release_round_trip(spark, panel):
     assert m.fingerprint.panel == release.fingerprint(panel.select(cols).repartition(7)).first()[0]
 
 
+def test_releases_survive_each_other(spark, panel):
+    bench, fund = bench_and_fund(spark, panel)
+    factors = plan.factor_table(panel, bench, fund, horizon=10, bound=6)
+    root = new_path(spark, "release-test")
+    with pytest.raises(release.UnknownVersion):
+        release.load_panel(spark, root)
+    half = panel.where("sym < 'DDD.NS'")
+    release.write_release(half, fund, factors, plan.RANKED, root, "2024.01", 10)
+    release.write_release(panel, fund, factors, plan.RANKED, root, "2024.02", 10)
+    with pytest.raises(quality.GateFailure, match="duplicates"):
+        release.write_release(panel.unionByName(panel.limit(3)), fund, factors, plan.RANKED, root, "2024.03", 10)
+    assert sorted(release.published(spark, root)) == ["2024.01", "2024.02"]
+    assert release.load_panel(spark, root).count() == panel.count()
+    assert release.load_panel(spark, root, version="2024.01").count() == half.count()
+    assert release.universe(spark, root, "2024.01").count() == 3 and release.universe(spark, root).count() == 6
+    assert release.coverage(spark, root, "2024.01").count() == len(plan.RANKED)
+    with pytest.raises(release.UnknownVersion):
+        release.load_factors(spark, root, version="2024.03")
+    with pytest.raises(ValueError, match="exists"):
+        release.write_release(half, fund, factors, plan.RANKED, root, "2024.02", 10)
+    release.write_release(half, fund, factors, plan.RANKED, root, "2024.02", 10, replace=True)
+    assert release.load_panel(spark, root).count() == half.count()
+
+
+def test_daily_benchmark_has_every_day(spark):
+    from barloom.sources import tables as src
+    folder = "/root/testdata/sf0.001"
+    days = src.lines(spark, folder).select("day").distinct().count()
+    daily = src.benchmark(spark, folder, "day")
+    assert daily.count() == days and daily.where("date IS NULL").count() == 0
+
+
 def test_gates_fail_loudly(spark, panel):
     bench, fund = bench_and_fund(spark, panel)
     late = fund.withColumn("avail_date", F.col("fy_end"))
