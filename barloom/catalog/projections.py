@@ -12,9 +12,6 @@ from ..plans.ranking import latest_rows
 from .base import block, div, fwd, lag, query, r, ret, roll, rows, sql
 from .timeseries import VR, bar_sql, keep
 
-BRANDS = [f"Brand#{i}" for i in range(1, 6)]
-
-
 @query("PRJ-1_derived_columns", bar_sql("mid=(high + low) / 2; spread=high - low; turnover=close * volume", 9))
 def _(t):
     return keep(t.bars.withColumns({"mid": (c("high") + c("low")) / 2, "spread": c("high") - c("low"),
@@ -101,16 +98,14 @@ def _(t):
     return keep(rw.latest_per_symbol(t.bars, 2), "close")
 
 
-@query("PRJ-14_long_to_wide", sql("bars", "SELECT date, " + ", ".join(
-    f"max(round(close, 6) + 0.0) FILTER (sym = '{b}') AS \"{b}\"" for b in BRANDS) + " FROM bars GROUP BY 1"))
+@query("PRJ-14_long_to_wide", sql("bars", "FROM (PIVOT bars ON sym USING max(round(close, 6) + 0.0) GROUP BY date)"))
 def _(t):
-    return rounded(rw.wide(t.bars, "close", BRANDS))
+    return rounded(rw.wide(t.bars, "close"))
 
 
-@query("PRJ-15_wide_to_long", sql("bars", "SELECT date, sym, round(close, 6) + 0.0 AS close FROM bars WHERE sym IN ("
-                                  + ", ".join(f"'{b}'" for b in BRANDS) + ")"))
+@query("PRJ-15_wide_to_long", sql("bars", "SELECT date, sym, round(close, 6) + 0.0 AS close FROM bars WHERE close IS NOT NULL"))
 def _(t):
-    return rounded(rw.long(rw.wide(t.bars, "close", BRANDS), "close").select("date", "sym", "close"))
+    return rounded(rw.long(rw.wide(t.bars, "close"), "close").select("date", "sym", "close"))
 
 
 @query("PRJ-16_latest_price_card", sql("bars", f"""SELECT sym, date, {r('close; ret_5; ret_20')} FROM (SELECT sym, date, close,

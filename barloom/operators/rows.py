@@ -52,7 +52,11 @@ def latest_price_card(df: DataFrame) -> DataFrame:
 
 def wide(df: DataFrame, value: str, columns: Sequence[str] | None = None, index: str = "date",
          key: str = "sym") -> DataFrame:
-    """One column per symbol, for output only; give the symbols to save the pass that finds them."""
+    """One column per symbol, for output only; give the symbols to save the pass that finds them.
+
+    Found symbols become columns of the plan, so they must number at most
+    ``spark.sql.pivotMaxValues``; Spark raises beyond it and drops none.
+    """
     pivot = df.groupBy(index).pivot(key, list(columns)) if columns else df.groupBy(index).pivot(key)
     return pivot.agg(F.max(value))
 
