@@ -5,15 +5,17 @@ for each coordinate, gives all coordinates of the signature (C-MinHash).  Bands
 documents into buckets.  Documents with the same shingle set are one class from the start, so copies
 are never compared.
 
-Of each bucket, first every class is compared with the bucket's least one; what is linked there
-becomes one component.  Then, in buckets that still hold several components, every class outside the
-bucket's largest component is compared with all classes of other components.  So each pair that
-shares a bucket is either compared on the full sets or already joined by links, while a bucket full
-of near copies costs as many comparisons as it has members.
+Of each bucket, first every class is compared with the bucket's least one, its hub; what is linked
+there becomes one component.  Then, for hubs whose buckets still hold several components, every class
+outside the largest is compared with all of them, in blocks: a task gets two blocks of classes with
+their sets, counts what each pair shares as a product of two matrices, and returns only links that
+join components.  So each pair that shares a bucket is either compared on the full sets or already
+joined by links; pairs are never written out, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from .wordhash import hashed_words, mix, shingles
 #: Coordinates per band and bands: a pair of similarity 0.75 shares no bucket once in 750,000 times.
 ROWS, BANDS = 5, 50
 BLOCK = 1 << 15
+#: Most classes, and about the most shingles, of a block that is compared with another.
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 400_000
 
 
 def _permute(x: np.ndarray, spare: np.ndarray, factors: tuple[int, int]) -> None:
@@ -137,6 +141,79 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, pairs.select("a", "b").schema)
 
 
+def _joining(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the two sides of a block pair, as many as join different components."""
+    side = table.column("side").to_numpy()
+    reps, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = segment_ids(sizes)
+    common = holders[column] > 1
+    new = np.cumsum(holders > 1) - 1
+    row, column = row[common], new[column[common]]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(sets), min(4096, int(column[b - 1]) - low + 1)), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        shared += part[left] @ part[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    linked = (100 * shared >= percent * union) & (own[left][:, None] != own[right][None, :])
+    name = {int(x): int(x) for x in own}
+
+    def root(x: int) -> int:
+        while name[x] != x:
+            name[x] = x = name[name[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = root(int(own[left[i]])), root(int(own[right[j]]))
+        if x != y:
+            name[max(x, y)] = min(x, y)
+            out.append((int(reps[left[i]]), int(reps[right[j]])))
+    return out
+
+
+def _across(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in the buckets of a hub."""
+    members = shared.join(found, shared["rep"] == found["node"], "left") \
+        .select("hub", "rep", "rep_n", F.coalesce("component", "rep").alias("own"))
+    largest = members.groupBy("hub", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(
+        F.max(F.struct("n", "own"))["own"].alias("top"), F.count(F.lit(1)).alias("parts")) \
+        .where(F.col("parts") > 1).select("hub", "top")
+    # sets that may be similar have sizes in the same class or in neighbouring ones
+    sized = F.floor(F.log("rep_n") / math.log(100 / percent)).cast("int")
+    rows = stored(members.join(largest, "hub").withColumn("size", sized), "open-hubs")
+    inside = rows.select("hub", "size", "rep", "rep_n", "own")
+    outside = rows.where(F.col("own") != F.col("top")).select(
+        "hub", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "rep", "rep_n", "own")
+
+    def blocks(side: DataFrame, out: str) -> DataFrame:
+        return side.groupBy("hub", "size").agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("rep_n") / BLOCK_SHINGLES)).cast("int").alias(out))
+
+    plan = blocks(inside, "ins").join(blocks(outside, "outs"), ["hub", "size"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    key = ["hub", "size", "i", "j"]
+    left = outside.join(plan, ["hub", "size"]).select("hub", "size", home("outs").alias("i"), every("ins").alias("j"), "rep", "own",
+                                                      F.lit(0).alias("side"))
+    right = inside.join(plan, ["hub", "size"]).select("hub", "size", every("outs").alias("i"), home("ins").alias("j"), "rep", "own",
+                                                      F.lit(1).alias("side"))
+    full = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = _joining(table, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return full.groupBy(*key).applyInArrow(compare, "a long, b long")
+
+
 def _pairs(left: str, right: str, percent: int) -> list:
     """Columns a < b of two classes whose sizes allow the similarity."""
     small, large = F.least(f"{left}_n", f"{right}_n"), F.greatest(f"{left}_n", f"{right}_n")
@@ -161,30 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("rep_n"), F.explode("buckets").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min(F.struct("rep", "rep_n")).alias("h"), F.count(F.lit(1)).alias("n")) \
         .where(F.col("n") > 1).select("bucket", F.col("h.rep").alias("hub"), F.col("h.rep_n").alias("hub_n"))
-    shared = stored(rows.join(hubs, "bucket"), "shared-buckets")
+    shared = stored(rows.join(hubs, "bucket").select("hub", "hub_n", "rep", "rep_n").distinct(), "hub-members")
 
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(shingle_sets(base.join(wanted, "doc_id", "left_semi"), width), "shingle-sets")
 
     a, b, fits = _pairs("hub", "rep", percent)
-    tried = stored(shared.where((F.col("hub") != F.col("rep")) & fits).select(a, b).distinct(), "hub-pairs")
+    tried = stored(shared.where((F.col("hub") != F.col("rep")) & fits).select(a, b), "hub-pairs")
     links = stored(linked(tried, sets, percent), "links")
     found = components(links)
 
-    labelled = shared.select("bucket", "rep", "rep_n").join(found, shared["rep"] == found["node"], "left") \
-        .select("bucket", "rep", "rep_n", F.coalesce("component", "rep").alias("own"))
-    counts = labelled.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "own"))["own"].alias("top"), F.count(F.lit(1)).alias("parts")) \
-        .where(F.col("parts") > 1).select("bucket", "top")
-    open_rows = stored(labelled.join(largest, "bucket"), "open-buckets")
-    outside = open_rows.where(F.col("own") != F.col("top")).select(
-        "bucket", F.col("rep").alias("other"), F.col("rep_n").alias("other_n"), F.col("own").alias("other_own"))
-    a, b, fits = _pairs("other", "rep", percent)
-    crossing = open_rows.join(outside, "bucket").where(
-        (F.col("own") != F.col("other_own")) & fits & ((F.col("own") == F.col("top")) | (F.col("rep") < F.col("other"))))
-    rest = crossing.select(a, b).distinct().join(tried, ["a", "b"], "left_anti")
-    more = linked(stored(rest, "cross-pairs"), sets, percent)
-    found = components(links.unionByName(more))
+    found = components(links.unionByName(_across(shared, found, sets, percent)))
 
     named = classes.join(found, classes["rep"] == found["node"], "left") \
         .select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
