@@ -1,7 +1,8 @@
 """Structured Streaming jobs (STR-*), run to the end of their input.
 
 The oracles compute the same result in one batch; windows still open at the last watermark are not
-emitted, exactly as in a running stream.
+emitted, exactly as in a running stream, and stateful operators handle rows once the watermark has
+passed them.
 """
 
 from __future__ import annotations
@@ -54,23 +55,26 @@ def _(t):
     return rounded(tz_free(runner.to_table(sb.session_vwap(tick_stream(t)), "sessions")))
 
 
-@query("STR-3_direction_streak", sql("", """SELECT sym, event_id, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction,
+block("passed", "", "SELECT * FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+
+
+@query("STR-3_direction_streak", sql("passed", """SELECT sym, event_id, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction,
   CAST(rn - max(CASE WHEN turn THEN rn END) OVER (PARTITION BY sym ORDER BY rn) + 1 AS INTEGER) AS run
 FROM (SELECT *, coalesce(up <> lag(up) OVER (PARTITION BY sym ORDER BY rn), TRUE) AS turn FROM (
-  SELECT event_type AS sym, event_id, row_number() OVER w AS rn, value >= lag(value) OVER w AS up FROM events
+  SELECT event_type AS sym, event_id, row_number() OVER w AS rn, value >= lag(value) OVER w AS up FROM passed
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE up IS NOT NULL)"""))
 def _(t):
     return runner.to_table(stateful.direction_streaks(tick_stream(t)), "direction")
 
 
-@query("STR-4_miss_streak_flip", sql("", """SELECT sym, event_id, CASE WHEN hit THEN NULL ELSE actual END AS miss_dir,
+@query("STR-4_miss_streak_flip", sql("passed", """SELECT sym, event_id, CASE WHEN hit THEN NULL ELSE actual END AS miss_dir,
   CASE WHEN hit THEN 0 ELSE CAST(row_number() OVER (PARTITION BY sym, grp ORDER BY rn) AS INTEGER) END AS miss_count,
   NOT hit AND row_number() OVER (PARTITION BY sym, grp ORDER BY rn) >= 3 AS flip
 FROM (SELECT *, sum(CASE WHEN st IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY rn) AS grp FROM (
   SELECT *, lag(st) OVER (PARTITION BY sym ORDER BY rn) AS prev FROM (
   SELECT event_type AS sym, event_id, CASE WHEN value >= 30 THEN 'UP' ELSE 'DOWN' END AS actual, (user_id % 2 = 0) = (value >= 30) AS hit,
     CASE WHEN (user_id % 2 = 0) = (value >= 30) THEN 'HIT' WHEN value >= 30 THEN 'UP' ELSE 'DOWN' END AS st,
-    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value > 5)))"""))
+    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM passed WHERE value > 5)))"""))
 def _(t):
     word = lambda cond: F.when(cond, F.lit("UP")).otherwise(F.lit("DOWN"))
     events = runner.event_stream(t.spark, t.folder).select(
@@ -114,13 +118,13 @@ def _(t):
     return rounded(tz_free(out))
 
 
-@query("STR-6_position_monitor", sql("", f"""SELECT CAST(key AS VARCHAR) AS key, position, closed_by, reason, {r('exit_price')}, CAST(k AS INTEGER) AS ticks FROM (
+@query("STR-6_position_monitor", sql("passed", f"""SELECT CAST(key AS VARCHAR) AS key, position, closed_by, reason, {r('exit_price')}, CAST(k AS INTEGER) AS ticks FROM (
 SELECT *, row_number() OVER (PARTITION BY position ORDER BY k) AS first FROM (
   SELECT key, position, tid AS closed_by, k, CASE WHEN v <= entry * (1 - 0.5::DOUBLE) THEN 'CLOSED_SL' WHEN v >= entry * (1 + 1.0::DOUBLE) THEN 'CLOSED_TP' WHEN k >= 10 THEN 'CLOSED_EXPIRY' END AS reason,
     CASE WHEN v <= entry * (1 - 0.5::DOUBLE) THEN entry * (1 - 0.5::DOUBLE) WHEN v >= entry * (1 + 1.0::DOUBLE) THEN entry * (1 + 1.0::DOUBLE) ELSE v END AS exit_price
   FROM (SELECT o.user_id AS key, o.event_id AS position, o.value AS entry, x.event_id AS tid, x.value AS v,
       row_number() OVER (PARTITION BY o.event_id ORDER BY x.ts, x.event_id) AS k
-    FROM events o JOIN events x ON o.user_id = x.user_id AND x.event_type <> 'purchase' AND (x.ts, x.event_id) > (o.ts, o.event_id)
+    FROM passed o JOIN passed x ON o.user_id = x.user_id AND x.event_type <> 'purchase' AND (x.ts, x.event_id) > (o.ts, o.event_id)
     WHERE o.event_type = 'purchase') WHERE k <= 10) WHERE reason IS NOT NULL) WHERE first = 1"""))
 def _(t):
     events = runner.event_stream(t.spark, t.folder).select(
@@ -129,7 +133,7 @@ def _(t):
     return rounded(runner.to_table(stateful.position_monitor(events, 0.5, 1.0, 10), "monitor"))
 
 
-block("tk", "", "SELECT event_type AS sym, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events")
+block("tk", "passed", "SELECT event_type AS sym, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM passed")
 block("tke", "tk", """SELECT sym, event_id, rn, value::DOUBLE FROM tk WHERE rn = 1 UNION ALL
   SELECT k.sym, k.event_id, k.rn, (1 - 2::DOUBLE / 13) * e.ema + (2::DOUBLE / 13) * k.value FROM tke e JOIN tk k ON k.sym = e.sym AND k.rn = e.rn + 1""",
       columns="sym, event_id, rn, ema")
@@ -143,8 +147,7 @@ def _(t):
 @query("STR-8_ranking_refresh", sql("ranked", "SELECT rank, sym, as_of, close, mom_12_1_pct, ret20_pct, score FROM ranked"))
 def _(t):
     part = t.table("part").select("p_partkey", c("p_brand").alias("sym"))
-    raw = (t.spark.readStream.schema(t.table("lineitem").schema).option("pathGlobFilter", "lineitem.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(t.folder))
+    raw = runner.table_stream(t.spark, t.folder, "lineitem", t.table("lineitem").schema)
 
     def build(seen):
         items = src.priced(seen)

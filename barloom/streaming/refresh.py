@@ -12,7 +12,7 @@ from .runner import finish
 
 
 def refresh_on_arrival(stream: DataFrame, build: Callable[[DataFrame], DataFrame], label: str,
-                       timeout: int = 1800) -> DataFrame:
+                       timeout: int | None = None) -> DataFrame:
     """Collect arriving rows in a table and rebuild a result over all of them after each batch.
 
     Batches overwrite their own partition, so a replayed batch changes nothing.  Returns the result

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import EVENTS
 from ..session import new_path
@@ -13,17 +14,21 @@ from ..session import new_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1,
-                 pattern: str = "events.parquet", bytes_per_batch: str | None = None) -> DataFrame:
-    """Event files as a stream; zone-free times become UTC timestamps for watermarks.
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType | str,
+                 bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """A table as a stream, be it one file or a folder of part files.
 
-    A batch is limited by files or by bytes, which also bounds what a key brings to one batch.
+    A batch takes up to ``bytes_per_batch``, however many files that is; this also bounds what a key
+    brings to one batch.
     """
-    limit = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else \
-        ("maxFilesPerTrigger", files_per_batch)
-    return (spark.readStream.schema(EVENTS).option(*limit)
-            .option("pathGlobFilter", pattern).parquet(folder)
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
+            .parquet(f"{folder}/{name}.parque[t]"))  # a pattern may match a file as well as a folder
+
+
+def event_stream(spark: SparkSession, folder: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """The events as a stream; zone-free times become UTC timestamps for watermarks."""
+    return table_stream(spark, folder, "events", EVENTS, bytes_per_batch) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -33,9 +38,11 @@ def ticks(events: DataFrame) -> DataFrame:
 
 
 def to_table(stream: DataFrame, label: str, checkpoint: str | None = None,
-             path: str | None = None, timeout: int = 1800) -> DataFrame:
+             path: str | None = None, timeout: int | None = None) -> DataFrame:
     """Append the stream to a table in the shared folder until its input is used up, then read it.
 
+    ``timeout`` in seconds, for callers that need a limit; without it a stream takes the time it takes.
+
     With a fixed checkpoint and path the next call continues where this one stopped.
     """
     spark = stream.sparkSession
@@ -50,9 +57,11 @@ def to_table(stream: DataFrame, label: str, checkpoint: str | None = None,
     return spark.read.schema(schema).parquet(path)
 
 
-def finish(query, label: str, timeout: int) -> None:
+def finish(query, label: str, timeout: int | None) -> None:
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream {label} did not finish in {timeout}s")
     finally:
         query.stop()

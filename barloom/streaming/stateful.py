@@ -1,14 +1,16 @@
 """Per-key state machines on transformWithStateInPandas.
 
-Rows of a key are handled in event-time order inside a batch; late rows are not reordered into the
-past.  A key never brings more than one batch, whose size the source limits (files or bytes per
-trigger); between batches only the small state is kept.
+Rows wait in the state of their key until the watermark has passed them and are then handled in
+event-time order, so files and batches may arrive out of order by up to the watermark's delay; rows
+behind the watermark are dropped.  Batches are taken over piece by piece; in memory at once are only
+the rows of a key that one step of the watermark releases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,150 +18,217 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 FLIP_AFTER = 3
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+def run_lengths(codes: np.ndarray, code: object, count: int) -> np.ndarray:
+    """Length of the run of equal codes at every place, continuing a run of ``count`` times ``code``."""
+    places = np.arange(len(codes))
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    begins = np.maximum.accumulate(np.where(new, places, 0))
+    carried = count if len(codes) and count and codes[0] == code else 0
+    return places - begins + 1 + np.where(begins == 0, carried, 0)
 
 
-class MissStreak(StatefulProcessor):
-    """Counts misses in a row towards the same realised direction."""
+class InOrder(StatefulProcessor):
+    """Keeps rows (ts, event_id, ``columns``) until the watermark passes, then hands them on in order."""
+
+    columns: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "dir string, count int")
+        self.handle = handle
+        schema = ", ".join(["ms bigint", "us bigint", "event_id bigint", *[f"{c} {t}" for c, t in self.columns.items()]])
+        self.waiting = handle.getListState("waiting", schema)
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
+        raise NotImplementedError
+
+    def handle_time(self, key, ms: int) -> pd.DataFrame | None:
+        """What the passing of time alone brings about."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        direction, count = self.state.get() if self.state.exists() else ("", 0)
-        out = []
-        for r in _ordered(rows).itertuples():
-            if r.tradeable:
-                if r.pred == r.actual:
-                    direction, count = "", 0
-                else:
-                    direction, count = r.actual, count + 1 if direction == r.actual else 1
-                out.append((key[0], r.event_id, direction or None, count, count >= FLIP_AFTER))
-        self.state.update((direction, count))
-        if out:
-            yield pd.DataFrame(out, columns=["sym", "event_id", "miss_dir", "miss_count", "flip"])
+        mark, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            us = frame["ts"].dt.as_unit("us").astype("int64").to_numpy()
+            keep = us // 1000 > mark
+            if keep.any():
+                us, part = us[keep], frame[keep]
+                values = [part[c].tolist() for c in ("event_id", *self.columns)]
+                self.waiting.appendList(list(zip((us // 1000).tolist(), us.tolist(), *values)))
+                first = min(int(us.min()) // 1000, first if first is not None else 1 << 62)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for row in self.waiting.get():
+            (ready if row[0] <= mark else later).append(tuple(row))
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(min(r[0] for r in later))
+        if ready:
+            frame = pd.DataFrame(ready, columns=["ms", "us", "event_id", *self.columns]).sort_values(["us", "event_id"], kind="stable")
+            out = self.handle_in_order(key, frame)
+            if out is not None and len(out):
+                yield out
+        out = self.handle_time(key, mark)
+        if out is not None and len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
-class RunningMean(StatefulProcessor):
+class MissStreak(InOrder):
+    """Counts misses in a row towards the same realised direction."""
+
+    columns = {"pred": "string", "actual": "string", "tradeable": "boolean"}
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("streak", "dir string, count int")
+
+    def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
+        frame = frame[frame["tradeable"].astype(bool)]
+        if frame.empty:
+            return None
+        before, count = self.state.get() if self.state.exists() else ("", 0)
+        actual = frame["actual"].to_numpy(object)
+        code = np.where((frame["pred"] == frame["actual"]).to_numpy(), "", actual)
+        counts = np.where(code == "", 0, run_lengths(code, before, count)).astype(np.int32)
+        self.state.update((str(code[-1]), int(counts[-1])))
+        return pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].to_numpy(), "miss_dir": [x or None for x in code],
+                             "miss_count": counts, "flip": counts >= FLIP_AFTER})
+
+
+class RunningMean(InOrder):
     """Exponential mean per key; the state is the last mean."""
 
+    columns = {"price": "double"}
+
     def __init__(self, alpha: float):
         self.alpha = alpha
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("mean", "value double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows)
-        price = frame["price"]
-        if self.state.exists():
-            before = pd.Series([self.state.get()[0]])
-            mean = pd.concat([before, price]).ewm(alpha=self.alpha, adjust=False).mean().iloc[1:]
-        else:
-            mean = price.ewm(alpha=self.alpha, adjust=False).mean()
+    def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
+        carried = [self.state.get()[0]] if self.state.exists() else []
+        series = pd.Series([*carried, *frame["price"]])
+        mean = series.ewm(alpha=self.alpha, adjust=False).mean().iloc[len(carried):]
         self.state.update((float(mean.iloc[-1]),))
-        yield pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].values,
-                            "ema": mean.values})
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].to_numpy(), "ema": mean.to_numpy()})
 
 
-class DirectionStreak(StatefulProcessor):
+class DirectionStreak(InOrder):
     """Length of the run of equal price directions at every tick."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "price double, up boolean, run int")
+    columns = {"price": "double"}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        price, up, run = self.state.get() if self.state.exists() else (None, None, 0)
-        out = []
-        for r in _ordered(rows).itertuples():
-            if price is not None:
-                now = r.price >= price
-                up, run = now, run + 1 if run and now == up else 1
-                out.append((key[0], r.event_id, "UP" if now else "DOWN", run))
-            price = r.price
-        self.state.update((float(price), bool(up), int(run)))
-        if out:
-            yield pd.DataFrame(out, columns=["sym", "event_id", "direction", "run"])
-
-    def close(self) -> None:
-        pass
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", "price double, up boolean, run int")
 
+    def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
+        known = self.state.exists()
+        last, up, run = self.state.get() if known else (None, False, 0)
+        price = frame["price"].to_numpy(float)
+        chain = np.concatenate([[last], price]) if known else price
+        ups = chain[1:] >= chain[:-1]
+        runs = run_lengths(ups, up, run).astype(np.int32)
+        if len(ups):
+            up, run = bool(ups[-1]), int(runs[-1])
+        self.state.update((float(price[-1]), up, run))
+        return pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].to_numpy()[0 if known else 1:],
+                             "direction": np.where(ups, "UP", "DOWN"), "run": runs})
+
+
+class PositionMonitor(InOrder):
+    """Open positions of a key, closed by stop, target, number of ticks, or age.
+
+    Input rows are openings (``is_open``) or ticks.  A position sees at most ``hold`` ticks, so few
+    are open at a time.  With ``max_age_ms`` a timer closes what is older when the watermark passes,
+    at the last price of the key, so silent keys do not keep their state.
+    """
 
-class PositionMonitor(StatefulProcessor):
-    """Open positions of a key, closed by stop, target or age.
+    columns = {"price": "double", "is_open": "boolean"}
 
-    Input rows are openings (``is_open``) or ticks.  A position sees at most ``hold`` ticks, so the
-    state of a key stays small.
-    """
+    def __init__(self, stop: float, target: float, hold: int, max_age_ms: int | None):
+        self.stop, self.target, self.hold, self.max_age_ms = stop, target, hold, max_age_ms
 
-    def __init__(self, stop: float, target: float, hold: int):
-        self.stop, self.target, self.hold = stop, target, hold
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "id bigint", "entry double, seen int, opened_ms bigint, last double")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "id bigint", "entry double, seen int")
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["key", "position", "closed_by", "reason", "exit_price", "ticks"])
+        return frame.astype({"closed_by": "Int64"})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
         held = {k[0]: list(v) for k, v in self.open.iterator()}
-        before, out = set(held), []
-        for r in _ordered(rows).itertuples():
-            if r.is_open:
-                held[r.event_id] = [r.price, 0]
+        before, changed, out = set(held), set(), []
+        for ms, event, price, is_open in zip(*[frame[c].tolist() for c in ("ms", "event_id", "price", "is_open")]):
+            if is_open:
+                held[event] = [price, 0, ms, price]
+                changed.add(event)
+                if self.max_age_ms is not None:
+                    self.handle.registerTimer(ms + self.max_age_ms)
                 continue
             for pid, pos in list(held.items()):
-                pos[1] += 1
-                if r.price <= pos[0] * (1 - self.stop):
-                    reason, price = "CLOSED_SL", pos[0] * (1 - self.stop)
-                elif r.price >= pos[0] * (1 + self.target):
-                    reason, price = "CLOSED_TP", pos[0] * (1 + self.target)
+                pos[1], pos[3] = pos[1] + 1, price
+                changed.add(pid)
+                if price <= pos[0] * (1 - self.stop):
+                    reason, at = "CLOSED_SL", pos[0] * (1 - self.stop)
+                elif price >= pos[0] * (1 + self.target):
+                    reason, at = "CLOSED_TP", pos[0] * (1 + self.target)
                 elif pos[1] >= self.hold:
-                    reason, price = "CLOSED_EXPIRY", r.price
+                    reason, at = "CLOSED_EXPIRY", price
                 else:
                     continue
-                out.append((key[0], pid, r.event_id, reason, price, pos[1]))
+                out.append((key[0], pid, event, reason, at, pos[1]))
                 del held[pid]
         for pid in before - set(held):
             self.open.removeKey((pid,))
-        for pid, pos in held.items():
-            self.open.updateValue((pid,), (float(pos[0]), int(pos[1])))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "position", "closed_by", "reason",
-                                             "exit_price", "ticks"])
-
-    def close(self) -> None:
-        pass
+        for pid in changed & set(held):
+            entry, seen, opened, last = held[pid]
+            self.open.updateValue((pid,), (float(entry), int(seen), int(opened), float(last)))
+        return self._frame(out) if out else None
+
+    def handle_time(self, key, ms: int) -> pd.DataFrame | None:
+        if self.max_age_ms is None:
+            return None
+        old = [(k[0], *v) for k, v in self.open.iterator() if v[2] + self.max_age_ms <= ms]
+        for pid, *_ in old:
+            self.open.removeKey((pid,))
+        return self._frame([(key[0], pid, None, "CLOSED_AGE", last, seen) for pid, _, seen, _, last in old]) if old else None
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy(key).transformWithStateInPandas(
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="None")
+        timeMode="EventTime")
 
 
-def miss_streaks(stream: DataFrame) -> DataFrame:
+def miss_streaks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """stream: (sym, ts, event_id, pred, actual, tradeable)."""
     return _run(stream, "sym", MissStreak(),
-                "sym string, event_id bigint, miss_dir string, miss_count int, flip boolean")
+                "sym string, event_id bigint, miss_dir string, miss_count int, flip boolean", delay)
 
 
-def running_mean(stream: DataFrame, alpha: float) -> DataFrame:
-    return _run(stream, "sym", RunningMean(alpha), "sym string, event_id bigint, ema double")
+def running_mean(stream: DataFrame, alpha: float, delay: str = "1 hour") -> DataFrame:
+    return _run(stream, "sym", RunningMean(alpha), "sym string, event_id bigint, ema double", delay)
 
 
-def direction_streaks(stream: DataFrame) -> DataFrame:
+def direction_streaks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return _run(stream, "sym", DirectionStreak(),
-                "sym string, event_id bigint, direction string, run int")
+                "sym string, event_id bigint, direction string, run int", delay)
 
 
 def position_monitor(stream: DataFrame, stop: float = 0.03, target: float = 0.06,
-                     hold: int = 10) -> DataFrame:
+                     hold: int = 10, max_age_ms: int | None = None, delay: str = "1 hour") -> DataFrame:
     """stream: (key, ts, event_id, price, is_open)."""
-    return _run(stream, "key", PositionMonitor(stop, target, hold),
+    return _run(stream, "key", PositionMonitor(stop, target, hold, max_age_ms),
                 "key string, position bigint, closed_by bigint, reason string, "
-                "exit_price double, ticks int")
+                "exit_price double, ticks int", delay)
