@@ -149,10 +149,12 @@ def _(t):
     part = t.table("part").select("p_partkey", c("p_brand").alias("sym"))
     raw = runner.table_stream(t.spark, t.folder, "lineitem", t.table("lineitem").schema)
 
+    def sums(batch):
+        return src.daily_sums(src.priced(batch).join(part, c("l_partkey") == c("p_partkey")))
+
     def build(seen):
-        items = src.priced(seen)
-        bars = src.bars_from_lines(items.join(part, c("l_partkey") == c("p_partkey")))
+        bars = src.bars_from_daily(src.daily_sums(seen).repartition("sym"))
         ranked = weekly.ranking(bars, None, t.bound, skip=4, back=52)
         return ranked.select("rank", "sym", "as_of", "close", "mom_12_1_pct", "ret20_pct", "score")
 
-    return refresh.refresh_on_arrival(raw, build, "ranking")
+    return refresh.refresh_on_arrival(raw, sums, build, "ranking")

@@ -51,9 +51,18 @@ def bars_from_lines(items: DataFrame, unit: str = "week") -> DataFrame:
     calendar, then move once to their symbol, which serves the period aggregation and every window
     over the series after it.
     """
-    daily = items.groupBy("sym", "day").agg(
-        F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.max("price").alias("hi"),
-        F.min("price").alias("lo"), F.sum("final_qty").alias("final_qty")).repartition("sym")
+    return bars_from_daily(daily_sums(items).repartition("sym"), unit)
+
+
+def daily_sums(items: DataFrame) -> DataFrame:
+    """(sym, day, cents, qty, hi, lo, final_qty) of rows with a price or of such sums again."""
+    hi, lo = ("hi", "lo") if "hi" in items.columns else ("price", "price")
+    return items.groupBy("sym", "day").agg(
+        F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.max(hi).alias("hi"),
+        F.min(lo).alias("lo"), F.sum("final_qty").alias("final_qty"))
+
+
+def bars_from_daily(daily: DataFrame, unit: str = "week") -> DataFrame:
     period = F.col("day") if unit == "day" else F.trunc("day", unit)
     spot = F.col("cents") / 100.0 / F.col("qty")
     return (

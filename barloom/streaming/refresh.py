@@ -11,20 +11,22 @@ from ..session import new_path
 from .runner import finish
 
 
-def refresh_on_arrival(stream: DataFrame, build: Callable[[DataFrame], DataFrame], label: str,
+def refresh_on_arrival(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame],
+                       build: Callable[[DataFrame], DataFrame], label: str,
                        timeout: int | None = None) -> DataFrame:
-    """Collect arriving rows in a table and rebuild a result over all of them after each batch.
+    """Keep what ``reduce`` makes of every arriving batch and rebuild a result from it each time.
 
-    Batches overwrite their own partition, so a replayed batch changes nothing.  Returns the result
-    of the last batch.
+    ``reduce`` returns partial sums that ``build`` can sum up, so what is kept and read again follows
+    the result's keys and not the rows that came.  Batches overwrite their own partition, so a
+    replayed batch changes nothing.  Returns the result of the last batch.
     """
     spark: SparkSession = stream.sparkSession
-    store, out = new_path(spark, f"{label}-rows"), new_path(spark, label)
-    schema = stream.schema
+    store, out = new_path(spark, f"{label}-sums"), new_path(spark, label)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        seen = batch.sparkSession.read.schema(schema).parquet(f"{store}/epoch=*")
+        sums = reduce(batch)
+        sums.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        seen = batch.sparkSession.read.schema(sums.schema).parquet(f"{store}/epoch=*")
         build(seen).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = (stream.writeStream.foreachBatch(handle)
