@@ -190,7 +190,7 @@ def _(t):
         ("liq", "rank_liq"), ("rev", "rank_rev"), ("mom", "mom_rank"), ("composite", "score"))])
     long = full.select("sym", "date", F.year("date").alias("fold"), c("exc_10").alias("fwd_excess"),
                        (c("exc_10") > 0).cast("int").alias("label"), F.inline(cells))
-    return compare_models(long, 10, 5, 10, t.bound and t.bound * 400)
+    return compare_models(long, 10, 5, 10, None)
 
 
 block("tq", "rebal", " UNION ALL ".join(f"SELECT date, '{m}' AS model, {e} AS score, fwd_excess FROM rebal" for m, e in (

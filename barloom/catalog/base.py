@@ -15,6 +15,10 @@ from ..sources.statements import fundamentals
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: What these queries state about their panels: a date has at most this many brands or suppliers.  It is
+#: not counted, and a false statement costs spilling, not rows; the ``*_unbounded`` queries state nothing.
+NAMES_PER_DATE = 1_000_000
+
 
 class Inputs:
     """Lazily built input tables of one folder."""
@@ -55,8 +59,8 @@ class Inputs:
         return fundamentals(src.statement_lines(self.spark, self.folder, "supplier"))
 
     @cached_property
-    def wide_bound(self) -> int | None:
-        return src.series_bound(self.spark, self.folder, "s_suppkey", "supplier")
+    def wide_bound(self) -> int:
+        return NAMES_PER_DATE
 
     @cached_property
     def factors(self) -> DataFrame:
@@ -84,8 +88,8 @@ class Inputs:
         return materialise(self.signals)
 
     @cached_property
-    def bound(self) -> int | None:
-        return src.series_bound(self.spark, self.folder)
+    def bound(self) -> int:
+        return NAMES_PER_DATE
 
 
 def query(name: str, sql: str | None = None):

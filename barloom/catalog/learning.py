@@ -72,13 +72,9 @@ def pool(t):
     return pooled_dataset(t.bars, t.bench, 10, bound=t.bound)
 
 
-def small_bound(t):
-    return t.bound and t.bound * 400
-
-
 def report(t, factory, months=6, transform=None):
     oos = ml.walk_forward(pool(t), FEATURES, factory, months, min_train=500, transform=transform)
-    return rounded(ml.fold_report(oos, small_bound(t)))
+    return rounded(ml.fold_report(oos, None))
 
 
 @query("ML-7_logistic_regression")
@@ -124,13 +120,13 @@ def _(t):
 @query("ML-15_parameter_search")
 def _(t):
     grid = {f"C={s}": ml.logistic(s) for s in (0.01, 0.1, 1.0)}
-    return rounded(ml.search(pool(t), FEATURES, grid, bound=small_bound(t)))
+    return rounded(ml.search(pool(t), FEATURES, grid, bound=None))
 
 
 @query("ML-16_out_of_sample_evaluation")
 def _(t):
     oos = materialise(ml.walk_forward(pool(t), FEATURES, ml.logistic(), 6, min_train=500))
-    return compare_models(oos.withColumn("model", F.lit("logistic")), 10, 5, 10, small_bound(t))
+    return compare_models(oos.withColumn("model", F.lit("logistic")), 10, 5, 10, None)
 
 
 @query("ML-17_batch_over_symbols_and_tiers")

@@ -1,10 +1,11 @@
 """Cross-sectional operators: ranks, quantiles, buckets and scores within a date.
 
-How many names share a date is not bounded by the calendar, so every operator takes ``bound``: a
-checked upper limit of rows per group.  With a bound the group is one window partition.  Without one
-the split path runs: equal values collapse to cells, cells are cut into value ranges at hash-sampled
-edges, ranges are counted in parallel, and the few range totals are accumulated per group.  No task
-then sees more than about one range, however large a date is, and the result is exact.
+How many names share a date is not bounded by the calendar, so every operator takes ``bound``: the
+caller's statement of how many rows a group has at most.  With one the group is one window partition.
+Without one the split path runs: equal values collapse to cells, cells are dealt out by ranges of
+(group, value), ranges are counted in parallel, and the few range totals are accumulated per group.
+No task then sees more than about one range, however large a date is.  Both paths give the same rows,
+with missing scores, repeated keys and NaN too; only the caller chooses between them.
 """
 
 from __future__ import annotations
@@ -17,28 +18,41 @@ from pyspark.sql import functions as F
 from ..functions.exprs import c, ratio
 from ..session import materialise
 
-WINDOW_LIMIT = 100_000
 RANGE_CELLS = 1_000_000
 TIE_DIGITS = 12
 
 
 def fits(bound: int | None) -> bool:
-    return bound is not None and bound <= WINDOW_LIMIT
+    return bound is not None
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a missing key being equal to a missing key; the left keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """The rows with a number ``_row`` of their own, checkpointed so that every reader sees the same."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 # ---- the primitive -------------------------------------------------------------------------
 def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence[str],
           bound: int | None = None, range_cells: int = RANGE_CELLS,
           stable: bool = False) -> DataFrame:
     """For unique (group, value) cells: each measure summed over smaller values, and its total.
 
-    Adds ``<m>_below`` and ``<m>_total``.  The split path reads the cells in two branches that must
-    agree, so they are checkpointed unless the caller already works on ``stable`` (checkpointed)
-    rows; Spark then reuses the shuffle that builds the cells.
+    Adds ``<m>_below`` and ``<m>_total``.  The split path counts the cells to choose the number of
+    ranges and deals them out, so they are checkpointed unless the caller already works on ``stable``
+    (checkpointed) rows.
     """
     group = _list(group)
     if fits(bound):
@@ -52,10 +66,10 @@ def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence
         return cells.withColumns(out)
 
     cells = cells if stable else materialise(cells)
-    edges = (cells.where(F.pmod(F.xxhash64(value), F.lit(range_cells)) == 0)
-             .groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_edges")))
-    place = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
-    placed = cells.join(edges, group, "left").withColumn("_range", place).drop("_edges")
+    ranges = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                 -(-cells.count() // range_cells))
+    placed = materialise(cells.repartitionByRange(ranges, *group, value)
+                         .withColumn("_range", F.spark_partition_id()))
     inside = (Window.partitionBy(*group, "_range").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     local = placed.withColumns(
@@ -68,7 +82,7 @@ def below(cells: DataFrame, group: Sequence[str], value: str, measures: Sequence
           .alias(f"_{m}_start") for m in measures],
         *[F.sum(m).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
           .alias(f"{m}_total") for m in measures])
-    joined = local.join(starts, [*group, "_range"])
+    joined = same(local, starts, [*group, "_range"])
     return joined.select(
         *cells.columns,
         *[(F.col(f"_{m}_start") + F.col(f"_{m}_local")).alias(f"{m}_below") for m in measures],
@@ -97,8 +111,7 @@ def peers(x: str, by: Sequence[str]) -> Column:
 
 # ---- ranks ---------------------------------------------------------------------------------
 def rank_pct(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] = "date",
-             keys: Sequence[str] = ("sym", "date"), bound: int | None = None,
-             range_cells: int = RANGE_CELLS) -> DataFrame:
+             bound: int | None = None, range_cells: int = RANGE_CELLS) -> DataFrame:
     """Append average-rank percentiles ``{new column: ranked column}`` within each group.
 
     Missing values keep a missing rank and do not count.
@@ -106,8 +119,8 @@ def rank_pct(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] =
     by = _list(by)
     if fits(bound):
         return df.withColumns({out: peers(x, by) for out, x in ranks.items()})
-    df = materialise(df)
-    return df.join(_split_ranks(df, ranks, by, keys, range_cells), list(keys), "left")
+    df = numbered_rows(df)
+    return df.join(_split_ranks(df, ranks, by, ["_row"], range_cells), "_row", "left").drop("_row")
 
 
 def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
@@ -118,7 +131,7 @@ def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
     extra = [b for b in by if b not in keys]
     long = stable.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
     counts = _value_counts(long, [*by, "_name"], "_v", range_cells)
-    ranked = long.join(counts, [*by, "_name", "_v"]).withColumn(
+    ranked = same(long, counts, [*by, "_name", "_v"]).withColumn(
         "_pct", _pct(F.col("ties_below"), F.col("ties"), F.col("ties_total")))
     return ranked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == out, F.col("_pct"))).alias(out) for out in ranks])
@@ -127,19 +140,24 @@ def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
 def ordinal(df: DataFrame, score: str, by: str | Sequence[str] = "date", tie: str = "sym",
             bound: int | None = None, name: str = "rank",
             range_cells: int = RANGE_CELLS) -> DataFrame:
-    """1, 2, 3, ... by falling score, ties by ``tie`` rising; scores must not be missing."""
+    """1, 2, 3, ... by falling score, ties by ``tie`` rising; missing scores come last.
+
+    Rows alike in group, score and ``tie`` are numbered in no given order.
+    """
     by = _list(by)
     if fits(bound):
         order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie).asc())
         return df.withColumn(name, F.row_number().over(order).cast("bigint"))
-    df = materialise(df)
-    counts = _value_counts(df, by, score, range_cells).select(
-        *by, score, (F.col("ties_total") - F.col("ties_below") - F.col("ties")).alias("_above"))
-    within = _value_counts(df, [*by, score], tie, range_cells).select(
-        *by, score, tie, F.col("ties_below").alias("_before"))
-    return (df.join(counts, [*by, score]).join(within, [*by, score, tie])
-            .withColumn(name, F.col("_above") + F.col("_before") + 1)
-            .drop("_above", "_before"))
+    # a missing score is below all others, a missing tie before all others, a row's own number decides last
+    known = lambda x: F.struct(F.col(x).isNotNull().alias("known"), F.col(x).alias("value"))
+    df = numbered_rows(df)
+    rows = df.select("_row", *by, known(score).alias("_s"), F.struct(known(tie).alias("tie"), "_row").alias("_t"))
+    counts = _value_counts(rows, by, "_s", range_cells).select(
+        *by, "_s", (F.col("ties_total") - F.col("ties_below") - F.col("ties")).alias("_above"))
+    within = _value_counts(rows, [*by, "_s"], "_t", range_cells).select(
+        F.col("_t._row").alias("_row"), *by, "_s", F.col("ties_below").alias("_before"))
+    places = same(within, counts, [*by, "_s"]).select("_row", (F.col("_above") + F.col("_before") + 1).alias(name))
+    return df.join(places, "_row").drop("_row")
 
 
 def top_k(df: DataFrame, score: str, k: int, by: str | Sequence[str] = "date", tie: str = "sym",
@@ -195,12 +213,12 @@ def with_quantiles(df: DataFrame, value: str, named: Mapping[str, float],
             {n: F.col("_q")[i] for i, n in enumerate(named)}).drop("_q")
     table = quantile_table(df, value, qs, by, None, range_cells).select(
         *by, *[F.col("q")[i].alias(n) for i, n in enumerate(named)])
-    return df.join(table, by, "left")
+    return same(df, table, by, "left")
 
 
 def bucket_of(x: Column, edges: Column) -> Column:
     """Right-closed bucket index for linear-quantile edges; equal edges merge."""
-    distinct = F.array_distinct(edges)
+    distinct = F.array_distinct(F.transform(edges, lambda e: e + F.lit(0.0)))  # -0.0 is 0.0
     return F.when(x.isNotNull(), F.greatest(
         F.size(F.filter(distinct, lambda e: e < x)) - 1, F.lit(0)))
 
@@ -217,7 +235,7 @@ def quantile_cut(df: DataFrame, value: str, n: int = 5, by: str | Sequence[str]
         return df.withColumn("_e", edges).withColumn(
             name, bucket_of(F.col(value), F.col("_e"))).drop("_e")
     table = quantile_table(df, value, qs, by, None, range_cells).withColumnRenamed("q", "_e")
-    joined = df.join(table, by, "left") if by else df.withColumn("_e", table.select("_e").scalar())
+    joined = same(df, table, by, "left") if by else df.withColumn("_e", table.select("_e").scalar())
     return joined.withColumn(name, bucket_of(F.col(value), F.col("_e"))).drop("_e")
 
 
@@ -237,7 +255,7 @@ def zscore(df: DataFrame, columns: Sequence[str], by: str = "date", bound: int |
             for x in columns})
     stats = df.groupBy(by).agg(*[f(x).alias(f"_{n}_{x}") for x in columns for n, f in (
         ("mu", F.avg), ("sd", F.stddev_samp), ("lo", F.min), ("hi", F.max))])
-    joined = df.join(stats, by, "left")
+    joined = same(df, stats, [by], "left")
     scored = joined.withColumns({x + suffix: scaled(
         x, c(f"_mu_{x}"), c(f"_sd_{x}"), c(f"_lo_{x}"), c(f"_hi_{x}")) for x in columns})
     return scored.drop(*[f"_{n}_{x}" for x in columns for n in ("mu", "sd", "lo", "hi")])
@@ -295,7 +313,7 @@ def information_coefficient(df: DataFrame, factors: Sequence[str], target: str =
     if fits(bound):
         ranked = long.withColumns({"rx": peers("x", group), "ry": peers("y", group)})
     else:
-        ranked = _split_ranks(materialise(long), {"rx": "x", "ry": "y"}, group, [key, *group],
+        ranked = _split_ranks(numbered_rows(long), {"rx": "x", "ry": "y"}, group, ["_row", *group],
                               range_cells)
     return (ranked.groupBy(*group)
             .agg(correlation("rx", "ry").alias("ic"), F.count(F.lit(1)).alias("n"))

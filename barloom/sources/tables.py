@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ratio
 
 REPORT_LAG_DAYS = 90
-BOUND_LIMIT = 100_000
-_BOUNDS: dict[tuple, int | None] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -133,17 +131,3 @@ def statement_lines(spark: SparkSession, folder: str, per: str = "brand") -> Dat
         line("income", "Basic EPS", F.col("ni") / F.col("qty")),
         line("balance", "Common Stock Equity", F.col("rev") * 0.5))
     return yearly.select("sym", period, F.inline(items))
-
-
-def series_bound(spark: SparkSession, folder: str, column: str = "p_brand",
-                 name: str = "part", limit: int = BOUND_LIMIT) -> int | None:
-    """Number of distinct symbols when it is at most ``limit``, else None.
-
-    One column scan with map-side distinct, once per folder.  It is the size check that lets a
-    cross-section run as a plain window; with None the split path is used.
-    """
-    key = (spark.sparkContext.applicationId, folder, name, column)
-    if key not in _BOUNDS:
-        n = table(spark, folder, name).select(column).distinct().limit(limit + 1).count()
-        _BOUNDS[key] = n if n <= limit else None
-    return _BOUNDS[key]
