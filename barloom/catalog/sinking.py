@@ -53,7 +53,15 @@ def _(t):
                     F.size(F.filter("validation", lambda g: g["passed"])).cast("bigint").alias("gates_passed"))
 
 
-@query("SNK-5_content_fingerprint")
+MILLIONTHS = "CAST(CAST(floor({} * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)"
+FINGERPRINTED = " || '|' || ".join(f"coalesce({x}, '~')" for x in [
+    MILLIONTHS.format("close"), "CAST(date AS VARCHAR)", *map(MILLIONTHS.format, ("deliv_pct", "high", "low", "open")), "sym",
+    MILLIONTHS.format("volume")])
+
+
+@query("SNK-5_content_fingerprint", sql("bars", f"""SELECT substr(sha256(concat_ws('-', CAST(sum(CAST('0x' || substr(m, 1, 15) AS HUGEINT)) AS VARCHAR),
+  CAST(sum(CAST('0x' || substr(m, 18, 15) AS HUGEINT)) AS VARCHAR), CAST(count(*) AS VARCHAR))), 1, 16) AS fingerprint
+FROM (SELECT md5({FINGERPRINTED}) AS m FROM bars)"""))
 def _(t):
     return release.fingerprint(t.bars)
 

@@ -270,7 +270,7 @@ def _(t):
     return universe.sample_first(universe.symbols(universe_lines(t)).distinct(), 10)
 
 
-@query("SRC-22_random_universe")
+@query("SRC-22_random_universe", sql("wbars", "SELECT sym FROM (SELECT DISTINCT sym FROM wbars) ORDER BY md5(sym || '#42'), sym LIMIT 20"))
 def _(t):
     syms = t.wide_bars.select("sym").distinct()
     return universe.sample_random(syms, 20)

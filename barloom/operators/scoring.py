@@ -16,6 +16,8 @@ from .labels import direction
 # ---- health score: fixed values -------------------------------------------------------------
 TREND_POINTS = {"above_sma20": 12.0, "sma20_above_sma50": 13.0, "above_ema20": 10.0}
 MACD_POINTS = 5.0
+RSI_POINTS = {"from 50 to 68": (50.0, 68.0, 20.0), "over 68 to 75": (68.0, 75.0, 15.0), "from 40 under 50": (40.0, 50.0, 10.0),
+              "under 30": (None, 30.0, 12.0), "else": (None, None, 5.0)}
 MONTH_POINTS = ((10.0, 15.0), (5.0, 12.0), (0.0, 8.0))     # return above -> points
 LONG_POINTS = ((15.0, 10.0), (5.0, 7.0), (0.0, 4.0))       # return above -> points
 SCORE_RANGE = (5.0, 100.0)
@@ -29,10 +31,11 @@ def _points(cond: Column, points: float) -> Column:
 
 
 def rsi_points(rsi: Column) -> Column:
-    return (F.when((rsi >= 50.0) & (rsi <= 68.0), F.lit(20.0))
-            .when((rsi > 68.0) & (rsi <= 75.0), F.lit(15.0))
-            .when((rsi >= 40.0) & (rsi < 50.0), F.lit(10.0))
-            .when(rsi < 30.0, F.lit(12.0)).otherwise(F.lit(5.0)))
+    best, strong, weak, sold, rest = RSI_POINTS.values()
+    return (F.when(rsi.between(best[0], best[1]), F.lit(best[2]))
+            .when((rsi > strong[0]) & (rsi <= strong[1]), F.lit(strong[2]))
+            .when((rsi >= weak[0]) & (rsi < weak[1]), F.lit(weak[2]))
+            .when(rsi < sold[1], F.lit(sold[2])).otherwise(F.lit(rest[2])))
 
 
 def _ladder(x: Column, steps: Sequence[tuple[float, float]], otherwise: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c
@@ -119,11 +119,18 @@ MANIFEST = ("version string, built_utc timestamp, horizon_days int, n_symbols bi
 
 # ---- writing -------------------------------------------------------------------------------
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash: part files are not byte-stable, their rows are."""
-    row = F.xxhash64(*[c(x) for x in sorted(df.columns)])
-    return df.agg(F.concat_ws("-", F.hex(F.bit_xor(row)), F.hex(F.sum(row.cast("decimal(38,0)"))
-                                                            .cast("string")),
-                              F.count(F.lit(1)).cast("string")).alias("text")) \
+    """Order-free content hash: part files are not byte-stable, their rows are.
+
+    A row's text has its values in the order of the column names, doubles as whole millionths; the first
+    and the last 15 hex digits of its MD5 are summed up over all rows.
+    """
+    def text(name: str, kind: str) -> Column:
+        value = F.floor(c(name) * 1e6 + 0.5).cast("string") if kind == "double" else c(name).cast("string")
+        return F.coalesce(F.when(c(name).isNotNull(), value), F.lit("~"))
+
+    code = F.md5(F.concat_ws("|", *[text(n, k) for n, k in sorted(df.dtypes)]))
+    part = lambda start: F.sum(F.conv(F.substring(code, start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.concat_ws("-", part(1), part(18), F.count(F.lit(1)).cast("string")).alias("text")) \
         .select(F.substring(F.sha2("text", 256), 1, 16).alias("fingerprint"))
 
 

@@ -43,7 +43,7 @@ def sample_first(syms: DataFrame, n: int) -> DataFrame:
 
 def sample_random(syms: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n symbols in an order fixed by a seeded hash, independent of partitioning."""
-    return syms.orderBy(F.xxhash64(F.col("sym"), F.lit(seed)), "sym").limit(n)
+    return syms.orderBy(F.md5(F.concat("sym", F.lit(f"#{seed}"))), "sym").limit(n)
 
 
 def stale_symbols(bars: DataFrame, wanted: DataFrame, start: str, end: str,
