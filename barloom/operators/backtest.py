@@ -192,18 +192,35 @@ def threshold_search(df: DataFrame, by: Sequence[str], min_coverage: float = 0.0
                      score: str = "proba", label: str = "label", ret: str = "fwd_ret") -> DataFrame:
     """Best threshold per group: precision target first, then precision, coverage and return.
 
-    Predictions are exploded over the grid and reduced map-side to one row per group and threshold.
-    Groups where no threshold qualifies get 0.50.
+    A prediction is long for all thresholds up to its score and else short for all up to one minus
+    it, so it belongs to one band of each kind.  Rows are summed map-side to one row per group and
+    band; the at most 92 bands of a group give its 46 thresholds.  Groups where no threshold
+    qualifies get 0.50.
     """
     by = list(by)
-    grid = F.explode(F.array(*[F.lit(v) for v in THRESHOLDS])).alias("threshold")
-    long = df.select(*by, score, label, ret, grid)
-    pred = c(score) >= c("threshold")
-    s = side(c(score), c("threshold"))
-    net = s * c(ret) - F.when(s != 0, F.lit(cost_bps / 10000.0)).otherwise(F.lit(0.0))
-    cells = long.groupBy(*by, "threshold").agg(
-        F.avg(pred.cast("double")).alias("coverage"), F.count_if(pred).alias("trades"),
-        F.count_if(pred & (c(label) == 1)).alias("_tp"), (F.product(1.0 + net) - 1).alias("_total"))
+    grid = F.array(*[F.lit(v) for v in THRESHOLDS])
+    cost = F.lit(cost_bps / 10000.0)
+    longs = F.size(F.filter(grid, lambda t: c(score) >= t))
+    shorts = F.when(c("_long") == 0, F.size(F.filter(grid, lambda t: c(score) <= 1 - t))).otherwise(0)
+    rows = df.select(*by, score, label, ret, longs.alias("_long")).withColumn("_short", shorts)
+    bands = rows.groupBy(*by, "_long", "_short").agg(
+        F.count(score).alias("n"), F.count_if((c("_long") > 0) & (c(label) == 1)).alias("tp"),
+        F.product(F.when(c("_long") > 0, 1.0 + (c(ret) - cost))).alias("up"),
+        F.product(F.when(c("_short") > 0, 1.0 + (-c(ret) - cost))).alias("down"))
+    groups = bands.groupBy(*by).agg(F.collect_list(F.struct("_long", "_short", "n", "tp", "up", "down")).alias("_bands"),
+                                    F.sum("n").alias("_n"))
+    per = groups.select("*", F.posexplode(grid).alias("_k", "threshold"))
+
+    def over(part, start, step):
+        return F.aggregate(F.filter("_bands", lambda b: b[part] > c("_k")), start, step)
+
+    none = F.lit(0).cast("bigint")
+    total = over("_long", F.lit(1.0), lambda a, b: a * F.coalesce(b["up"], F.lit(1.0))) \
+        * over("_short", F.lit(1.0), lambda a, b: a * F.coalesce(b["down"], F.lit(1.0))) - 1
+    cells = per.select(
+        *by, "threshold", "_n", over("_long", none, lambda a, b: a + b["n"]).alias("trades"),
+        over("_long", none, lambda a, b: a + b["tp"]).alias("_tp"), total.alias("_total"))
+    cells = cells.withColumn("coverage", ratio("trades", "_n"))
     precision = F.coalesce(ratio("_tp", "trades"), F.lit(0.0))
     cells = cells.withColumn("precision", precision)
     points = F.when(c("precision") >= target_precision, 10.0 + c("coverage") + c("_total")) \
