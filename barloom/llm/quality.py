@@ -7,8 +7,8 @@ The line rules look for what running text does not do, and leave a line alone wh
 * symbols: over a tenth of the characters are ``#*$%&|<>{}=~``;
 * shouting: over seven tenths of the letters A-Z are capitals, in a line of five words or more;
 * repetition: ten words or more, under three tenths of them different;
-* punctuation: eight words or more without any sentence mark at the end or inside, or every third
-  word with a double exclamation mark.
+* punctuation: eight words or more that neither begin with a capital or digit nor have any sentence
+  mark, or every third word with a double exclamation mark.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def failed_rule(line: bytes) -> str | None:
         return "repetition"
     if n >= 3 and 3 * text.count("!!") >= n:
         return "punctuation"
-    if n >= 8 and not SENTENCE_MARK.search(text):
+    first = text.lstrip()[0]
+    if n >= 8 and not (first.isupper() or first.isdigit()) and not SENTENCE_MARK.search(text):
         return "punctuation"
     return None
 
