@@ -62,7 +62,7 @@ def failed_rule(line: bytes) -> str | None:
         return "repetition"
     if n >= 3 and 3 * text.count("!!") >= n:
         return "punctuation"
-    first = text.lstrip()[0]
+    first = text.lstrip()[:1]
     if n >= 8 and not (first.isupper() or first.isdigit()) and not SENTENCE_MARK.search(text):
         return "punctuation"
     return None

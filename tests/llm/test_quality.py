@@ -47,7 +47,7 @@ def test_verdicts_follow_the_labels(spark):
     ("Home | News | Sport | Contact us | Log in", "navigation"), ("We use cookies on this site.", "boilerplate"),
     ("x### y$$$ z%%% a&&&", "symbols"), ("THE QUICK BROWN FOX IS LOUD.", "shouting"), ("la " * 12 + ".", "repetition"),
     ("buy!! it!! now!!", "punctuation"), ("one two three four five six seven eight nine", "punctuation"),
-    ("A plain sentence, with a mark.", None), ("A heading of nine words that has no mark", None), ("Short heading", None), ("", None), ("  ", None),
+    ("A plain sentence, with a mark.", None), ("A heading of nine words that has no mark", None), ("Short heading", None), ("", None), ("  ", None), ("\u00a0 \u2003", None),
     ("NASA and ESA met; a | b is fine.", None), ("Überall im Land wird viel über das Wetter geredet.", None)])
 def test_line_rules(line, rule):
     assert quality.failed_rule(line.encode()) == rule
