@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrow import slices, utf8, worker_cache
+from .tokenids import byte_letters
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 LONG_CHUNK = 64
 #: ASCII white space becomes a space, so that one split finds all chunks.
 TO_SPACE = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 
 
+#: Latin letters that NFC and lower case turn into one letter each, then signs that are no letters, digits or apostrophes.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-;=-@\[-`{}~]*)")
 #: White space as Unicode has it, without the separators 1C to 1F that Python adds.
 SPACE = re.compile(r"[^\S\x1c-\x1f]")
 
@@ -45,13 +48,20 @@ class PrefixCounter:
         bpe = spec["model"]
         self.suffix = bpe.get("end_of_word_suffix") or ""
         self.vocab = frozenset(bpe["vocab"])
-        self.longest = max(map(len, self.vocab))
+        # what tokens end with, so that the search for a prefix's last token knows where to stop
+        self.tails = frozenset(t[k:] for t in self.vocab for k in range(len(t)))
+        self.letters = byte_letters()
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"])
         self.rank = {pair: i for i, pair in enumerate(pairs)}
+        # whether the fast way below says the same as the model's own steps
+        kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pattern = str((spec["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern"))
+        self.simple = kinds == ["NFC", "Replace", "Lowercase"] and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pattern
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.added = re.compile("(" + "|".join(added) + ")") if added else None
         self.agree: dict[tuple[str, str], bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.lower: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -91,25 +101,50 @@ class PrefixCounter:
             return known
         n = len(word)
         last, count, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        vocab, tails, agree, suffix = self.vocab, self.tails, self.agree, self.suffix
         for i in range(1, n + 1):
-            for ends, suffix in ((False, ""), (True, self.suffix)):
-                for j in range(max(0, i - self.longest), i):
-                    token = word[j:i] + suffix
-                    if token in self.vocab and (j == 0 or last[j]) and self._neighbours(last[j], token):
-                        if ends:
-                            closed[i] = count[j] + 1
-                        else:
-                            last[i], count[i] = word[j:i], count[j] + 1
+            for end in ("", suffix) if suffix else ("",):
+                for j in range(i - 1, -1, -1):
+                    token = word[j:i] + end
+                    if token not in tails:
                         break
-                else:
-                    raise ValueError(f"no token ends at {i} of {word!r}")
-                if not self.suffix:
-                    closed[i] = count[i]
-                    break
+                    if token in vocab:
+                        good = agree.get((last[j], token))
+                        if self._neighbours(last[j], token) if good is None else good:
+                            if end:
+                                closed[i] = count[j] + 1
+                            else:
+                                last[i], count[i] = token, count[j] + 1
+                            break
+            if not suffix:
+                closed[i] = count[i]
+            if not closed[i] or not last[i]:
+                raise ValueError(f"no token ends at {i} of {word!r}")
         if n <= LONG_CHUNK:
             self.words[word] = closed
         return closed
 
+    def _lower(self, text: str) -> bytes:
+        """Deltas of one word to the pre-tokenizer, lower-cased Latin letters or signs."""
+        known = self.lower.get(text)
+        if known is None:
+            if text.isascii():
+                marks = self.word(text)
+            else:
+                closed = self.word("".join([self.letters[b] for b in text.encode()]))
+                marks, at = [0], 0
+                for c in text:
+                    at += len(c.encode())
+                    marks.append(closed[at])
+            known = self.lower[text] = bytes([(b - a) & 255 for a, b in zip(marks, marks[1:])])
+        return known
+
+    def _chunk(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if self.simple and len(text) <= LONG_CHUNK and (m := WORD_AND_SIGNS.fullmatch(text)):
+            return (self._lower(m[1].lower()) if m[1] else b"") + (self._lower(m[2]) if m[2] else b"")
+        return np.diff(np.array([0, *self._counts(text)])).astype(np.int8).tobytes()
+
     def _plain(self, text: str) -> list[int]:
         """Counts at the code points of a normalised text without added tokens."""
         counts, base, at = [], 0, 0
@@ -170,14 +205,13 @@ class PrefixCounter:
         found = list(map(self.chunks.get, parts))
         for i, known in enumerate(found):
             if known is None:
-                counts = np.array([0, *self._counts(parts[i].decode())])
-                found[i] = np.diff(counts).astype(np.int8).tobytes()
+                found[i] = self._chunk(parts[i])
                 if len(parts[i]) <= LONG_CHUNK:
                     self.chunks[parts[i]] = found[i]
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
-        for kept in (self.words, self.agree):
-            if len(kept) > 2 * CACHE_WORDS:
+        for kept in (self.words, self.lower, self.agree):
+            if len(kept) > CACHE_WORDS:
                 kept.clear()
         return b"\0".join(found)
 
