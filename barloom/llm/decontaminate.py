@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact verification.
 
-Every window of as many words as a benchmark item has, in every document, gets a 64-bit SimHash of
-its words, from differences of running sums.  Fingerprints within ``RADIUS`` bits of an item's are
-found without exception: of four 16-bit blocks at least one differs in RADIUS // 4 bits or fewer, and
-a table of each block's values marks those that do.  What is within the radius is verified by the
+Every window of about as many words as a benchmark item has, in every document, gets a 64-bit SimHash
+of its words, from differences of running sums; an item has one for its first words and one for its
+last.  Fingerprints within ``RADIUS`` bits of an item's are found without exception: of four 16-bit
+blocks at least one differs in RADIUS // 4 bits or fewer, and a table of each block's values marks
+those that do.  What is within the radius is verified by the
 weighted similarity of the distinct 5-word shingles, on the window's own words.
 
 Benchmark items are a stated query set: they are taken in blocks of ``BLOCK_ITEMS``, and each block's
@@ -25,10 +26,12 @@ from pyspark.sql import types as T
 from .arrow import slices, utf8, worker_cache
 from .wordhash import NOT_ALNUM, hashed_words, shingles
 
-RADIUS = 15
+RADIUS = 11
 BLOCK_ITEMS = 2000
 WIDTH = 5
 ROWS = 4096
+#: Where the four blocks' tables begin in the joined table.
+BLOCK_AT = np.arange(4) << 16
 
 
 def _running(words: np.ndarray, wide: bool) -> np.ndarray:
@@ -42,7 +45,13 @@ def _running(words: np.ndarray, wide: bool) -> np.ndarray:
 
 def _fingerprints(running: np.ndarray, size: int) -> np.ndarray:
     """SimHash of every window of ``size`` words, as (windows, 4) blocks of 16 bits."""
-    return np.packbits(running[size:] - running[:-size] > 0, axis=1).view(np.uint16)
+    return np.packbits((running[size:] - running[:-size] > 0).reshape(-1)).view(np.uint16).reshape(-1, 4)
+
+
+def window_size(words: int) -> int:
+    """Words of the windows that are searched for an item: its own number, rounded down by an eighth at
+    most so that items share windows; the item's first words, and its last, stand for it in the search."""
+    return words - words % max(1, words // 8)
 
 
 class ItemIndex:
@@ -51,32 +60,33 @@ class ItemIndex:
     def __init__(self, texts: list[bytes], threshold: float, width: int):
         self.threshold, self.width = threshold, width
         sets: list[np.ndarray] = []
-        by_size: dict[int, list[int]] = {}
-        prints: list[np.ndarray] = []
+        by_size: dict[int, list[tuple]] = {}
         for first, counts, words in hashed_words(texts, NOT_ALNUM):
             for nth, own in enumerate(np.split(words, np.cumsum(counts)[:-1])):
                 n = len(own)
                 sets.append(np.unique(shingles(np.array([n]), own, width, short=False)[1]))
-                prints.append(_fingerprints(_running(own, n > 127), n)[0] if n else np.zeros(4, np.uint16))
-                if n >= width:
-                    by_size.setdefault(n, []).append(first + nth)
+                size = window_size(n)
+                for shift in sorted({0, n - size}) if n >= width else ():
+                    head = _fingerprints(_running(own[shift:shift + size], n > 127), size).view(np.uint64)[0, 0]
+                    by_size.setdefault(size, []).append((first + nth, n, shift, head))
         every = np.concatenate([*sets, np.zeros(0, np.uint64)])
         self.known, holders = np.unique(every, return_counts=True)
         self.outside = 1.0 + float(np.log(max(len(texts), 1)))  # weight of a shingle that no item has
         self.weights = self.outside - np.log(holders)
         self.sets = sets
-        self.totals = [float(self.weights[np.searchsorted(self.known, s)].sum()) for s in sets]
+        self.totals = np.array([float(self.weights[np.searchsorted(self.known, s)].sum()) for s in sets])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         near = [sum(1 << b for b in some) for k in range(RADIUS // 4 + 1) for some in itertools.combinations(range(16), k)]
         masks = np.array(near, np.uint16)
         self.sizes = {}
-        for size, items in by_size.items():
-            blocks = np.array([prints[i] for i in items], np.uint16)
+        for size, some in by_size.items():
+            items, lengths, shifts, prints = (np.array(x) for x in zip(*some))
+            blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
             marked = np.zeros((4, 1 << 16), bool)
             for k in range(4):
                 marked[k, (blocks[:, k, None] ^ masks).reshape(-1)] = True
-            self.sizes[size] = (np.array(items), np.ascontiguousarray(blocks).view(np.uint64).reshape(-1), marked)
+            self.sizes[size] = (items, lengths, shifts, prints, marked.reshape(-1))
 
     def _similarity(self, item: int, window: np.ndarray) -> float:
         window = np.unique(window)
@@ -116,42 +126,47 @@ class ItemIndex:
                 for low in range(0, len(words), ROWS):
                     high = min(len(words), low + ROWS + max(sizes))
                     running = _running(words[low:high], wide)
-                    for size, (items, prints, marked) in sizes.items():
+                    for size, (*some, marked) in sizes.items():
                         if high - low < size:
                             continue
                         blocks = _fingerprints(running[:ROWS + size], size)
-                        near = marked[0][blocks[:, 0]]
-                        for k in (1, 2, 3):
-                            near |= marked[k][blocks[:, k]]
-                        start = np.flatnonzero(near)
-                        start = start[start + low + size <= last[start + low]]
-                        self._verify(best, first, owner, begins, placed, gained, items, prints,
-                                     blocks.view(np.uint64).reshape(-1)[start], start + low, np.full(len(start), size))
-            for size, (items, prints, _) in self.sizes.items():  # texts a little shorter than the item: one window
-                short = np.flatnonzero((counts < size) & (counts >= self.width) & (counts >= self.threshold * (size - self.width + 1)))
-                for t in short:
-                    own = words[begins[t]:ends[t]]
-                    found = _fingerprints(_running(own, True), len(own)).view(np.uint64).reshape(-1)
-                    self._verify(best, first, owner, begins, placed, gained, items, prints, found,
-                                 begins[t:t + 1], counts[t:t + 1])
+                        near = marked.take(blocks + BLOCK_AT, mode="clip").view(np.uint32).reshape(-1)
+                        start = np.flatnonzero(near) + low
+                        # what a window and its margins share with all items bounds what it shares with one
+                        reach = int(some[2].max())
+                        least = self.threshold * self.totals[some[0]].min() - 1e-9
+                        start = start[gained[np.minimum(start + size + reach, len(words))]
+                                      - gained[np.maximum(start - reach, 0)] >= least]
+                        self._verify(best, first, owner, begins, last, placed, gained, some,
+                                     blocks.view(np.uint64).reshape(-1)[start - low], start)
+            for size, (items, lengths, shifts, prints, _) in self.sizes.items():  # texts a little shorter than the item: one window
+                for t in np.flatnonzero((counts < lengths.max()) & (counts >= self.width)):
+                    fit = (counts[t] < lengths) & (counts[t] >= self.threshold * (lengths - self.width + 1))
+                    if fit.any():
+                        own = words[begins[t]:ends[t]][:size]
+                        found = _fingerprints(_running(own, True), len(own)).view(np.uint64).reshape(-1)
+                        some = items[fit], np.full(fit.sum(), counts[t]), shifts[fit] * 0, prints[fit]
+                        self._verify(best, first, owner, begins, last, placed, gained, some, found, begins[t:t + 1])
         return [(text, item, start, n, s) for (text, item), (s, start, n) in sorted(best.items())]
 
-    def _verify(self, best, first, owner, begins, placed, gained, items, prints, found, starts, sizes) -> None:
+    def _verify(self, best, first, owner, begins, last, placed, gained, some, found, starts) -> None:
         """Keep windows within the radius of an item whose exact similarity meets the threshold."""
-        for item, own in zip(items, prints):
-            near = np.flatnonzero(np.bitwise_count(found ^ own) <= RADIUS)
-            if not len(near):
-                continue
-            start, size = starts[near], sizes[near]
-            # what the window shares with all items bounds what it shares with this one
-            bound = gained[start + size - self.width + 1] - gained[start]
-            for i in np.flatnonzero(bound >= self.threshold * self.totals[item] - 1e-9):
-                a, n = int(start[i]), int(size[i])
-                similarity = self._similarity(item, placed[a:a + n - self.width + 1])
-                key = (first + int(owner[a]), int(item))
-                value = (similarity, a - int(begins[owner[a]]), n)
-                if similarity >= self.threshold and (key not in best or similarity > best[key][0]):
-                    best[key] = value
+        items, lengths, shifts, prints = some
+        window, which = np.nonzero(np.bitwise_count(found[:, None] ^ prints[None, :]) <= RADIUS)
+        start, size, item = starts[window], lengths[which], items[which]
+        start = np.maximum(start - shifts[which], begins[owner[start]])
+        whole = start + size <= last[start]
+        start, size, item = start[whole], size[whole], item[whole]
+        # what the window shares with all items bounds what it shares with this one
+        bound = gained[start + size - self.width + 1] - gained[start]
+        for i in np.flatnonzero(bound >= self.threshold * self.totals[item] - 1e-9):
+            a, n = int(start[i]), int(size[i])
+            similarity = self._similarity(int(item[i]), placed[a:a + n - self.width + 1])
+            key = (first + int(owner[a]), int(item[i]))
+            value = (similarity, a - int(begins[owner[a]]), n)
+            if similarity >= self.threshold and (
+                    key not in best or (similarity, -value[1]) > (best[key][0], -best[key][1])):
+                best[key] = value
 
 
 def item_blocks(items: DataFrame) -> Iterator[tuple[list, list[bytes]]]:
