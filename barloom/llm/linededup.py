@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, utf8
+from .store import stored
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -50,8 +51,9 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("hashes", T.ArrayType(T.BinaryType()))])
     lines = docs.select("doc_id", "text").mapInArrow(hashes, schema).select("doc_id", F.explode("hashes").alias("hash"))
-    common = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")) \
-        .where(F.col("docs") >= min_docs).select("hash", "keeper")
+    # stored, so that the join below reads both sides from shuffles of its own and Spark can split a hot hash
+    common = stored(lines.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
+                    .where(F.col("docs") >= min_docs).select("hash", "keeper"), "common-lines")
     return lines.join(common, "hash").where(F.col("doc_id") != F.col("keeper")) \
         .groupBy("doc_id").agg(F.collect_set("hash").alias("dropped"))
 
