@@ -1,11 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact verification.
+"""Benchmark decontamination: an inverted index of weighted shingles, exact bounds, exact windows.
 
-Every window of about as many words as a benchmark item has, in every document, gets a 64-bit SimHash
-of its words, from differences of running sums; an item has one for its first words and one for its
-last.  Fingerprints within ``RADIUS`` bits of an item's are found without exception: of four 16-bit
-blocks at least one differs in RADIUS // 4 bits or fewer, and a table of each block's values marks
-those that do.  What is within the radius is verified by the
-weighted similarity of the distinct 5-word shingles, on the window's own words.
+A window of as many words as a benchmark item has can reach the threshold only if the distinct 5-word
+shingles it shares with the item have that share of the item's weight.  So a document is looked at
+for an item only where the shingles they share have it; then for every window that holds enough of
+them the weighted similarity of the distinct shingles is computed.  The bounds are exact: no window
+that meets the threshold is passed over, wherever words are cut, changed or shifted.
 
 Benchmark items are a stated query set: they are taken in blocks of ``BLOCK_ITEMS``, and each block's
 index goes to the tasks with the function, so what is shipped has a bound whatever their number.
@@ -26,16 +25,20 @@ from pyspark.sql import types as T
 from .arrow import slices, utf8, worker_cache
 from .wordhash import NOT_ALNUM, hashed_words, shingles
 
-RADIUS = 11
 BLOCK_ITEMS = 2000
 WIDTH = 5
-ROWS = 4096
-#: Where the four blocks' tables begin in the joined table.
-BLOCK_AT = np.arange(4) << 16
+#: Windows that are compared at a time, and (document, item, shingle) rows that are summed at a time.
+WINDOWS = 1 << 16
+ROWS = 1 << 20
+#: Sums differ by their order of summing; what is this near the threshold meets it.
+EQUAL = 1e-9
 
 
 def _running(words: np.ndarray, wide: bool) -> np.ndarray:
-    """Running sums of +1 and -1 for each bit of the words' hashes; differences are right modulo the type."""
+    """Running sums of +1 and -1 for each bit of the words' hashes; differences are right modulo the type.
+
+    For fingerprints, which the search does not use: no radius of theirs follows from the threshold.
+    """
     kind = np.int16 if wide else np.int8
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
     out = np.zeros((len(words) + 1, 64), kind)
@@ -48,45 +51,30 @@ def _fingerprints(running: np.ndarray, size: int) -> np.ndarray:
     return np.packbits((running[size:] - running[:-size] > 0).reshape(-1)).view(np.uint16).reshape(-1, 4)
 
 
-def window_size(words: int) -> int:
-    """Words of the windows that are searched for an item: its own number, rounded down by an eighth at
-    most so that items share windows; the item's first words, and its last, stand for it in the search."""
-    return words - words % max(1, words // 8)
-
-
 class ItemIndex:
-    """Items of one block, by their number of words."""
+    """Items of one block, by their shingles."""
 
     def __init__(self, texts: list[bytes], threshold: float, width: int):
         self.threshold, self.width = threshold, width
         sets: list[np.ndarray] = []
-        by_size: dict[int, list[tuple]] = {}
-        for first, counts, words in hashed_words(texts, NOT_ALNUM):
-            for nth, own in enumerate(np.split(words, np.cumsum(counts)[:-1])):
-                n = len(own)
-                sets.append(np.unique(shingles(np.array([n]), own, width, short=False)[1]))
-                size = window_size(n)
-                for shift in sorted({0, n - size}) if n >= width else ():
-                    head = _fingerprints(_running(own[shift:shift + size], n > 127), size).view(np.uint64)[0, 0]
-                    by_size.setdefault(size, []).append((first + nth, n, shift, head))
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        self.known, holders = np.unique(every, return_counts=True)
+        lengths: list[int] = []
+        for _, counts, words in hashed_words(texts, NOT_ALNUM):
+            for own in np.split(words, np.cumsum(counts)[:-1]):
+                sets.append(np.unique(shingles(np.array([len(own)]), own, width, short=False)[1]))
+                lengths.append(len(own))
+        self.sets, self.lengths = sets, lengths
+        self.known, holders = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
         self.outside = 1.0 + float(np.log(max(len(texts), 1)))  # weight of a shingle that no item has
         self.weights = self.outside - np.log(holders)
-        self.sets = sets
-        self.totals = np.array([float(self.weights[np.searchsorted(self.known, s)].sum()) for s in sets])
+        self.ids = [np.searchsorted(self.known, s) for s in sets]
+        self.totals = np.array([float(self.weights[i].sum()) for i in self.ids])
+        # items that hold a known shingle, shingle after shingle
+        every = np.concatenate([*self.ids, np.zeros(0, np.int64)]).astype(np.int64)
+        owners = np.repeat(np.arange(len(sets)), [len(i) for i in self.ids])
+        self.holders, self.n_holders = owners[np.argsort(every, kind="stable")], holders
+        self.first_holder = np.cumsum(holders) - holders
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        near = [sum(1 << b for b in some) for k in range(RADIUS // 4 + 1) for some in itertools.combinations(range(16), k)]
-        masks = np.array(near, np.uint16)
-        self.sizes = {}
-        for size, some in by_size.items():
-            items, lengths, shifts, prints = (np.array(x) for x in zip(*some))
-            blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
-            marked = np.zeros((4, 1 << 16), bool)
-            for k in range(4):
-                marked[k, (blocks[:, k, None] ^ masks).reshape(-1)] = True
-            self.sizes[size] = (items, lengths, shifts, prints, marked.reshape(-1))
 
     def _similarity(self, item: int, window: np.ndarray) -> float:
         window = np.unique(window)
@@ -100,73 +88,102 @@ class ItemIndex:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity): the best window of each text and item."""
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        out: list[tuple[int, int, int, int, float]] = []
+        if not len(self.known):
+            return out
         for first, counts, words in hashed_words(texts, NOT_ALNUM):
-            ends = np.cumsum(counts)
-            begins = ends - counts
             n_shingles, hashes = shingles(counts, words, self.width, short=False)
-            # hashes by the place of their first word; places where none begins stay 0
-            text_of = np.repeat(np.arange(len(counts)), n_shingles)
-            at = begins[text_of] + np.arange(len(hashes)) - (np.cumsum(n_shingles) - n_shingles)[text_of]
-            placed = np.zeros(len(words), np.uint64)
-            placed[at] = hashes
-            weight = np.zeros(len(words) + 1)
-            hit = at[self.maybe[(hashes >> np.uint64(44)).astype(np.int64)]]
-            if len(hit):
-                place = np.searchsorted(self.known, placed[hit])
-                place[place == len(self.known)] = 0
-                weight[hit + 1] = np.where(self.known[place] == placed[hit], self.weights[place], 0)
-            gained = np.cumsum(weight)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            last = ends[owner]
-            for wide in (False, True):
-                sizes = {s: x for s, x in self.sizes.items() if (s > 127) == wide}
-                if not sizes or not len(words):
-                    continue
-                for low in range(0, len(words), ROWS):
-                    high = min(len(words), low + ROWS + max(sizes))
-                    running = _running(words[low:high], wide)
-                    for size, (*some, marked) in sizes.items():
-                        if high - low < size:
-                            continue
-                        blocks = _fingerprints(running[:ROWS + size], size)
-                        near = marked.take(blocks + BLOCK_AT, mode="clip").view(np.uint32).reshape(-1)
-                        start = np.flatnonzero(near) + low
-                        # what a window and its margins share with all items bounds what it shares with one
-                        reach = int(some[2].max())
-                        least = self.threshold * self.totals[some[0]].min() - 1e-9
-                        start = start[gained[np.minimum(start + size + reach, len(words))]
-                                      - gained[np.maximum(start - reach, 0)] >= least]
-                        self._verify(best, first, owner, begins, last, placed, gained, some,
-                                     blocks.view(np.uint64).reshape(-1)[start - low], start)
-            for size, (items, lengths, shifts, prints, _) in self.sizes.items():  # texts a little shorter than the item: one window
-                for t in np.flatnonzero((counts < lengths.max()) & (counts >= self.width)):
-                    fit = (counts[t] < lengths) & (counts[t] >= self.threshold * (lengths - self.width + 1))
-                    if fit.any():
-                        own = words[begins[t]:ends[t]][:size]
-                        found = _fingerprints(_running(own, True), len(own)).view(np.uint64).reshape(-1)
-                        some = items[fit], np.full(fit.sum(), counts[t]), shifts[fit] * 0, prints[fit]
-                        self._verify(best, first, owner, begins, last, placed, gained, some, found, begins[t:t + 1])
-        return [(text, item, start, n, s) for (text, item), (s, start, n) in sorted(best.items())]
-
-    def _verify(self, best, first, owner, begins, last, placed, gained, some, found, starts) -> None:
-        """Keep windows within the radius of an item whose exact similarity meets the threshold."""
-        items, lengths, shifts, prints = some
-        window, which = np.nonzero(np.bitwise_count(found[:, None] ^ prints[None, :]) <= RADIUS)
-        start, size, item = starts[window], lengths[which], items[which]
-        start = np.maximum(start - shifts[which], begins[owner[start]])
-        whole = start + size <= last[start]
-        start, size, item = start[whole], size[whole], item[whole]
-        # what the window shares with all items bounds what it shares with this one
-        bound = gained[start + size - self.width + 1] - gained[start]
-        for i in np.flatnonzero(bound >= self.threshold * self.totals[item] - 1e-9):
-            a, n = int(start[i]), int(size[i])
-            similarity = self._similarity(int(item[i]), placed[a:a + n - self.width + 1])
-            key = (first + int(owner[a]), int(item[i]))
-            value = (similarity, a - int(begins[owner[a]]), n)
-            if similarity >= self.threshold and (
-                    key not in best or (similarity, -value[1]) > (best[key][0], -best[key][1])):
-                best[key] = value
+            ends = np.cumsum(n_shingles)
+            hit = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.known, hashes[hit]), len(self.known) - 1)
+            real = self.known[place] == hashes[hit]
+            hit, place = hit[real], place[real]
+            if not len(hit):
+                continue
+            text = np.searchsorted(ends, hit, side="right")
+            weight = np.full(len(hashes), self.outside)
+            weight[hit] = self.weights[place]
+            for t, item in self._pairs(text, place):
+                begin = int(ends[t] - n_shingles[t])
+                low, high = np.searchsorted(text, [t, t + 1])
+                own = np.isin(place[low:high], self.ids[item], assume_unique=False)
+                best = self._best(item, int(counts[t]), hashes[begin:ends[t]], weight[begin:ends[t]],
+                                  hit[low:high][own] - begin)
+                if best is not None:
+                    out.append((first + t, item, *best))
+        return sorted(out)
+
+    def _pairs(self, text: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) where all that the two share has the threshold's part of the item's weight."""
+        text, place = np.divmod(np.unique(text * len(self.known) + place), len(self.known))
+        least = (self.threshold - 2 * EQUAL) * self.totals[self.totals > 0].min()
+        enough = np.bincount(text, self.weights[place])[text] >= least
+        text, place = text[enough], place[enough]
+        grown = np.cumsum(self.n_holders[place])
+        low = 0
+        while low < len(text):  # whole texts, as many as ROWS allow, one at least
+            full = np.searchsorted(grown, (grown[low - 1] if low else 0) + ROWS, side="right")
+            high = len(text) if full >= len(text) else int(np.searchsorted(text, text[full]))
+            high = high if high > low else int(np.searchsorted(text, text[low], side="right"))
+            n = self.n_holders[place[low:high]]
+            row = np.repeat(np.arange(low, high), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.first_holder[place[row]]
+            pairs, nth = np.unique(text[row] * len(self.sets) + self.holders[at], return_inverse=True)
+            shared = np.bincount(nth, self.weights[place[row]])
+            t, item = np.divmod(pairs, len(self.sets))
+            keep = shared >= (self.threshold - 2 * EQUAL) * self.totals[item]
+            yield from zip(t[keep].tolist(), item[keep].tolist())
+            low = high
+
+    def _best(self, item: int, words: int, hashes: np.ndarray, weight: np.ndarray,
+              hits: np.ndarray) -> tuple[int, int, float] | None:
+        """(first word, words, similarity) of the first of a text's best windows for an item; ``hits``
+        are the places of the item's shingles in the text."""
+        size = self.lengths[item]
+        span, total = size - self.width + 1, self.totals[item]
+        if words < size:  # a text a little shorter than the item: one window
+            similarity = self._similarity(item, hashes) if words >= self.threshold * span else 0.0
+            return (0, words, similarity) if similarity >= self.threshold - EQUAL else None
+        # a window whose first hit is hits[i] shares at most what lies in the span from there on
+        gained = np.concatenate([[0.0], np.cumsum(weight[hits])])
+        most = gained[np.searchsorted(hits, hits + span)] - gained[:-1]
+        low = np.maximum(np.concatenate([[0], hits[:-1] + 1]), hits - span + 1)
+        high = np.minimum(hits, words - size)
+        some = (most >= (self.threshold - 2 * EQUAL) * total) & (low <= high)
+        low, high = low[some], high[some]
+        if not len(low):
+            return None
+        inside = np.zeros(len(hashes))
+        inside[hits] = weight[hits]
+        apart = np.flatnonzero(low[1:] > high[:-1] + span) + 1
+        starts, found = [], []
+        for begin, end in zip(low[np.r_[0, apart]].tolist(), high[np.r_[apart - 1, len(low) - 1]].tolist()):
+            for a in range(begin, end + 1, WINDOWS):
+                n = min(WINDOWS, end + 1 - a)
+                part = slice(a, a + n + span - 1)
+                here, common = _distinct_sums(hashes[part], (weight[part], inside[part]), span)
+                similarity = common / (here + total - common)
+                near = np.flatnonzero(similarity >= self.threshold - 2 * EQUAL)
+                starts.append(near + a)
+                found.append(similarity[near])
+        starts, found = np.concatenate(starts), np.concatenate(found)
+        for a in starts[found >= found.max() - 1e-10].tolist() if len(found) else ():
+            similarity = self._similarity(item, hashes[a:a + span])
+            if similarity >= self.threshold - EQUAL:
+                return a, size, similarity
+        return None
+
+
+def _distinct_sums(hashes: np.ndarray, values: tuple[np.ndarray, ...], span: int) -> list[np.ndarray]:
+    """For every ``span`` neighbours the sums of their values, equal hashes counted once."""
+    order = np.argsort(hashes, kind="stable")
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    at = np.arange(len(hashes))
+    # a place counts for the starts behind the last equal hash and at most span - 1 before it
+    since = np.maximum(at - span + 1, 0)
+    since[order[1:][equal]] = np.maximum(since[order[1:][equal]], order[:-1][equal] + 1)
+    n = len(hashes) + 1
+    return [np.cumsum(np.bincount(since, v, n) - np.bincount(at + 1, v, n))[:n - span] for v in values]
 
 
 def item_blocks(items: DataFrame) -> Iterator[tuple[list, list[bytes]]]:

@@ -117,3 +117,31 @@ def test_fingerprints_of_all_windows():
             bits = np.unpackbits(words[at:at + size].view(np.uint8).reshape(-1, 8), axis=1).astype(int)
             want = np.packbits((2 * bits - 1).sum(axis=0) > 0).view(np.uint64)[0]
             assert prints[at] == want
+
+
+def test_cut_and_shifted_copies():
+    """Copies without some of their first, last or middle words, in the middle and at the ends of documents."""
+    rng = random.Random(9)
+    word = lambda: "v%d" % rng.randrange(4000)
+    filler = lambda: [word() for _ in range(rng.randrange(0, 60))]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([16, 20, 31, 40, 59, 130] * 6)]
+    items += [(36, items[3][1].replace(items[3][1].split()[0], "another")), (37, " ".join(["same"] * 30))]
+    texts = []
+    for i in range(600):
+        leak = items[rng.randrange(len(items))][1].split()
+        cut = rng.randrange(0, max(2, len(leak) // 8))
+        kind = rng.randrange(4)
+        leak = [leak[cut:], leak[:len(leak) - cut], leak[:9] + leak[9 + cut:], leak + leak[cut:]][kind]
+        texts.append((i, " ".join(filler() * rng.randrange(2) + leak + filler() * rng.randrange(2))))
+    texts += [(600, " ".join(["same"] * 70)), (601, " ".join(text for _, text in items)), (602, "")]
+    index = decontaminate.ItemIndex([t.encode() for _, t in items], 0.75, 5)
+    found = index.search([t.encode() for _, t in texts])
+    want = brute(texts, items)
+    assert len(want) > 400
+    out = {(t, k): s for t, k, _, _, s in found}
+    same({k: s for k, s in out.items() if k in want or s > 0.75 + 1e-9}, want)
+    assert all(s > 0.75 - 2e-9 for s in out.values())  # brute force may sum what is 0.75 to a little less
+    for t, k, start, n, similarity in found[::7]:
+        window = words_of(texts[t][1])[start:start + n]
+        alone = brute([(t, " ".join(window))], items)
+        assert abs(alone.get((t, k), 0.75) - similarity) < 1e-9
