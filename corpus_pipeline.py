@@ -45,9 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of 1024."""
+    """Token ids of all documents in sequences of 1024: the ids themselves and their checksum."""
     pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

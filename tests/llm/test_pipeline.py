@@ -1,3 +1,7 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -56,3 +60,19 @@ def test_awkward_rows(spark, docs, tmp_path):
             rest = stage(spark, rest, folder)
             assert rest.columns == [c for c in docs.columns if c != "kept"]
         assert corpus_pipeline.STAGES[-1][1](spark, rest, folder).count() > 0 or not some
+
+
+def test_result_holds_the_tokens_of_every_document(spark):
+    """From the table that the pipeline returns the packed corpus can be read, and decoded again."""
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(i, f"Document {i} has some words." * (1 + 200 * i)) for i in range(5)], "doc_id long, text string")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    ids = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        own = np.frombuffer(r["ids"], "<u4")
+        assert len(own) == r["length"] and zlib.crc32(own.tobytes()) == r["ids_crc32"]
+        ids.setdefault(r["doc_id"], []).extend(own.tolist())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {i: model.decode(x[:-1], skip_special_tokens=False) for i, x in ids.items()} == texts
+    assert all(x[-1] == 0 for x in ids.values())
