@@ -3,12 +3,15 @@
 The line rules look for what running text does not do, and leave a line alone when in doubt:
 
 * navigation: three or more separators (``|``, ``»``, ``>`` …) between few words each;
-* boilerplate: notices of web pages (cookies, scripts, log in, share) in short lines;
+* boilerplate: notices of web pages (cookies, scripts, log in, share) in short lines, two of them or
+  one with hardly any words that notices do not have;
 * symbols: over a tenth of the characters are ``#*$%&|<>{}=~``;
 * shouting: over seven tenths of the letters A-Z are capitals, in a line of five words or more;
 * repetition: ten words or more, under three tenths of them different;
-* punctuation: eight words or more that neither begin with a capital or digit nor have any sentence
-  mark, or every third word with a double exclamation mark.
+* punctuation: eight words or more whose first letter is a small one and that have no sentence mark of
+  any script, or every third word with a double exclamation mark.  Scripts without case never fail
+  this, nor do such lines within a paragraph that stand between a line whose sentence is open and one
+  with a mark, as in wrapped prose.
 """
 
 from __future__ import annotations
@@ -27,10 +30,18 @@ from .wordhash import hashed_words, shingles
 
 SEPARATORS = re.compile(r"(?:^|\s)(?:\||»|›|>|•|·|/)(?=\s|$)")
 BOILERPLATE = re.compile(
-    r"cookie(?:s| policy)|java ?script|lorem ipsum|privacy policy|terms of (?:use|service)|sign (?:in|up)\b|log ?in\b"
-    r"|subscribe (?:now|to)|newsletter|share (?:this|on)|follow us|read more|click here|back to top|skip to content"
-    r"|all rights reserved|powered by", re.I)
-SENTENCE_MARK = re.compile(r"[.!?…。！？:;\"'”’»)\]]")
+    r"\b(?:cookie(?:s| policy)\b|java ?script\b|lorem ipsum|privacy policy|terms of (?:use|service)|sign (?:in|up)\b|log ?in\b"
+    r"|subscribe (?:now|to)\b|newsletter|share (?:this|on)\b|follow us\b|read more\b|click here|back to top|skip to content"
+    r"|all rights reserved|powered by|copyright)|©", re.I)
+#: Words that notices have besides their signs.
+NOTICE_FILLERS = frozenset(
+    "a accept account agree all an and any at be browser by can continue enable for free from get have here if in is it join "
+    "main more must navigation new no not now of on or our out page please register required see site the this to turn up us use "
+    "uses using view visit we website with you your".split())
+#: Ends of sentences and clauses in any script; Unicode's sentence terminals, quotes and brackets.
+ENDS = ".!?…。！？｡．։՜՞؟۔܀܁܂߹।॥၊။።፧፨᙮᠃᠉។៕᥄᥅᪨᪩᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗"
+CLOSERS = "\"'”’»)]"
+SENTENCE_MARK = re.compile("[" + re.escape(ENDS + CLOSERS) + ":;؛]")
 BASE_SYMBOLS = b"#*$%&|<>"
 SYMBOLS = b"#*$%&|<>{}=~"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -50,7 +61,7 @@ def failed_rule(line: bytes) -> str | None:
         marks = len(SEPARATORS.findall(text))
         if marks >= 3 and 6 * marks >= n - marks:
             return "navigation"
-    if n <= NOTICE_WORDS and BOILERPLATE.search(text):
+    if n <= NOTICE_WORDS and BOILERPLATE.search(text) and _is_notice(text):
         return "boilerplate"
     if 10 * sum(map(line.count, map(bytes, zip(SYMBOLS)))) > len(text):
         return "symbols"
@@ -62,12 +73,41 @@ def failed_rule(line: bytes) -> str | None:
         return "repetition"
     if n >= 3 and 3 * text.count("!!") >= n:
         return "punctuation"
-    first = text.lstrip()[:1]
-    if n >= 8 and not (first.isupper() or first.isdigit()) and not SENTENCE_MARK.search(text):
+    if n >= 8 and _unmarked(text):
         return "punctuation"
     return None
 
 
+def _is_notice(text: str) -> bool:
+    """Whether a line with a sign of boilerplate has another one, or one word at most that is not of notices."""
+    if len({x.lower() for x in BOILERPLATE.findall(text)}) > 1:
+        return True
+    others = re.findall(r"[^\W\d_]+", BOILERPLATE.sub(" ", text).lower())
+    return sum(w not in NOTICE_FILLERS for w in others) <= 1
+
+
+def _unmarked(text: str) -> bool:
+    """Whether the first letter or digit is a small letter and no mark of a sentence follows."""
+    return next((c for c in text if c.isalnum()), "").islower() and not SENTENCE_MARK.search(text)
+
+
+def failed_lines(lines: list[bytes]) -> list[bool]:
+    """For each line of a text whether it fails a rule, where it stands."""
+    rules = [failed_rule(line) for line in lines]
+    failed = [rule is not None for rule in rules]
+    nth = 0
+    while nth < len(lines):
+        begin = end = nth
+        while end < len(lines) and rules[end] == "punctuation" and _unmarked(lines[end].decode()):
+            end += 1
+        if 0 < begin < end < len(lines) and not failed[begin - 1] and not failed[end]:
+            before, after = lines[begin - 1].decode().rstrip(), lines[end].decode()
+            if before and before.rstrip(CLOSERS)[-1:] not in ENDS and SENTENCE_MARK.search(after):
+                failed[begin:end] = [False] * (end - begin)
+        nth = max(end, begin + 1)
+    return failed
+
+
 def repeated_words(texts: list[bytes], width: int = REPEAT_WINDOW) -> list[int]:
     """Per text: words that stand in a window of ``width`` words found twice or more in the text."""
     out: list[int] = []
@@ -114,12 +154,13 @@ def clean(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
                 seen: set[bytes] = set()
                 same = lost = 0
                 passed = []
-                for line in text.split(b"\n"):
+                lines = text.split(b"\n")
+                for line, fails in zip(lines, failed_lines(lines)):
                     size = len(line.split())
                     if size:
                         same += line in seen
                         seen.add(line)
-                        if failed_rule(line):
+                        if fails:
                             lost += size
                             continue
                     passed.append(line)

@@ -60,3 +60,33 @@ def test_awkward_rows(spark, docs, rows):
     kept = quality.kept_documents(docs)
     assert set(kept.columns) == set(docs.columns) - {"kept"}
     assert quality.clean(docs.limit(0)).count() == 0
+
+
+HINDI = "यह एक साफ वाक्य है जो बिना किसी बड़े अक्षर के लिखा गया है।"
+WRAPPED = ["The river ran over the old stones and down to the valley,", "where the people of the town had built a mill, long ago,",
+           "and on the other side of it a bridge that still stands", "and carries the road to the north. Few use it now."]
+
+
+def test_lines_of_other_scripts_and_wrapped_prose(spark):
+    urdu = "یہ ایک صاف جملہ ہے جو کسی بڑے حرف کے بغیر لکھا گیا ہے۔"
+    for line in (HINDI, HINDI[:-1], urdu, urdu[:-1], "ይህ ያለ ትልቅ ፊደል የተጻፈ ንጹህ ዓረፍተ ነገር ነው እዚህ።", "այս նախադասությունը գրված է փոքր տառերով և ունի վերջակետ այստեղ։"):
+        assert quality.failed_rule(line.encode()) is None, line
+    junk = "cheap pills online best price fast shipping order today"
+    assert quality.failed_lines([x.encode() for x in WRAPPED]) == [False] * 4
+    assert quality.failed_lines([x.encode() for x in ["", junk, "", junk]]) == [False, True, False, True]
+    assert quality.failed_lines([x.encode() for x in ["It ends here.", junk, junk, "Another one begins."]]) == [False, True, True, False]
+    assert quality.failed_lines([x.encode() for x in [*WRAPPED, junk]])[4] and quality.failed_lines([]) == []
+    texts = ["\n".join(WRAPPED), "\n".join(HINDI.replace("एक", f"{w} एक") for w in ("पहला", "दूसरा", "तीसरा", "चौथा"))[:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = quality.clean(docs).collect()
+    assert {r["doc_id"]: (r["lost_words"], r["clean_text"]) for r in out} == {i: (0, t) for i, t in enumerate(texts)}
+    assert {r["doc_id"] for r in out if r["kept"]} >= {0}
+
+
+@pytest.mark.parametrize("line, rule", [
+    ("JavaScript is a programming language.", None), ("The newsletter reached forty thousand readers in May.", None),
+    ("He could not log in because the server was down.", None), ("Ereaes oftheshare onstor.", None),
+    ("Please enable JavaScript to view this page.", "boilerplate"), ("Log in to your account", "boilerplate"),
+    ("All rights reserved.", "boilerplate"), ("Copyright 2020 Some Firm Ltd. All rights reserved.", "boilerplate")])
+def test_notices_are_more_than_a_word(line, rule):
+    assert quality.failed_rule(line.encode()) == rule
