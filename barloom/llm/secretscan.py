@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .store import stored
 
 MIN_LENGTH = 16
+#: Characters of a value, without marks at its ends, that stands behind a telling name.
+MIN_NAMED = 6
 BLANKS = "[\\x20\\x09-\\x0D]+"
 NAMES = "(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?"
 #: A telling name with its value in one word, such as password=...
@@ -33,16 +35,21 @@ FEATURES = ("length", "digit_share", "upper_share", "turns", "digit_letter_turns
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(row, doc_id, path, place, word, value, assigned, before, before2, after): stored.
 
-    A candidate has a digit and at least ``MIN_LENGTH`` characters, or assigns to a telling name.
+    A candidate has a digit and at least ``MIN_LENGTH`` characters, assigns to a telling name, or has
+    ``MIN_NAMED`` characters and stands behind one, with or without = or : as a word between them.
     ``place`` counts words from 0; ``value`` is the word without name, quotes and marks at its ends.
     """
     words = docs.select("doc_id", (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"),
+                        F.coalesce(F.col("text"), F.lit("")).rlike(f"(?i){NAMES}").alias("named"),
                         F.split(F.coalesce(F.col("text"), F.lit("")), BLANKS).alias("words"))
 
     def pick(w: Column, i: Column) -> Column:
         near = lambda k: F.when(i + k >= 0, F.get(F.col("words"), i + k))
         likely = ((F.char_length(w) >= MIN_LENGTH) & w.rlike("[0-9]")) | (w.rlike("[=:]") & w.rlike(ASSIGNED))
-        return F.when(likely, F.struct(i.alias("place"), w.alias("word"), near(-1).alias("before"),
+        behind = F.col("named") & (F.char_length(w) >= MIN_NAMED) & (
+            near(-1).rlike(NAME_WORD) | (near(-1).rlike("^[=:]$") & near(-2).rlike(NAME_WORD))) \
+            & (F.char_length(F.regexp_replace(w, EDGES, "")) >= MIN_NAMED)
+        return F.when(likely | F.coalesce(behind, F.lit(False)), F.struct(i.alias("place"), w.alias("word"), near(-1).alias("before"),
                                        near(-2).alias("before2"), near(1).alias("after")))
 
     hits = words.select("doc_id", "path", F.explode(F.filter(F.transform("words", pick), lambda x: x.isNotNull())).alias("c"))

@@ -48,3 +48,14 @@ def test_awkward_rows(spark, docs):
 
 def test_main_path_has_no_python():
     assert not re.search(r"udf|pandas|mapIn|applyIn|\.rdd", Path(secretscan.__file__).read_text())
+
+
+def test_values_behind_a_telling_name_are_candidates(spark):
+    texts = ["password: Tr0ub4dor3", "pwd = hunter2024", 'api_key = "abcdefghijklmnopqrstuvwx"', "my secret : (Zebra!fish) and more",
+             "Tr0ub4dor3 hunter2024", "password: abc", "the word goes: hunter2024", "token = '12345'", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = secretscan.candidates(docs).collect()
+    assert {(r["doc_id"], r["place"], r["value"]) for r in out} == {
+        (0, 1, "Tr0ub4dor3"), (1, 2, "hunter2024"), (2, 2, "abcdefghijklmnopqrstuvwx"), (3, 3, "Zebra!fish")}
+    scored = secretscan.scan_secrets(docs).collect()
+    assert {r["doc_id"] for r in scored} == {0, 1, 2, 3} and all(r["score"] is not None for r in scored)
