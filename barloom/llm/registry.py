@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, secretscan, sharding
+from . import (binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, secretscan, sharding,
+               vectorcodes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +152,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     # the secret itself stays out of the result
     return out.select("doc_id", "place", F.char_length("value").cast("long").alias("length"),
                       F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), "label", "score", "finding")
+
+
+@query("op13_vector_code_compression")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return vectorcodes.compress(vectors, parts=16, entries=64, rounds=2, scale=256).drop("label")
