@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (binary, decontaminate, licenses, linededup, minhash, packing, prefixcounts, quality, secretscan, sharding,
-               vectorcodes)
+from . import (binary, decontaminate, licenses, linededup, minhash, packing, periodicruns, prefixcounts, quality, secretscan,
+               sharding, vectorcodes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return vectorcodes.compress(vectors, parts=16, entries=64, rounds=2, scale=256).drop("label")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = periodicruns.find_runs(documents(spark, folder), fold_tails=True)
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                      sha("runs").alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"), "n_words")
