@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (binary, decontaminate, licenses, linededup, minhash, packing, periodicruns, prefixcounts, quality, secretscan,
-               sharding, vectorcodes)
+               sharding, sketches, vectorcodes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
                       sha("runs").alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"), "n_words")
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    out = sketches.fingerprints(documents(spark, folder))
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
+                      "fingerprint", "edited_fingerprint", "near_edited", "near_next")
