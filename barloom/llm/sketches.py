@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions alone.
 
-A paragraph is a line; a line longer than 80 code points is cut behind the first end of a sentence
+A paragraph is a line; a line longer than 200 code points is cut behind the first end of a sentence
 after them, and so on.  A text's digests are the hashes of its distinct paragraphs.  A sketch has 48
 cells in three rows of 16; a digest adds itself to one cell of each row: a count, the XOR of the
 digests and the XOR of their checks.  Sketches of two versions subtract cell by cell, what they share
@@ -20,13 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import stored
+
 #: A paragraph, and the cells of a sketch: three rows of 16.
-PARAGRAPH = r"[^\n]{80,}?[.!?](?=[ \n]|\z)|[^\n]+"
+PARAGRAPH = r"[^\n]{200,}?[.!?](?=[ \n]|\z)|[^\n]+"
 CELLS = 48
 #: What peels from one sketch, nearly always; sizes that could not hold the difference are passed over.
 ROOM = 32
 LEVELS = 15
-EMPTY = "named_struct('n', 0, 'x', 0L, 's', 0L)"
+#: The first bit of the four that say a digest's cell in each row.
+ROWS = (0, 4, 8)
 #: Documents that one cell of neighbouring ids may hold.
 CELL_ROWS = 256
 _LOWEST = -(1 << 63)
@@ -44,21 +47,22 @@ def digests_sql(text: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), paragraph -> xxhash64(paragraph)))"
 
 
-def _in_cell(digest: str, cell: str) -> str:
-    """Whether a digest belongs to a cell: four bits of it for each row of cells."""
-    return f"(shiftrightunsigned({digest}, int(4 * ({cell} div 16))) & 15) = {cell} % 16"
-
+def sketch_sql(digests: str, signed: bool = False) -> str:
+    """The cells of some digests; a digest d belongs to a cell where its bits in mask m are w.
 
-def sketch_sql(digests: str) -> str:
-    """The cells of some digests."""
-    return _let(digests, "all_", f"""transform(sequence(0, {CELLS - 1}), cell -> aggregate(
-        filter(all_, d -> {_in_cell('d', 'cell')}), {EMPTY},
-        (c, d) -> named_struct('n', c.n + 1, 'x', c.x ^ d, 's', c.s ^ xxhash64(d))))""")
+    ``signed``: of struct(d, n), with n = -1 for what is subtracted.
+    """
+    d, n = ("e.d", "e.n") if signed else ("e", "1")
+    rows = [f"""transform(sequence(0L, {15 << bit}L, {1 << bit}L), w -> aggregate(filter(all_, e -> ({d} & {15 << bit}L) = w),
+        named_struct('n', 0, 'x', 0L, 's', 0L, 'm', {15 << bit}L, 'w', w),
+        (c, e) -> named_struct('n', c.n + {n}, 'x', c.x ^ {d}, 's', c.s ^ xxhash64({d}), 'm', c.m, 'w', c.w)))""" for bit in ROWS]
+    return _let(digests, "all_", f"concat({', '.join(rows)})")
 
 
 def less_sql(left: str, right: str) -> str:
     """The difference of two sketches."""
-    return f"zip_with({left}, {right}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x, 's', p.s ^ q.s))"
+    return f"""zip_with({left}, {right}, (p, q) ->
+        named_struct('n', p.n - q.n, 'x', p.x ^ q.x, 's', p.s ^ q.s, 'm', p.m, 'w', p.w))"""
 
 
 def peel_sql(cells: str) -> str:
@@ -66,8 +70,8 @@ def peel_sql(cells: str) -> str:
     ok if nothing else is left."""
     pure = """array_distinct(transform(filter(st.cells, c -> abs(c.n) = 1 AND xxhash64(c.x) = c.s),
         c -> named_struct('d', c.x, 'n', c.n)))"""
-    taken = f"""transform(st.cells, (c, cell) -> aggregate(filter(pure, k -> {_in_cell('k.d', 'cell')}), c,
-        (c, k) -> named_struct('n', c.n - k.n, 'x', c.x ^ k.d, 's', c.s ^ xxhash64(k.d))))"""
+    taken = """transform(st.cells, c -> aggregate(filter(pure, k -> (k.d & c.m) = c.w), c,
+        (c, k) -> named_struct('n', c.n - k.n, 'x', c.x ^ k.d, 's', c.s ^ xxhash64(k.d), 'm', c.m, 'w', c.w)))"""
     step = _let(pure, "pure", f"""if(size(pure) = 0, named_struct('cells', st.cells, 'found', st.found, 'more', false),
         named_struct('cells', {taken}, 'found', concat(st.found, pure), 'more', true))""")
     start = f"""named_struct('cells', {cells}, 'found', CAST(array() AS array<struct<d: bigint, n: int>>), 'more', true)"""
@@ -78,11 +82,11 @@ def peel_sql(cells: str) -> str:
 def difference_sql(left: str, right: str, left_sketch: str, right_sketch: str) -> str:
     """struct(ok, found) of two versions, all four columns: from their sketches, or from four times as
     many as long as that fails."""
-    dealt = lambda side: f"transform({side}, d -> named_struct('d', d, 'b', pmod(xxhash64(d, level), shiftleft(1L, 2 * level))))"
-    own = lambda side: sketch_sql(f"transform(filter({side}, e -> e.b = block), e -> e.d)")
-    blocks = f"transform(sequence(0L, shiftleft(1L, 2 * level) - 1), block -> {peel_sql(less_sql(own('ldealt'), own('rdealt')))})"
-    larger = _let(dealt(left), "ldealt", _let(dealt(right), "rdealt", _let(
-        blocks, "peeled", "named_struct('ok', forall(peeled, p -> p.ok), 'found', flatten(transform(peeled, p -> p.found)))")))
+    dealt = lambda side, n: f"transform({side}, d -> named_struct('d', d, 'n', {n}, 'b', pmod(xxhash64(d, level), shiftleft(1L, 2 * level))))"
+    both = f"concat({dealt(left, 1)}, {dealt(right, -1)})"
+    blocks = f"transform(sequence(0L, shiftleft(1L, 2 * level) - 1), block -> {peel_sql(sketch_sql('filter(both, e -> e.b = block)', signed=True))})"
+    larger = _let(both, "both", _let(
+        blocks, "peeled", "named_struct('ok', forall(peeled, p -> p.ok), 'found', flatten(transform(peeled, p -> p.found)))"))
     hopeless = f"shiftleft(1L, 2 * level) * {ROOM} < abs(size({left}) - size({right}))"
     return f"""aggregate(sequence(1, {LEVELS}), {peel_sql(less_sql(left_sketch, right_sketch))},
         (res, level) -> if(res.ok OR {hopeless}, res, {larger}))"""
@@ -164,7 +168,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _order_key(docs).alias("key"))
     shift = _shift(rows.select("key"))
     rows = rows.select("doc_id", "text", F.shiftright("key", shift).alias("cell"))
-    copies = _copies(rows.groupBy("cell").agg(F.max("doc_id").alias("top")))
+    # written, so that Spark knows the size before it plans the join
+    copies = stored(_copies(rows.groupBy("cell").agg(F.max("doc_id").alias("top"))), "cells")
     heads = rows.drop("cell").join(copies, F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", "cell", F.lit(True).alias("head"))
     order = Window.partitionBy("cell").orderBy("head", F.col("doc_id").desc_nulls_last(), "text")
     return rows.withColumn("head", F.lit(False)).unionByName(heads) \

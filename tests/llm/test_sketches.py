@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def paragraphs(text):
-    return set(regex.findall(r"[^\n]{80,}?[.!?](?=[ \n]|\Z)|[^\n]+", text or ""))
+    return set(regex.findall(r"[^\n]{200,}?[.!?](?=[ \n]|\Z)|[^\n]+", text or ""))
 
 
 def likeness(a, b):
