@@ -11,16 +11,48 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Objects that a worker process keeps between tasks.
+KEPT_OBJECTS = 12
+
+
 def worker_cache(key: str, make: Callable[[], object]) -> object:
     """One object per Python worker process, kept between tasks.
 
     Functions are shipped to the workers by value, so their module globals are new in each task;
-    the cache hangs on a module entry of the process instead.
+    the cache hangs on a module entry of the process instead.  It holds ``KEPT_OBJECTS``; the one that
+    was not asked for the longest goes.
     """
     home = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
-    if key not in home.__dict__:
-        home.__dict__[key] = make()
-    return home.__dict__[key]
+    held = home.__dict__.setdefault("held", {})
+    value = held.pop(key) if key in held else make()
+    held[key] = value
+    while len(held) > KEPT_OBJECTS:
+        del held[next(iter(held))]
+    return value
+
+
+class ByteCache:
+    """Small results by small keys in about ``limit`` bytes at most: what was not asked for while half of them filled goes.
+
+    ``young`` may be read directly; what it lacks may still be found by ``get``.
+    """
+
+    ENTRY = 200  # of two objects of some tens of bytes and their place in a table
+
+    def __init__(self, limit: int):
+        self.half, self.young, self.old, self.size = limit // 2, {}, {}, 0
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        self.size += self.ENTRY
+        self.young[key] = value
+        if self.size > self.half:
+            self.young, self.old, self.size = {}, self.young, 0
 
 
 def utf8(column: pa.Array) -> list[bytes]:

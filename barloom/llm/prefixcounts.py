@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import slices, utf8, worker_cache
+from .arrow import ByteCache, slices, utf8, worker_cache
 from .tokenids import byte_letters
 
-CACHE_WORDS = 800_000
+#: Bytes of the caches of a worker process: counts of chunks and of words, and which tokens may stand side by side.
+CHUNK_BYTES, WORD_BYTES, PAIR_BYTES = 160 << 20, 80 << 20, 80 << 20
 LONG_CHUNK = 64
 #: ASCII white space becomes a space, so that one split finds all chunks.
 TO_SPACE = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
@@ -47,9 +48,16 @@ class PrefixCounter:
             spec = json.load(f)
         bpe = spec["model"]
         self.suffix = bpe.get("end_of_word_suffix") or ""
-        self.vocab = frozenset(bpe["vocab"])
-        # what tokens end with, so that the search for a prefix's last token knows where to stop
-        self.tails = frozenset(t[k:] for t in self.vocab for k in range(len(t)))
+        self.tokens = [t for t, _ in sorted(bpe["vocab"].items(), key=lambda x: x[1])]
+        number = {t: i for i, t in enumerate(self.tokens)}
+        # What tokens end with, without the suffix, so that the search for a prefix's last token knows
+        # where to stop; for each the numbers of the token that is just this, open and with the suffix.
+        self.tails: dict[str, tuple[int, int]] = {}
+        for t in self.tokens:
+            body = t[:-len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t
+            for k in range(len(body)):
+                if (tail := body[k:]) not in self.tails:
+                    self.tails[tail] = (number.get(tail, -1), number.get(tail + self.suffix, -1))
         self.letters = byte_letters()
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"])
         self.rank = {pair: i for i, pair in enumerate(pairs)}
@@ -59,10 +67,10 @@ class PrefixCounter:
         self.simple = kinds == ["NFC", "Replace", "Lowercase"] and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pattern
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.added = re.compile("(" + "|".join(added) + ")") if added else None
-        self.agree: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.lower: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.agree = ByteCache(PAIR_BYTES)
+        self.state: tuple[str, list[int], list[int], list[int]] = ("", [-1], [0], [0])
+        self.lower = ByteCache(WORD_BYTES)
+        self.chunks = ByteCache(CHUNK_BYTES)
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The encoding of a few symbols, by the merge rules as they are defined."""
@@ -87,42 +95,54 @@ class PrefixCounter:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def _neighbours(self, left: str, right: str) -> bool:
-        """Whether ``left`` and ``right`` (alone: ``left`` empty) stay as they are beside each other."""
-        known = self.agree.get((left, right))
+    def _neighbours(self, left: int, right: int) -> bool:
+        """Whether tokens ``left`` and ``right`` (alone: ``left`` -1) stay as they are beside each other."""
+        key = (left + 1) << 32 | right
+        known = self.agree.get(key)
         if known is None:
-            whole = self._merged((list(left) if left else []) + self._symbols(right))
-            known = self.agree[left, right] = whole == ([left, right] if left else [right])
+            a, b = self.tokens[left] if left >= 0 else "", self.tokens[right]
+            known = self._merged([*a, *self._symbols(b)]) == ([a, b] if a else [b])
+            self.agree.put(key, known)
         return known
 
     def word(self, word: str) -> list[int]:
-        """Counts of the word's prefixes, each taken as a whole word; place 0 is the empty prefix."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        n = len(word)
-        last, count, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        vocab, tails, agree, suffix = self.vocab, self.tails, self.agree, self.suffix
-        for i in range(1, n + 1):
-            for end in ("", suffix) if suffix else ("",):
-                for j in range(i - 1, -1, -1):
-                    token = word[j:i] + end
-                    if token not in tails:
-                        break
-                    if token in vocab:
-                        good = agree.get((last[j], token))
-                        if self._neighbours(last[j], token) if good is None else good:
-                            if end:
-                                closed[i] = count[j] + 1
-                            else:
-                                last[i], count[i] = token, count[j] + 1
+        """Counts of the word's prefixes, each taken as a whole word; place 0 is the empty prefix.
+
+        What the word before this one began with is not worked out again.
+        """
+        before, last, count, closed = self.state
+        n, same = len(word), 0
+        while same < n and same < len(before) and word[same] == before[same]:
+            same += 1
+        del last[same + 1:], count[same + 1:], closed[same + 1:]
+        self.state = (word, last, count, closed)
+        tails, agree, neighbours = self.tails.get, self.agree.young.get, self._neighbours
+        for i in range(same + 1, n + 1):
+            # going back from the prefix's end: the first token that agrees with what is before it, open and closed
+            found = ends = -1
+            for j in range(i - 1, -1, -1):
+                if (ids := tails(word[j:i])) is None:
+                    break
+                number, with_suffix = ids
+                if found < 0 and number >= 0:
+                    good = agree((last[j] + 1) << 32 | number)
+                    if neighbours(last[j], number) if good is None else good:
+                        found, length = number, count[j] + 1
+                        if ends >= 0:
+                            break
+                if ends < 0 and with_suffix >= 0:
+                    good = agree((last[j] + 1) << 32 | with_suffix)
+                    if neighbours(last[j], with_suffix) if good is None else good:
+                        ends = count[j] + 1
+                        if found >= 0:
                             break
-            if not suffix:
-                closed[i] = count[i]
-            if not closed[i] or not last[i]:
+            if found < 0 or ends < 0:
+                self.state = ("", [-1], [0], [0])
                 raise ValueError(f"no token ends at {i} of {word!r}")
-        if n <= LONG_CHUNK:
-            self.words[word] = closed
-        return closed
+            last.append(found)
+            count.append(length)
+            closed.append(ends)
+        return closed.copy()
 
     def _lower(self, text: str) -> bytes:
         """Deltas of one word to the pre-tokenizer, lower-cased Latin letters or signs."""
@@ -136,14 +156,28 @@ class PrefixCounter:
                 for c in text:
                     at += len(c.encode())
                     marks.append(closed[at])
-            known = self.lower[text] = bytes([(b - a) & 255 for a, b in zip(marks, marks[1:])])
+            known = bytes([(b - a) & 255 for a, b in zip(marks, marks[1:])])  # a chunk is short, so steps are within a byte
+            self.lower.put(text, known)
         return known
 
-    def _chunk(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        if self.simple and len(text) <= LONG_CHUNK and (m := WORD_AND_SIGNS.fullmatch(text)):
-            return (self._lower(m[1].lower()) if m[1] else b"") + (self._lower(m[2]) if m[2] else b"")
-        return np.diff(np.array([0, *self._counts(text)])).astype(np.int8).tobytes()
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes | np.ndarray]:
+        """Deltas of chunks as signed bytes; as an array where a step is too large for them.  Latin words
+        are worked out in order, so that neighbours share their prefixes."""
+        simple, out = [], {}
+        for raw in chunks:
+            text = raw.decode()
+            if self.simple and len(text) <= LONG_CHUNK and (m := WORD_AND_SIGNS.fullmatch(text)):
+                simple.append((m[1].lower(), m[2], raw))
+            else:
+                steps = np.diff(np.array([0, *self._counts(text)], np.int64))
+                narrow = steps.astype(np.int8)
+                out[raw] = narrow.tobytes() if (narrow == steps).all() else steps
+        for letters, signs, raw in sorted(simple):
+            out[raw] = (self._lower(letters) if letters else b"") + (self._lower(signs) if signs else b"")
+        for raw, known in out.items():
+            if len(raw) <= LONG_CHUNK:
+                self.chunks.put(raw, known)
+        return out
 
     def _plain(self, text: str) -> list[int]:
         """Counts at the code points of a normalised text without added tokens."""
@@ -199,27 +233,38 @@ class PrefixCounter:
             before = after
         return out
 
-    def deltas(self, text: bytes) -> bytes:
-        """A signed byte per code point: by how much the count at that prefix exceeds the one before."""
-        parts = text.translate(TO_SPACE).split(b" ")
-        found = list(map(self.chunks.get, parts))
-        for i, known in enumerate(found):
-            if known is None:
-                found[i] = self._chunk(parts[i])
-                if len(parts[i]) <= LONG_CHUNK:
-                    self.chunks[parts[i]] = found[i]
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        for kept in (self.words, self.lower, self.agree):
-            if len(kept) > CACHE_WORDS:
-                kept.clear()
-        return b"\0".join(found)
+    def deltas(self, texts: list[bytes]) -> list[tuple[bytes, int]]:
+        """For each text (a signed little-endian number per code point, its bytes): by how much the count
+        at that prefix exceeds the one before.  A byte is enough for nearly all texts; steps that do not
+        fit into it, as where letters join over hundreds of code points, take four."""
+        split = [text.translate(TO_SPACE).split(b" ") for text in texts]
+        known = [list(map(self.chunks.young.get, parts)) for parts in split]
+        new, old = set(), {}
+        for parts, found in zip(split, known):
+            if None in found:
+                new.update([part for part, x in zip(parts, found) if x is None])
+        for part in list(new):
+            if (x := self.chunks.get(part)) is not None:
+                old[part] = x
+                new.discard(part)
+        old |= self._learn(new)
+        out = []
+        for parts, found in zip(split, known):
+            if None in found:
+                found = [old[part] if x is None else x for part, x in zip(parts, found)]
+            if all([type(x) is bytes for x in found]):
+                out.append((b"\0".join(found), 1))
+                continue
+            arrays = [np.frombuffer(x, np.int8) if isinstance(x, bytes) else x for x in found]
+            steps = np.concatenate([y for x in arrays for y in (x, np.zeros(1, np.int64))][:-1])
+            out.append((steps.astype("<i4").tobytes(), 4))
+        return out
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_bytes, deltas): the stored counts of every prefix of every whole text.
+    """(doc_id, n_bytes, deltas, width): the stored counts of every prefix of every whole text.
 
-    The sum of the first k signed bytes of ``deltas`` is the token count of the text's first k code
+    The sum of the first k signed numbers of ``width`` bytes in ``deltas`` is the token count of the text's first k code
     points, without begin, end or added special tokens; special strings inside a text count as the
     library counts them.  A null text is empty and has no deltas.  Every row is a document, repeated
     or not; a null doc_id is carried along; other columns are not.  An empty table gives no rows.
@@ -228,12 +273,15 @@ def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         counter = worker_cache(f"prefixes-{tokenizer}", lambda: PrefixCounter(tokenizer))
         for batch in slices(batches):
             texts = utf8(batch.column("text"))
+            stored = counter.deltas(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([counter.deltas(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "deltas"])
+                 pa.array([d for d, _ in stored], pa.binary()), pa.array([w for _, w in stored], pa.int32())],
+                ["doc_id", "n_bytes", "deltas", "width"])
 
     return docs.select("doc_id", "text").mapInArrow(count, T.StructType(
-        [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("deltas", T.BinaryType())]))
+        [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("deltas", T.BinaryType()),
+         T.StructField("width", T.IntegerType())]))
 
 
 def answers(counts: DataFrame, budget: int, cut: int | None = None) -> DataFrame:
@@ -245,8 +293,8 @@ def answers(counts: DataFrame, budget: int, cut: int | None = None) -> DataFrame
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "deltas"):
             total, fit, at = [], [], []
-            for raw in batch.column("deltas").to_pylist():
-                running = np.cumsum(np.frombuffer(raw, np.int8), dtype=np.int64)
+            for raw, width in zip(batch.column("deltas").to_pylist(), batch.column("width").to_pylist()):
+                running = np.cumsum(np.frombuffer(raw, f"<i{width}"), dtype=np.int64)
                 total.append(int(running[-1]) if len(running) else 0)
                 within = np.flatnonzero(running <= budget)
                 fit.append(int(within[-1]) + 1 if len(within) else 0)
