@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..functions.exprs import c, rounded
-from ..operators import labels, learning as ml, metrics, splits
+from ..operators import boosting, labels, learning as ml, metrics, splits
 from ..operators import crosssection as xs
 from ..plans.evaluation import compare_models
 from ..plans.pooled import FEATURES, pooled_dataset
@@ -62,6 +63,33 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
+block("lab", "bars", """SELECT sym, date, lead(date, 10) OVER (PARTITION BY sym ORDER BY date) AS label_end FROM bars
+  QUALIFY label_end IS NOT NULL""")
+block("cal", "lab", """SELECT CAST(k AS INTEGER) AS split, min(date) AS test_start, max(date) AS test_end
+FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM lab)), range(1, 4) g(k)
+WHERE i >= n - (4 - k) * (n // 4) AND i < n - (3 - k) * (n // 4) GROUP BY 1""")
+PURGED = """SELECT split, role, count(*) AS n, min(date) AS first, max(date) AS last, max(label_end) AS last_end FROM (
+  SELECT lab.*, cal.split, CASE WHEN date BETWEEN test_start AND test_end THEN 'test' WHEN label_end < test_start - INTERVAL 5 DAY THEN 'train' {more} END AS role
+  FROM lab, (SELECT cal.split, any_value(test_start) AS test_start, any_value(test_end) AS test_end, max(label_end) AS reach
+    FROM cal, lab WHERE date BETWEEN test_start AND test_end GROUP BY 1) cal) WHERE role IS NOT NULL GROUP BY 1, 2"""
+
+
+def split_table(t, both_sides):
+    rows = t.bars.select("sym", "date", F.lead("date", 10).over(Window.partitionBy("sym").orderBy("date")).alias("label_end"))
+    return splits.purged_blocks(rows, 3, 5, both_sides=both_sides).groupBy("split", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max("label_end").alias("last_end"))
+
+
+@query("ML-11_purged_splits", sql("lab cal", PURGED.format(more="")))
+def _(t):
+    return split_table(t, False)
+
+
+@query("ML-12_purged_splits_both_sides", sql("lab cal", PURGED.format(more="WHEN date > reach + INTERVAL 5 DAY THEN 'train'")))
+def _(t):
+    return split_table(t, True)
+
+
 @query("ML-6_class_weight", sql("signals", f"""SELECT fold, pos, neg, {r('weight=neg / pos')} FROM (SELECT fold, greatest(1, CAST(sum(label) AS BIGINT)) AS pos,
   greatest(1, count(*) - greatest(1, CAST(sum(label) AS BIGINT))) AS neg FROM signals GROUP BY 1)"""))
 def _(t):
@@ -89,7 +117,7 @@ def _(t):
 
 @query("ML-9_boosted_trees")
 def _(t):
-    return report(t, ml.boosted(rounds=10))
+    return rounded(ml.fold_report(ml.walk_forward_boosted(pool(t), FEATURES, boosting.Params(), 2, min_train=500), None))
 
 
 @query("ML-10_soft_vote")
@@ -109,7 +137,7 @@ def _(t):
 
 @query("ML-13_feature_importance")
 def _(t):
-    return rounded(ml.importances(pool(t), FEATURES, [ml.forest(trees=20), ml.boosted(rounds=5)]))
+    return rounded(ml.importances(pool(t), FEATURES, [ml.forest(trees=20), ml.boosted(FEATURES, rounds=5)]))
 
 
 @query("ML-14_meta_labelling")
@@ -119,8 +147,7 @@ def _(t):
 
 @query("ML-15_parameter_search")
 def _(t):
-    grid = {f"C={s}": ml.logistic(s) for s in (0.01, 0.1, 1.0)}
-    return rounded(ml.search(pool(t), FEATURES, grid, bound=None))
+    return rounded(ml.search_boosted(pool(t), FEATURES, trials=30, splits=3, rounds=10))
 
 
 @query("ML-16_out_of_sample_evaluation")

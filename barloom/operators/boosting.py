@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from ..functions.exprs import c
 from ..session import materialise
 
-#: Rounds between two tables of margins.
-KEEP = 25
+#: Rounds between two tables of margins, and rows of a task.
+KEEP, TASK_ROWS = 25, 100_000
 TABLE = "model int, tree int, node int, feature string, threshold double, weight double"
 
 
@@ -163,13 +163,20 @@ def _drawn(key: np.ndarray, seed: int, share: float) -> np.ndarray:
     return (x ^ (x >> np.uint64(33))) < np.uint64(int(share * 2 ** 64))
 
 
+def leaf(p: Params, g: np.ndarray, h: np.ndarray) -> float:
+    """Weight of a leaf with these sums; 0 without rows."""
+    total = float(h.sum()) + p.l2
+    return -p.rate * float(g.sum()) / total if total > 0 else 0.0
+
+
 def best_split(g: np.ndarray, h: np.ndarray, p: Params, allowed: np.ndarray) -> tuple[int, int, float] | None:
     """(feature, last bin that goes left, gain) of a node's sums by (feature, bin); ties go to the first."""
     left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(h, 1)[:, :-1]
     total_g, total_h = g.sum(1, keepdims=True), h.sum(1, keepdims=True)
     right_g, right_h = total_g - left_g, total_h - left_h
-    gain = left_g ** 2 / (left_h + p.l2) + right_g ** 2 / (right_h + p.l2) - total_g ** 2 / (total_h + p.l2)
-    gain[(left_h < p.min_weight) | (right_h < p.min_weight)] = -np.inf
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left_g ** 2 / (left_h + p.l2) + right_g ** 2 / (right_h + p.l2) - total_g ** 2 / (total_h + p.l2)
+    gain[(left_h < p.min_weight) | (right_h < p.min_weight) | (left_h + p.l2 <= 0) | (right_h + p.l2 <= 0)] = -np.inf
     gain[~allowed] = -np.inf
     if not gain.size:
         return None
@@ -188,7 +195,7 @@ def fit(df: DataFrame, features: Sequence[str], models: Sequence[Params], uses:
     """
     if not 1 < bins <= 256:
         raise ValueError("a bin's number is one byte")
-    df = df.where(c(label).isNotNull())
+    df = materialise(df.where(c(label).isNotNull()))
     edges = quantile_edges(df, features, bins)
     width, n_models, n_features = max(map(len, edges), default=0) + 1, len(models), len(features)
     out = Ensemble(list(features), edges, [[] for _ in models])
@@ -200,8 +207,10 @@ def fit(df: DataFrame, features: Sequence[str], models: Sequence[Params], uses:
                                               _bytes(np.zeros((len(b), n_models)))], ["bins", "y", "key", "uses", "margins"])
 
     schema = "bins binary, y double, key long, uses binary, margins binary"
-    state = materialise(df.select(*[c(f).cast("double").alias(f) for f in features], c(label).cast("double").alias("y"),
-                                  F.xxhash64(*keys).alias("key"), uses.alias("uses")).mapInArrow(prepare, schema))
+    rows = df.select(*[c(f).cast("double").alias(f) for f in features], c(label).cast("double").alias("y"),
+                     F.xxhash64(*keys).alias("key"), uses.alias("uses"))
+    # a task for some hundred thousand rows: a level of few rows is one short task and no shuffle
+    state = materialise(rows.coalesce(max(1, -(-df.count() // TASK_ROWS))).mapInArrow(prepare, schema))
 
     def parts(b: pa.RecordBatch, recent: list[list[Tree]]) -> tuple[np.ndarray, ...]:
         own = _rows(b.column("bins"), np.uint8, n_features)
@@ -211,33 +220,42 @@ def fit(df: DataFrame, features: Sequence[str], models: Sequence[Params], uses:
                 margins[:, m] += tree.values(own)
         return own, margins, _rows(b.column("uses"), np.uint8, n_models)
 
-    def sums(growing: dict[int, Tree], recent: list[list[Tree]], level: int, turn: int):
-        first, n_nodes = 2 ** level - 1, 2 ** level
+    def sums(growing: dict[int, tuple[Tree, list[int]]], recent: list[list[Tree]], level: int, turn: int) -> dict[int, np.ndarray]:
+        """Sums of each model by (gradient or hessian, node of this level that may split, feature, bin)."""
+        first = 2 ** level - 1
+        slots, begins, size = {}, {}, 0
+        for m, (_, nodes) in growing.items():
+            slots[m] = np.full(2 ** level, -1)
+            slots[m][np.array(nodes) - first] = np.arange(len(nodes))
+            begins[m] = size
+            size += len(nodes) * n_features * width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size = n_nodes * n_features * width
-            total = np.zeros((n_models, 2, size))
+            total = np.zeros((2, size))
             for b in batches:
                 own, margins, used = parts(b, recent)
                 y, key = np.asarray(b.column("y")), np.asarray(b.column("key"))
-                for m, tree in growing.items():
+                for m, (tree, nodes) in growing.items():
                     p = models[m]
                     at = np.flatnonzero((used[:, m] > 0) & _drawn(key, p.seed + 1000 * turn, p.rows))
                     node = tree.nodes(own[at], level) - first
-                    at, node = at[node >= 0], node[node >= 0]
+                    slot = np.where(node >= 0, slots[m][np.maximum(node, 0)], -1)
+                    at, slot = at[slot >= 0], slot[slot >= 0]
                     chance = 1 / (1 + np.exp(-margins[at, m]))
                     weight = np.where(y[at] > 0, p.positive, 1.0)
-                    cell = ((node * n_features)[:, None] + np.arange(n_features)) * width + own[at]
+                    cell = ((slot * n_features)[:, None] + np.arange(n_features)) * width + own[at]
+                    n = len(nodes) * n_features * width
                     for k, v in enumerate(((chance - y[at]) * weight, chance * (1 - chance) * weight)):
-                        total[m, k] += np.bincount(cell.reshape(-1), np.repeat(v, n_features), size)
-            m, cell = np.nonzero(total[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(m * size + cell), pa.array(total[m, 0, cell]), pa.array(total[m, 1, cell])], ["cell", "g", "h"])
+                        total[k, begins[m]:begins[m] + n] += np.bincount(cell.reshape(-1), np.repeat(v, n_features), n)
+            cell = np.flatnonzero(total[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[0, cell]), pa.array(total[1, cell])], ["cell", "g", "h"])
 
         rows = state.mapInArrow(run, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        both = np.zeros((2, n_models * n_nodes * n_features * width))
+        both = np.zeros((2, size))
         for k, name in enumerate("gh"):
             both[k, rows.column("cell").to_numpy()] = rows.column(name).to_numpy()
-        return both.reshape(2, n_models, n_nodes, n_features, width)
+        ends = {m: begins[m] + len(nodes) * n_features * width for m, (_, nodes) in growing.items()}
+        return {m: both[:, begins[m]:ends[m]].reshape(2, -1, n_features, width) for m in growing}
 
     def kept(recent: list[list[Tree]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,28 +268,27 @@ def fit(df: DataFrame, features: Sequence[str], models: Sequence[Params], uses:
     for turn in range(max((p.rounds for p in models), default=0)):
         growing = {m: Tree.empty(p.depth) for m, p in enumerate(models) if turn < p.rounds}
         allowed = {m: _columns(models[m], turn, n_features) for m in growing}
-        active = dict(growing)
+        active = {m: (tree, [0]) for m, tree in growing.items()}
         for level in range(max(models[m].depth for m in growing)):
-            active = {m: t for m, t in active.items() if level < models[m].depth}
-            g, h = sums(active, recent, level, turn)
-            for m, tree in list(active.items()):
-                split_any = False
-                for k in range(2 ** level):
-                    node, p = 2 ** level - 1 + k, models[m]
-                    if level and tree.feature[(node - 1) // 2] < 0:
-                        continue
-                    if not level:
-                        tree.weight[0] = -p.rate * g[m, 0, 0].sum() / (h[m, 0, 0].sum() + p.l2)
-                    if (found := best_split(g[m, k], h[m, k], p, allowed[m])) is None:
-                        continue
-                    f, cut, _ = found
-                    tree.feature[node], tree.cut[node], split_any = f, cut, True
-                    for side, part in ((1, slice(0, cut + 1)), (2, slice(cut + 1, None))):
-                        tree.weight[2 * node + side] = -p.rate * g[m, k, f, part].sum() / (h[m, k, f, part].sum() + p.l2)
-                if not split_any:
-                    del active[m]
+            active = {m: x for m, x in active.items() if level < models[m].depth and x[1]}
             if not active:
                 break
+            found = sums(active, recent, level, turn)
+            for m, (tree, nodes) in active.items():
+                g, h = found[m]
+                below: list[int] = []
+                for k, node in enumerate(nodes):
+                    p = models[m]
+                    if not level:
+                        tree.weight[0] = leaf(p, g[0, 0], h[0, 0])
+                    if (split := best_split(g[k], h[k], p, allowed[m])) is None:
+                        continue
+                    f, cut, _ = split
+                    tree.feature[node], tree.cut[node] = f, cut
+                    for child, part in ((2 * node + 1, slice(0, cut + 1)), (2 * node + 2, slice(cut + 1, None))):
+                        tree.weight[child] = leaf(p, g[k, f, part], h[k, f, part])
+                        below.append(child)
+                active[m] = (tree, below)
         for m, tree in growing.items():
             out.trees[m].append(tree)
             recent[m].append(tree)

@@ -104,6 +104,40 @@ def expanding_blocks(df: DataFrame, splits: int = 3) -> DataFrame:
     return rows.select(*df.columns, F.inline(cells))
 
 
+def calendar_blocks(df: DataFrame, splits: int = 3) -> DataFrame:
+    """(split, test_start, test_end): equal test blocks of the newest dates that occur, by the calendar and not by symbol."""
+    order = Window.orderBy("date")  # one row for each date
+    days = df.select("date").distinct().withColumns({
+        "_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    size = F.nullif(F.floor(c("_n") / (splits + 1)), F.lit(0))
+    days = days.withColumn("split", (splits - F.floor((c("_n") - 1 - c("_i")) / size)).cast("int"))
+    return days.where(c("split").between(1, splits)).groupBy("split").agg(
+        F.min("date").alias("test_start"), F.max("date").alias("test_end"))
+
+
+def purged_blocks(df: DataFrame, splits: int = 3, embargo_days: int = 5, end: str = "label_end", both_sides: bool = False) -> DataFrame:
+    """Rows with (split, role): calendar test blocks, and training rows whose label shares nothing with them.
+
+    A label spans the days from ``date`` to ``end``.  A test block spans its first date to the last day
+    that its labels reach, and the embargo lies on both sides of it.  A row trains where its span ends
+    before all that; with ``both_sides`` also where it begins behind it.  Rows whose label is not known
+    yet (no ``end``) take no part.
+    """
+    df = df.where(c(end).isNotNull())
+    blocks = [(r["split"], r["test_start"], r["test_end"]) for r in calendar_blocks(df, splits).orderBy("split").collect()]
+    if not blocks:
+        return df.withColumns({"split": F.lit(0), "role": F.lit("")}).limit(0)
+    reach = df.agg(*[F.max(F.when(c("date").between(F.lit(a), F.lit(b)), c(end))).alias(f"_{k}") for k, a, b in blocks]).first()
+    cells = []
+    for k, a, b in blocks:
+        free = c(end) < F.date_sub(F.lit(a), embargo_days)
+        if both_sides:
+            free = free | (c("date") > F.date_add(F.lit(reach[f"_{k}"]), embargo_days))
+        role = F.when(c("date").between(F.lit(a), F.lit(b)), F.lit("test")).when(free, F.lit("train"))
+        cells.append(F.struct(F.lit(k).alias("split"), role.alias("role")))
+    return df.select(*df.columns, F.inline(F.filter(F.array(*cells), lambda x: x["role"].isNotNull())))
+
+
 def class_weights(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
     """(by, pos, neg, weight): negatives per positive, both at least one."""
     n = df.groupBy(*by).agg(F.greatest(F.lit(1), F.sum(label)).alias("pos"),

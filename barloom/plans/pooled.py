@@ -35,12 +35,14 @@ def pooled_dataset(bars: DataFrame, bench: DataFrame, horizon: int = 10,
                    bound: int | None = None, **options: int) -> DataFrame:
     """Rows with every feature known; z-scores per date, forward excess return and label.
 
-    The newest rows have no forward return yet: their label is 0 and training drops them.
+    The newest rows have no forward return yet: their label is 0 and training drops them.  ``label_end``
+    is the day on which a row's label is known.
     """
-    df = bars.withColumn("fwd_ret", w.forward("close", horizon))
+    df = bars.withColumns({"fwd_ret": w.forward("close", horizon),
+                           "label_end": F.lead("date", horizon).over(Window.partitionBy("sym").orderBy("date"))})
     df = pooled_features(df, bench, **options).na.drop(subset=list(FEATURES))
     df = df.join(joins.benchmark_forward(bench, horizon), "date", "left")
     df = df.withColumn("fwd_excess", c("fwd_ret") - c("bench_fwd"))
     df = xs.zscore(df, FEATURES, bound=bound)
     return df.select("sym", "date", "close", *FEATURES, "fwd_ret", "fwd_excess",
-                     labels.binary().alias("label"))
+                     labels.binary().alias("label"), "label_end")
