@@ -23,7 +23,7 @@ from .arrow import ByteCache, slices, utf8, worker_cache
 from .tokenids import byte_letters
 
 #: Bytes of the caches of a worker process: counts of chunks and of words, and which tokens may stand side by side.
-CHUNK_BYTES, WORD_BYTES, PAIR_BYTES = 160 << 20, 80 << 20, 80 << 20
+CHUNK_BYTES, WORD_BYTES, PAIR_BYTES = 125 << 20, 62 << 20, 63 << 20
 LONG_CHUNK = 64
 #: ASCII white space becomes a space, so that one split finds all chunks.
 TO_SPACE = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
