@@ -110,15 +110,49 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
 
 
 def test_fingerprints_of_all_windows():
-    words = np.random.default_rng(1).integers(0, 2 ** 63, 300, dtype=np.uint64)
+    rng = np.random.default_rng(1)
+    words, weights = rng.integers(0, 2 ** 63, 300, dtype=np.uint64), rng.integers(1, 90, 300)
+    running = decontaminate._running(decontaminate._signed(words, weights.astype(np.int32)))
     for size in (5, 40, 140):
-        prints = decontaminate._fingerprints(decontaminate._running(words, size > 127), size).view(np.uint64).reshape(-1)
+        prints = decontaminate._packed(running[size:] - running[:-size]).view(np.uint64).reshape(-1)
         for at in (0, 3, 300 - size):
             bits = np.unpackbits(words[at:at + size].view(np.uint8).reshape(-1, 8), axis=1).astype(int)
-            want = np.packbits((2 * bits - 1).sum(axis=0) > 0).view(np.uint64)[0]
+            want = np.packbits(((2 * bits - 1) * weights[at:at + size, None]).sum(axis=0) > 0).view(np.uint64)[0]
             assert prints[at] == want
 
 
+def test_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    prints, classes = rng.integers(0, 2 ** 16, (77, 4)).astype(np.uint16), rng.integers(5, 9, 77)
+    queries = prints[rng.integers(0, 77, 400)].copy()
+    for row in queries:  # up to 30 bits turned, often all in one or two blocks
+        for bit in rng.integers(0, rng.choice([16, 32, 64]), rng.integers(0, 31)):
+            row[bit >> 4] ^= np.uint16(1 << (bit & 15))
+    for radius in (0, 2, 3, 11, 23, 64):
+        index = decontaminate.HammingIndex(prints, classes, radius)
+        for kind in range(5, 9):
+            want = {(q, i) for q in range(400) for i in np.flatnonzero(classes == kind)
+                    if sum(int(x).bit_count() for x in queries[q] ^ prints[i]) <= radius}
+            query, entry = index.search(queries, kind)
+            assert len(query) == len(want) and set(zip(query.tolist(), entry.tolist())) == want
+
+
+def test_recall_of_the_radius_at_the_threshold():
+    """Pairs of sets of similarity 0.75 to 0.78, of 20 to 120 shingles: nearly none is beyond the radius."""
+    rng = np.random.default_rng(3)
+    radius, beyond, pairs = decontaminate.radius_of(0.75), 0, 5000
+    assert radius == 23 and decontaminate.radius_of(0.9) < radius
+    for _ in range(pairs):
+        n = int(rng.integers(20, 121))
+        apart = n // 7  # the most that leaves the pair at the threshold
+        shared = rng.integers(0, 2 ** 63, n - apart, dtype=np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(0, 2 ** 63, apart, dtype=np.uint64)]) for _ in range(2))
+        assert len(shared) >= 0.75 * (n + apart)
+        x, y = (decontaminate._packed(decontaminate._signed(s, np.ones(n, np.int32)).sum(axis=0, keepdims=True)) for s in (a, b))
+        beyond += int(np.bitwise_count(x ^ y).sum()) > radius
+    assert beyond <= 0.002 * pairs
+
+
 def test_cut_and_shifted_copies():
     """Copies without some of their first, last or middle words, in the middle and at the ends of documents."""
     rng = random.Random(9)
