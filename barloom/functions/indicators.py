@@ -1,15 +1,13 @@
 """Technical indicators as column builders over one bar series per symbol.
 
 Plain indicators are built from window expressions only.  The exponentially smoothed ones list the
-means they need (``SMOOTHED``) and combine them with ordinary expressions afterwards.
+means they need (``_steps``) and combine them with ordinary expressions afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,45 +218,38 @@ def smoothing_inputs(df: DataFrame) -> DataFrame:
     return df.withColumn("atr", w.mean("tr", 14, 3))
 
 
-def _directional_index(plus: str, minus: str, base: str):
-    def index(f: pd.DataFrame) -> pd.Series:
-        level = f[base].where(f[base] != 0, np.nan)
-        p, m = 100 * f[plus] / level, 100 * f[minus] / level
-        both = (p + m).where(p + m != 0, np.nan)
-        return (100 * (p - m).abs() / both).fillna(0.0)
-    return index
-
-
-def _macd(f: pd.DataFrame) -> pd.Series:
-    return f["ema_12"] - f["ema_26"]
+def _directional_index(plus: str, minus: str, base: str) -> Column:
+    p, m = 100 * ratio(plus, base), 100 * ratio(minus, base)
+    return F.coalesce(100 * F.abs(p - m) / F.nullif(p + m, F.lit(0.0)), F.lit(0.0))
 
 
 EMA_SPANS = (5, 9, 10, 12, 20, 21, 26, 50, 100, 200)
-SMOOTHED: tuple[Ewm | Derived, ...] = (
-    *(span(f"ema_{n}", "close", n) for n in EMA_SPANS),
-    span("macd_signal", _macd, 9),
-    wilder("avg_gain", "gain_in"), wilder("avg_loss", "loss_in"),
-    span("atr_ewm", "tr", 14), span("plus_ewm", "plus_in", 14), span("minus_ewm", "minus_in", 14),
-    Derived("dx", _directional_index("plus_ewm", "minus_ewm", "atr")),
-    Derived("dx_ewm", _directional_index("plus_ewm", "minus_ewm", "atr_ewm")),
-    span("adx_14", "dx", 14), span("adx_mood", "dx_ewm", 14),
-)
+def _steps() -> tuple[Ewm | Derived, ...]:
+    return (
+        *(span(f"ema_{n}", "close", n) for n in EMA_SPANS),
+        wilder("avg_gain", "gain_in"), wilder("avg_loss", "loss_in"),
+        span("atr_ewm", "tr", 14), span("plus_ewm", "plus_in", 14), span("minus_ewm", "minus_in", 14),
+        Derived("macd_line", macd()), span("macd_signal", "macd_line", 9),
+        Derived("dx", _directional_index("plus_ewm", "minus_ewm", "atr")),
+        Derived("dx_ewm", _directional_index("plus_ewm", "minus_ewm", "atr_ewm")),
+        span("adx_14", "dx", 14), span("adx_mood", "dx_ewm", 14),
+    )
 
 
 def smoothed(df: DataFrame, needed: Sequence[str] | None = None,
              block_rows: int | None = None) -> DataFrame:
     """Append exponential means; only the ``needed`` ones (and what they build on)."""
     if needed is None:
-        steps = SMOOTHED
+        steps = _steps()
     else:
-        builds_on = {"macd_signal": {"ema_12", "ema_26"},
+        builds_on = {"macd_signal": {"ema_12", "ema_26", "macd_line"},
                      "adx_14": {"plus_ewm", "minus_ewm", "dx"},
                      "adx_mood": {"plus_ewm", "minus_ewm", "atr_ewm", "dx_ewm"}}
         keep = set(needed)
         for name in needed:
             keep |= builds_on.get(name, set())
-        steps = tuple(s for s in SMOOTHED if s.out in keep)
-    return ewm(smoothing_inputs(df), steps, block_rows=block_rows)
+        steps = tuple(s for s in _steps() if s.out in keep)
+    return ewm(smoothing_inputs(df), steps, drop=["macd_line"], block_rows=block_rows)
 
 
 def rsi() -> Column:
