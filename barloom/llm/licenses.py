@@ -3,8 +3,9 @@
 Tokens are ordered by how many documents hold them, rarest first.  A block that has a share of
 ``threshold`` of a template's tokens has one of the template's first few tokens in that order
 (prefix filter), has enough template tokens at all (length filter), and has enough of them left from
-the first common one on (positional filter).  What passes is counted exactly.  Blocks are lines.
-All in DataFrame functions.
+the first common one on (positional filter).  What passes is counted exactly.  Blocks are lines and
+windows of two and three neighbouring lines, so that a notice wrapped twice is one block; a line
+without words ends a window.  Comment marks are no words and play no part.  All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -72,13 +73,35 @@ def _places(first: str, rest: list[str]) -> Column:
     return F.filter(F.transform("words", start), lambda x: x.isNotNull())
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:
+def _blocks(order: list[str], least: int, max_lines: int) -> Column:
+    """Blocks (line, lines, tokens) of the column ``lines`` (n_words, tokens) that hold ``least`` template tokens.
+
+    A window counts only where its first and last line hold template tokens; any other has the tokens
+    of a shorter one.
+    """
+    def begins(x: Column, i: Column) -> Column:
+        line = [x, *[F.get(F.col("lines"), i + k) for k in range(1, max_lines)]]
+        out, whole, tokens = [F.struct(i.alias("line"), F.lit(1).alias("lines"), x["tokens"].alias("tokens"))], F.lit(True), x["tokens"]
+        for k in range(1, max_lines):
+            tokens = F.concat(tokens, line[k]["tokens"])
+            out.append(F.when(whole & (F.size(line[k]["tokens"]) > 0), F.struct(
+                i.alias("line"), F.lit(k + 1).alias("lines"), F.array_intersect(_strings(order), tokens).alias("tokens"))))
+            whole = whole & (line[k]["n_words"] > 0)
+        return F.when(F.size(x["tokens"]) > 0, F.filter(F.array(*out), lambda b: F.size(b["tokens"]) >= least))
+
+    return F.flatten(F.array_compact(F.transform("lines", begins)))
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.85,
+                  max_lines: int = 3) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) for every row.
 
     Words are those of the whole text with A-Z lower-cased.  Base: all places where a phrase's words
     stand one after another; their number, least and largest start, and labels.  ``labels`` adds those
-    of templates of which a line has at least ``threshold`` of the tokens; ``blocks`` has the lines
-    (from 0), labels and shares; ``score`` is the largest share, 1 where a base phrase stands.  A null
+    of templates of which a block has at least ``threshold`` of the tokens; a block is a line, or a window
+    of up to ``max_lines`` neighbouring lines that each hold a word.  ``blocks`` has the first lines
+    (from 0), numbers of lines, labels and shares; ``score`` is the largest share, 1 where a base phrase
+    stands.  A null
     text is empty; equal rows give equal results; other columns are not carried; an empty table gives
     no rows.  Lower-casing touches letters beyond A-Z as well, which changes neither where words begin
     and end nor what equals a phrase: only the Kelvin sign becomes a letter a-z, a k, and no phrase has one.
@@ -107,13 +130,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     spots = F.concat(*[F.col(f"at{i}") for i in range(len(PHRASES))])
     found = F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, label) for i, label in enumerate(PHRASES.values())]))
     # a line's template tokens in the global order: what is common to the ordered vocabulary and the line
-    line_sets = F.transform(F.split("text", "\n"), lambda x: F.array_intersect(
-        _strings(order), F.regexp_extract_all(x, F.lit(f"({WORD})"), F.lit(1))))
+    line = lambda own: F.struct(F.size(own).alias("n_words"), F.array_intersect(_strings(order), own).alias("tokens"))
+    lines = F.transform(F.split("text", "\n"), lambda x: line(F.regexp_extract_all(x, F.lit(f"({WORD})"), F.lit(1))))
     has_any = F.arrays_overlap("words", _strings(prefix))
-    rows = base.select(
+    facts_of = base.select(
         "row", "doc_id", "n_words", F.size(spots).cast("long").alias("n_base"), F.array_min(spots).cast("long").alias("first_word"),
         F.array_max(spots).cast("long").alias("last_word"), F.array_distinct(found).alias("_base"),
-        F.posexplode_outer(F.when(has_any, line_sets)).alias("line", "tokens"))
+        F.when(has_any, lines).alias("lines"))
+    keep = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "_base"]
+    rows = facts_of.select(*keep, F.explode_outer(_blocks(order, min(needs), max_lines)).alias("b")).select(*keep, "b.*")
     tokens = rows.withColumn("token", F.explode_outer(F.array_intersect("tokens", _strings(prefix))))
     postings = docs.sparkSession.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(t).alias("token"), F.lit(n).alias("nth"), F.lit(p).alias("place")) for t, n, p in index])).alias("x")) \
@@ -126,9 +151,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     passes = (F.size("tokens") >= F.col("t.need")) & (left >= F.col("t.need"))
     share = F.when(passes, F.size(F.array_intersect("tokens", "t.tokens")) / F.size("t.tokens"))
     hit = F.when(share * F.size("t.tokens") + 1e-6 >= F.col("t.need"),
-                 F.struct("line", F.col("t.label").alias("label"), share.alias("share")))
-    keep = ["doc_id", "n_words", "n_base", "first_word", "last_word", "_base"]
-    grouped = joined.groupBy("row").agg(*[F.first(c).alias(c) for c in keep], F.collect_set(hit).alias("blocks"))
+                 F.struct("line", "lines", F.col("t.label").alias("label"), share.alias("share")))
+    grouped = joined.groupBy("row").agg(*[F.first(c).alias(c) for c in keep[1:]], F.collect_set(hit).alias("blocks"))
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("blocks", lambda b: b["label"]))))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0))
     return grouped.select(

@@ -94,7 +94,7 @@ def _quoted(text: str) -> str:
 
 
 def license_sql(threshold: float) -> str:
-    """Base places by word positions; labels by comparing every line with every template."""
+    """Base places by word positions; labels by comparing every block of up to three lines with every template."""
     word = "[^\\x{0}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+"
     phrases = ", ".join(f"({_quoted(p)}, {_quoted(label)})" for p, label in licenses.PHRASES.items())
     sets = ", ".join(f"({n}, {_quoted(label)}, [{', '.join(map(_quoted, tokens))}])"
@@ -114,11 +114,20 @@ base AS (
   FROM spots GROUP BY doc_id),
 templates AS (SELECT * FROM (VALUES {sets}) v(nth, label, tokens)),
 lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS tokens
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM lowered)),
+  SELECT doc_id, i, regexp_extract_all(parts[i], '{word}') AS one
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM lowered))),
+next AS (
+  SELECT doc_id, one, lead(one, 1) OVER after AS two, lead(one, 2) OVER after AS three
+  FROM lines WINDOW after AS (PARTITION BY doc_id ORDER BY i)),
+blocks AS (
+  SELECT doc_id, list_distinct(one) AS tokens FROM next
+  UNION ALL SELECT doc_id, list_distinct(list_concat(one, two)) FROM next WHERE len(one) > 0 AND len(two) > 0
+  UNION ALL SELECT doc_id, list_distinct(list_concat(one, two, three)) FROM next
+  WHERE len(one) > 0 AND len(two) > 0 AND len(three) > 0),
 hits AS (
   SELECT l.doc_id, t.label, len(list_intersect(l.tokens, t.tokens)) / len(t.tokens) AS share
-  FROM lines l, templates t
+  FROM blocks l, templates t
   WHERE len(list_intersect(l.tokens, t.tokens)) >= ceil({threshold} * len(t.tokens) - 1e-9)),
 method AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base,

@@ -25,8 +25,9 @@ def brute(text, threshold):
         at += spots
         base |= {label} if spots else set()
     labels, best = set(base), 0.0
-    for line in low(text).split("\n"):
-        own = set(WORD.findall(line))
+    lines = [WORD.findall(line) for line in low(text).split("\n")]
+    for own in (set(sum(lines[i:i + n], [])) for n in (1, 2, 3) for i in range(len(lines) - n + 1)
+                if n == 1 or all(lines[i:i + n])):
         for label, tokens in licenses.template_sets(licenses.TEMPLATES):
             both = len(own & set(tokens))
             if both >= math.ceil(threshold * len(tokens) - 1e-9):
@@ -63,6 +64,32 @@ def test_awkward_texts(spark, docs, rows, threshold):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def wrapped(text, times, mark):
+    words = text.split()
+    cut = -(-len(words) // (times + 1))
+    return "\n".join(mark + " ".join(words[i:i + cut]) for i in range(0, len(words), cut))
+
+
+def test_wrapped_notices_are_found(spark):
+    """Every template, wrapped once and twice, plain and behind comment marks, between other lines."""
+    cases = [(label, wrapped(text, times, mark)) for label, text in licenses.TEMPLATES
+             for times in (1, 2) for mark in ("", " * ", "# ", "// ")]
+    table = spark.createDataFrame([(i, f"int main\n{text}\nsome other line") for i, (_, text) in enumerate(cases)],
+                                  "doc_id long, text string")
+    for r in licenses.scan_licenses(table).collect():
+        label, text = cases[r["doc_id"]]
+        assert label in r["labels"].split(",") and r["score"] == 1.0, text
+
+
+def test_lines_without_words_part_blocks(spark):
+    half, rest = "Redistribution and use in source and binary forms, with or without", "modification, are permitted"
+    texts = [f"{half}\n{rest}", f"{half}\n#\n{rest}", f"{half}\n\n{rest}", f"{half}\nx\n{rest}", f"{half}\nx\ny\n{rest}"]
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["labels"] for r in out.collect()} == {0: "bsd", 1: "", 2: "", 3: "bsd", 4: ""}
+    both = [(b["line"], b["lines"]) for r in out.where("doc_id = 3").collect() for b in r["blocks"]]
+    assert both == [(0, 3)]
+
+
 def test_main_path_has_no_python():
     text = Path(licenses.__file__).read_text()
     assert not re.search(r"udf|pandas|mapIn|applyIn|\.rdd", text)
