@@ -110,6 +110,7 @@ def shards(sequences: DataFrame, length: int, key: int, per_shard: int, pad_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
+        ids: list[pa.DataType] = []
 
         def shard() -> pa.RecordBatch:
             first = waiting[0][0]
@@ -119,10 +120,11 @@ def shards(sequences: DataFrame, length: int, key: int, per_shard: int, pad_id:
             payload = b"".join(x[4] + filler * (length - x[3]) for x in waiting)
             return pa.RecordBatch.from_arrays(
                 [pa.array([first // per_shard]), pa.array([first]), pa.array([len(waiting)]),
-                 pa.array([payload], pa.binary()), *[pa.array([[x[k] for x in waiting]], pa.list_(pa.int64())) for k in (1, 2, 3)]],
+                 pa.array([payload], pa.binary()), *[pa.array([[x[k] for x in waiting]], pa.list_(t)) for k, t in ((1, ids[0]), (2, pa.int64()), (3, pa.int64()))]],
                 ["shard", "first_slot", "n_sequences", "payload", "doc_ids", "nths", "n_tokens"])
 
         for batch in slices(batches, "ids"):
+            ids[:] = [batch.column("doc_id").type]
             for row in zip(*[batch.column(c).to_pylist() for c in ("slot", "doc_id", "nth", "n_tokens", "ids")]):
                 if waiting and waiting[0][0] // per_shard != row[0] // per_shard:
                     yield shard()
@@ -139,7 +141,7 @@ def shards(sequences: DataFrame, length: int, key: int, per_shard: int, pad_id:
     return numbered.repartitionById(ranges, home).sortWithinPartitions("slot").mapInArrow(write, T.StructType(
         [T.StructField("shard", T.LongType()), T.StructField("first_slot", T.LongType()),
          T.StructField("n_sequences", T.LongType()), T.StructField("payload", T.BinaryType()),
-         T.StructField("doc_ids", many), T.StructField("nths", many), T.StructField("n_tokens", many)]))
+         T.StructField("doc_ids", T.ArrayType(placed.schema["doc_id"].dataType)), T.StructField("nths", many), T.StructField("n_tokens", many)]))
 
 
 def materialise_order(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 20_240_229,
@@ -147,7 +149,7 @@ def materialise_order(docs: DataFrame, tokenizer: str, length: int = 512, key: i
     """Shards of all documents in training order (see ``shards``), padded with ``end_id``.
 
     A null or empty text is one sequence with the one id ``end_id``; every row is a document,
-    repeated or not, and a null doc_id is carried along; other columns are not.
+    repeated or not.  A doc_id of any type, or null, is carried along; other columns are not.
     """
     cut = token_sequences(docs, tokenizer, length, end_id)
     from tokenizers import Tokenizer

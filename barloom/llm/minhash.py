@@ -226,19 +226,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     Texts are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct shingles of
     ``width`` words, or the whole sequence where there are fewer.  Documents without words, null or
     empty, have no shingles and are linked with nothing.  A component's name is its least doc_id, and
-    that document is kept.  doc_id must be an integer; rows that repeat one each get the component of
-    their own set.  Rows without a doc_id cannot be named and are left out.  Other columns play no
-    part; an empty table gives an empty table.
+    that document is kept.  Rows that repeat a doc_id each get the component of their own set.  A row
+    without a doc_id is a component of its own, without a name, and is kept.  Ids that are no integers
+    are numbered in their order first.  Other columns play no part; an empty table gives an empty table.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    marks = signed(base, width)
-    full = marks.where(F.col("n_shingles") > 0)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _by_number(docs.select("doc_id", "text"), width, percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = rows.where(F.col("doc_id").isNotNull())
+    marks = signed(rows, width)
+    full = marks.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     heads = full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("rep_n"), F.explode("buckets").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min(F.struct("rep", "rep_n")).alias("h"), F.count(F.lit(1)).alias("n")) \
+    placed = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("rep_n"), F.explode("buckets").alias("bucket"))
+    hubs = placed.groupBy("bucket").agg(F.min(F.struct("rep", "rep_n")).alias("h"), F.count(F.lit(1)).alias("n")) \
         .where(F.col("n") > 1).select("bucket", F.col("h.rep").alias("hub"), F.col("h.rep_n").alias("hub_n"))
-    shared = stored(rows.join(hubs, "bucket").select("hub", "hub_n", "rep", "rep_n").distinct(), "hub-members")
+    shared = stored(placed.join(hubs, "bucket").select("hub", "hub_n", "rep", "rep_n").distinct(), "hub-members")
 
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(shingle_sets(base.join(wanted, "doc_id", "left_semi"), width), "shingle-sets")
@@ -254,5 +257,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = marks.join(named, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+        .otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _by_number(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` over whole numbers that stand for the ids, in the order of the ids."""
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy("doc_id")
+    numbers = stored(ids.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("number")), "numbers")
+    told = docs.join(numbers, F.col("doc_id") == F.col("id"), "left").select(F.col("number").alias("doc_id"), "text")
+    out = near_duplicates(told, width, percent).withColumnRenamed("doc_id", "row")
+    name = lambda column, alias: numbers.select(F.col("number").alias(column), F.col("id").alias(alias))
+    return out.join(name("row", "doc_id"), "row", "left") \
+        .join(name("component_id", "component"), "component_id", "left") \
+        .select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")

@@ -55,3 +55,9 @@ def test_awkward_rows_and_resuming(spark, docs, rows, tmp_path):
         some = binary.read_slots(spark, path, first, 40, 8, 16)
         assert [x.tolist() for x in some] == [x.tolist() for x in every[first:first + 40]]
     assert binary.materialise_order(docs.limit(0), PATH).count() == 0
+
+
+def test_string_ids(spark, docs, rows):
+    named = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    round_trip(binary.materialise_order(named, PATH, length=8, per_shard=16),
+               [(None if i is None else str(i), t) for i, t in rows], 8, 16)

@@ -12,7 +12,7 @@ def brute(rows, min_chars, min_docs):
         for k in {key(x) for x in (text or "").split("\n")}:
             if i is not None and len(k) >= min_chars:
                 holders[k].append(i)
-    keeper = {k: max(v) for k, v in holders.items() if len(v) >= min_docs}
+    keeper = {k: max(v) for k, v in holders.items() if len(set(v)) >= min_docs}
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
@@ -37,3 +37,20 @@ def test_empty_table_and_clashing_columns(spark, docs):
     clash = docs.withColumn("n_lines", F.lit(1)).withColumn("hash", F.lit("x")).withColumn("dropped", F.lit("y"))
     assert dedup_lines(clash.limit(0)).count() == 0
     assert dedup_lines(clash).count() == docs.count()
+
+
+def test_repeated_ids_are_one_document(spark):
+    """Five rows of two documents are not five documents; five documents with repeats are."""
+    few, many = "a line of more than forty code points in few", "a line of more than forty code points in many"
+    rows = [(1, few), (1, few), (1, few + "\nx"), (2, few), (2, few)] + [(i, many) for i in (3, 4, 5, 6, 6, 7)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect())
+    assert got == brute(rows, 40, 5)
+    assert sum(r[3] for r in got) == 5 and all(r[3] == 0 for r in got if r[0] < 3)
+
+
+def test_columns_of_the_input_stay(spark, docs):
+    odd = docs.withColumn("_id", F.lit("x")).withColumn("_dropped", F.lit("y")).withColumn("hash", F.lit("z"))
+    out = dedup_lines(odd)
+    assert out.columns == [*odd.columns, "n_lines", "n_dropped"]
+    assert all((r["_id"], r["_dropped"], r["hash"]) == ("x", "y", "z") for r in out.collect())

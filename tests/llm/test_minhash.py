@@ -74,9 +74,22 @@ def test_chains_copies_and_thresholds(spark, rows):
 def test_empty_tables_and_missing_ids(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     only = docs.where(F.col("doc_id").isin(1, 2, 3) | F.col("doc_id").isNull())
-    assert result(minhash.near_duplicates(only)) == {1: (0, 1), 2: (0, 2), 3: (0, 3)}
+    assert result(minhash.near_duplicates(only.where("doc_id > 0"))) == {1: (0, 1), 2: (0, 2), 3: (0, 3)}
+    nameless = minhash.near_duplicates(only.union(only)).where("doc_id IS NULL").collect()
+    assert [tuple(r) for r in nameless] == [(None, 1, None, True)] * 2
     twice = minhash.near_duplicates(docs.union(docs)).collect()
-    assert len(twice) == 2 * (docs.count() - 1)
+    assert len(twice) == 2 * docs.count()
+
+
+def test_string_ids(spark, docs, rows):
+    """Ids that are no numbers: the same components, named by the least string."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    out = minhash.near_duplicates(named).collect()
+    want = brute([(i, t) for i, t in rows if i is not None])
+    name = lambda i: f"doc-{i:05d}"
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"]} == \
+        {name(i): (n, name(c), i == c) for i, (n, c) in want.items()}
+    assert [tuple(r) for r in out if not r["doc_id"]] == [(None, 1, None, True)] and len(out) == len(rows)
 
 
 def test_signature_estimates_similarity():
