@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.exprs import c, ratio, share
 from . import crosssection as xs
+from . import longseries
 
 YEAR = 252
 
@@ -28,28 +29,57 @@ def fixed_schedule(df: DataFrame, step: int, k: int, date: str = "date") -> Data
 
 
 def greedy_schedule(df: DataFrame, step: int, k: int, by: Sequence[str] = (),
-                    date: str = "date") -> DataFrame:
+                    date: str = "date", block: int = 4096) -> DataFrame:
     """First date with k names, then ``step`` dates on; thin dates are retried the next date.
 
-    The walk is a fold over one small array per strategy: one entry per distinct date.
+    Dates are numbered and cut into blocks, all blocks at once.  What a walk does in a block depends
+    only on how many of its first dates it has to pass over, at most ``step``; so each block becomes a
+    table from that number to the one for the next block.  The tables, one row a block, are followed
+    in order, and then every block is walked once from its known start.  Rows without a date are
+    left out.
     """
-    by = list(by)
-    counts = df.groupBy(*by, date).agg(F.count(F.lit(1)).alias("_n"))
-    days = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(date, "_n"))).alias("_d"))
+    by, block = list(by), max(block, step)
+    counts = df.where(c(date).isNotNull()).groupBy(*by, date).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = counts.withColumn("_key", F.struct(*by) if by else F.struct(F.lit(0).alias("_all")))
+    rows = longseries.numbered(keyed, "_key", date, name="_row")
+    days = rows.groupBy("_key", F.floor((c("_row") - 1) / block).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_row", date, "_n"))).alias("_days"))
+
+    def free_after(free: Column) -> Column:
+        walked = F.aggregate(
+            "_days", F.struct(F.lit(0).alias("i"), free.cast("int").alias("free")),
+            lambda acc, day: F.struct(
+                (acc["i"] + 1).alias("i"),
+                F.when((acc["i"] >= acc["free"]) & (day["_n"] >= k), acc["i"] + step)
+                .otherwise(acc["free"]).alias("free")))
+        return F.greatest(walked["free"] - F.size("_days"), F.lit(0))
+
+    tables = days.select("_key", "_block", F.transform(
+        F.sequence(F.lit(0), F.lit(step - 1)), free_after).alias("_after"))
+    start = F.struct(F.lit(0).alias("free"),
+                     F.array().cast("array<struct<_block:bigint,_free:int>>").alias("out"))
+    followed = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("_block", "_after"))), start,
+        lambda acc, x: F.struct(
+            F.get(x["_after"], acc["free"]).alias("free"),
+            F.concat(acc["out"], F.array(F.struct(x["_block"].alias("_block"), acc["free"].alias("_free"))))
+            .alias("out")))
+    starts = tables.groupBy("_key").agg(followed.alias("_w")).select("_key", F.explode("_w.out").alias("_x")) \
+        .select("_key", "_x._block", "_x._free")
+
     kind = counts.schema[date].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("free"),
-                     F.array().cast(f"array<{kind}>").alias("out"))
+    begin = F.struct(F.lit(0).alias("i"), c("_free").alias("free"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def walk(acc: Column, day: Column) -> Column:
         take = (acc["i"] >= acc["free"]) & (day["_n"] >= k)
         return F.struct(
             (acc["i"] + 1).alias("i"),
             F.when(take, acc["i"] + step).otherwise(acc["free"]).alias("free"),
-            F.when(take, F.concat(acc["out"], F.array(day[date]))).otherwise(acc["out"])
-            .alias("out"))
+            F.when(take, F.concat(acc["out"], F.array(day[date]))).otherwise(acc["out"]).alias("out"))
 
-    walked = days.withColumn("_w", F.aggregate("_d", start, walk))
-    return walked.select(*by, F.explode(F.col("_w")["out"]).alias(date))
+    picked = days.join(starts, ["_key", "_block"]).select(
+        "_key", F.explode(F.aggregate("_days", begin, walk)["out"]).alias(date))
+    return picked.select(*[c("_key")[x].alias(x) for x in by], date)
 
 
 # ---- baskets -------------------------------------------------------------------------------

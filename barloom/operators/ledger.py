@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c, clip, ratio
-from ..session import materialise
 
 # Risk settings of the ledger.
 MAX_POSITION, FLOOR_VALUE, STOP, TARGET, MAX_HOLD = 0.10, 10000.0, 0.03, 0.06, 10
@@ -31,7 +30,8 @@ def with_levels(df: DataFrame, price: str = "entry_price", stop: float = STOP,
                            "target": F.bround(c(price) * (1 + sign * target), 2)})
 
 
-NEAR_BARS = 64
+#: Bars of a block of the skip index, and blocks of a block above.
+NEAR_BARS = 16
 
 
 def _outcome(high: Column, low: Column) -> tuple[Column, Column]:
@@ -43,48 +43,77 @@ def _outcome(high: Column, low: Column) -> tuple[Column, Column]:
     return status, F.when(stopped, c("stop_loss")).otherwise(c("target"))
 
 
+def _skip_index(rows: DataFrame, longest: int, fan: int) -> list[DataFrame]:
+    """Blocks (_s, _block, _kids) in levels: ``fan`` bars a block, then ``fan`` blocks a block.
+
+    A kid has its number ``i`` in its own level, its first date, its highest high and its lowest low,
+    so a barrier that no kid crosses is crossed by no bar below it.
+    """
+    levels, unit, size = [], rows.select("sym", c("_row").alias("i"), "date", "high", "low"), 1
+    while True:
+        size *= fan
+        level = unit.groupBy("sym", F.floor(c("i") / fan).alias("_block")).agg(
+            F.array_sort(F.collect_list(F.struct("i", "date", "high", "low"))).alias("_kids"),
+            F.min("date").alias("date"), F.max("high").alias("high"), F.min("low").alias("low"))
+        levels.append(level.select(c("sym").alias("_s"), "_block", "_kids"))
+        if size >= longest:
+            return levels
+        unit = level.select("sym", c("_block").alias("i"), "date", "high", "low")
+
+
 def exits(positions: DataFrame, bars: DataFrame, max_hold: int = MAX_HOLD,
           near: int = NEAR_BARS) -> DataFrame:
     """First exit of each position over its bars (entry bar included).
 
     Without a hit a position expires at its last close once ``max_hold`` bars exist, else it stays
-    open.  The next ``near`` bars are looked at first, carried to the entry bar by one window; only
-    positions still open after them are matched with all their later bars.
+    open.  The search goes over a skip index with ``near`` kids a block: first the rest of the entry
+    bar's block, then the rest of the block of blocks that holds it, and so on upwards until a kid
+    crosses a barrier, and from there down to the bar.  Each step joins a position with one block, so
+    the work grows with the logarithm of the bars that follow.
     """
-    keys = list(positions.columns)
+    keys, near = list(positions.columns), max(near, 2)
     at = Window.partitionBy("sym").orderBy("date")
-    whole = at.rowsBetween(0, Window.unboundedFollowing)
-    entry = bars.select(
-        c("sym"), c("date").alias("entry_date"),
-        F.collect_list(F.struct("date", "high", "low")).over(at.rowsBetween(0, near - 1))
-        .alias("_near"),
-        F.count(F.lit(1)).over(whole).alias("bars"), F.last("close").over(whole).alias("_last"),
+    whole = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = bars.select(
+        "sym", "date", "high", "low", (F.row_number().over(at) - 1).cast("bigint").alias("_row"),
+        F.count(F.lit(1)).over(whole).alias("_all"), F.last("close").over(whole).alias("_last"),
         F.last("date").over(whole).alias("_end"))
-
-    def judged(b: Column) -> Column:
-        status, price = _outcome(b["high"], b["low"])
-        return F.struct(b["date"].alias("d"), status.alias("s"), price.alias("p"))
-
-    first = F.filter(F.transform("_near", judged), lambda x: x["s"].isNotNull())
-    held = positions.join(entry, ["sym", "entry_date"]).withColumn(
-        "_hit", F.get(first, F.lit(0))).drop("_near")
-    held = materialise(held)  # split in two below
-    open_still = c("_hit").isNull() & (c("bars") > near)
-
-    later = bars.select(c("sym").alias("_s"), c("date").alias("_d"), "high", "low")
-    status, price = _outcome(c("high"), c("low"))
-    hit = F.min_by(F.struct(c("_d").alias("d"), status.alias("s"), price.alias("p")),
-                   F.when(status.isNotNull(), c("_d"))).alias("_hit")
-    rest = (held.where(open_still).drop("_hit")
-            .join(later, (c("sym") == c("_s")) & (c("_d") >= c("entry_date")))
-            .groupBy(*keys, "bars", "_last", "_end").agg(hit))
-    out = held.where(~open_still).unionByName(rest)
-    closed, old = c("_hit.s").isNotNull(), c("bars") >= max_hold
-    return out.select(
-        *keys, F.when(closed, c("_hit.s")).when(old, F.lit("CLOSED_EXPIRY"))
+    longest = bars.groupBy("sym").count().agg(F.max("count")).first()[0] or 0
+    levels = _skip_index(rows, longest, near)
+    held = positions.join(rows.select(
+        "sym", c("date").alias("entry_date"), c("_row").alias("_at"), c("_row").alias("_entry"),
+        (c("_all") - c("_row")).alias("bars"), "_last", "_end"), ["sym", "entry_date"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kid = f"struct<i:bigint,date:{kinds['date']},high:{kinds['high']},low:{kinds['low']}>"
+    held = held.withColumns({"_unit": F.lit(None).cast("int"), "_spot": F.lit(None).cast(kid)})
+
+    def looked(df: DataFrame, level: DataFrame, wanted: Column, block: Column, first: Column) -> DataFrame:
+        """``_seen``: the first kid of the block, from number ``first`` on, that crosses a barrier.
+
+        Positions that look for nothing get keys of their own, which spreads them."""
+        df = df.withColumn("_b", F.when(wanted, block).otherwise(-1 - c("_entry")))
+        crossing = F.filter("_kids", lambda x: (x["i"] >= first) & _outcome(x["high"], x["low"])[0].isNotNull())
+        return df.join(level, (c("sym") == c("_s")) & (c("_b") == c("_block")), "left") \
+            .withColumn("_seen", F.get(crossing, F.lit(0))).drop("_s", "_block", "_kids", "_b")
+
+    for unit, level in enumerate(levels):
+        block = F.floor(c("_at") / near)
+        held = looked(held, level, c("_unit").isNull(), block, c("_at")).withColumns({
+            "_unit": F.coalesce("_unit", F.when(c("_seen").isNotNull(), F.lit(unit))),
+            "_spot": F.coalesce("_spot", "_seen"), "_at": block + 1}).drop("_seen")
+    for unit in range(len(levels) - 1, 0, -1):
+        here = c("_unit") == unit
+        held = looked(held, levels[unit - 1], F.coalesce(here, F.lit(False)), c("_spot.i"), F.lit(0)).withColumns({
+            "_unit": F.when(here, F.lit(unit - 1)).otherwise(c("_unit")),
+            "_spot": F.when(here, c("_seen")).otherwise(c("_spot"))}).drop("_seen")
+
+    status, price = _outcome(c("_spot.high"), c("_spot.low"))
+    closed, old = c("_spot").isNotNull(), c("bars") >= max_hold
+    return held.select(
+        *keys, F.when(closed, status).when(old, F.lit("CLOSED_EXPIRY"))
         .otherwise(F.lit("OPEN")).alias("status"),
-        F.when(closed, c("_hit.p")).when(old, c("_last")).alias("exit_price"),
-        F.when(closed, c("_hit.d")).when(old, c("_end")).alias("exit_date"), "bars",
+        F.when(closed, price).when(old, c("_last")).alias("exit_price"),
+        F.when(closed, c("_spot.date")).when(old, c("_end")).alias("exit_date"), "bars",
         c("_last").alias("last_close"))
 
 

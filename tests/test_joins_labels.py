@@ -77,6 +77,26 @@ def test_greedy_and_fixed_schedules(spark):
     assert sorted(r.date.day for r in bt.fixed_schedule(df, 3, 3).collect()) == fixed
 
 
+@pytest.mark.parametrize("step,block", [(1, 7), (3, 7), (10, 16), (10, 4096), (40, 16)])
+def test_greedy_schedule_over_blocks(spark, step, block):
+    """Walks over many blocks, several strategies (one without a name, one without a thick date)."""
+    rng = np.random.default_rng(step)
+    days = [D(2020, 1, 1) + dt.timedelta(int(x)) for x in np.sort(rng.choice(1500, 300, replace=False))]
+    rows, want = [(None, None)], set()
+    for name, least in (("a", 0), ("b", 0), (None, 0), ("thin", 2)):
+        free = 0
+        for i, day in enumerate(days):
+            n = 1 if least else int(rng.integers(1, 4))
+            rows += [(name, day)] * n
+            if i >= free and n >= 2:
+                want.add((name, day))
+                free = i + step
+    df = spark.createDataFrame(rows, "fold string, date date").repartition(5)
+    got = [(r.fold, r.date) for r in bt.greedy_schedule(df, step, 2, by=["fold"], block=block).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert bt.greedy_schedule(df.limit(0), step, 2).count() == 0
+
+
 def test_threshold_search(spark):
     rng = np.random.default_rng(9)
     p, r = rng.uniform(0, 1, 200), rng.normal(0, 0.01, 200)
@@ -122,6 +142,44 @@ def test_first_exit_near_and_late(spark):
     assert got["NEW"][0] == "OPEN"
 
 
+@pytest.mark.parametrize("near", [2, 16])
+def test_first_exits_of_many_positions_on_one_symbol(spark, near):
+    """10^5 positions on one symbol, with barriers from tight to never reached, against NumPy."""
+    rng = np.random.default_rng(4)
+    n, m = 3000, 100_000 if near == 16 else 2000
+    close = np.round(100 * np.exp(np.cumsum(rng.normal(0, 0.01, n))), 2)
+    high, low = close + np.round(rng.uniform(0, 1, n), 2), close - np.round(rng.uniform(0, 1, n), 2)
+    days = [D(2015, 1, 1) + dt.timedelta(i) for i in range(n)]
+    df = spark.createDataFrame(pd.DataFrame({"sym": "HOT", "date": days, "high": high, "low": low, "close": close}),
+                               "sym string, date date, high double, low double, close double")
+    at, up, width = rng.integers(0, n, m), rng.random(m) < 0.5, rng.choice([0.001, 0.05, 0.5, 50.0], m)
+    sign = np.where(up, 1, -1)
+    stop, target = close[at] * (1 - sign * width), close[at] * (1 + sign * width)
+    pos = spark.createDataFrame(pd.DataFrame({
+        "sym": "HOT", "entry_date": [days[i] for i in at], "direction": np.where(up, "UP", "DOWN"), "entry_price": close[at],
+        "nth": np.arange(m), "stop_loss": stop, "target": target}),
+        "sym string, entry_date date, direction string, entry_price double, nth long, stop_loss double, target double")
+    out = ledger.exits(pos, df, near=near)
+    assert out.columns == [*pos.columns, "status", "exit_price", "exit_date", "bars", "last_close"]
+    got = out.toPandas().sort_values("nth")
+    assert len(got) == m
+    day = {d: i for i, d in enumerate(days)}
+    exit_at = [day[d] if d is not None else -1 for d in got.exit_date]
+    for k, (status, price, end, bars) in enumerate(zip(got.status, got.exit_price, exit_at, got.bars)):
+        hi, lo = high[at[k]:], low[at[k]:]
+        stopped = lo <= stop[k] if up[k] else hi >= stop[k]
+        hit = stopped | (hi >= target[k] if up[k] else lo <= target[k])
+        first = int(hit.argmax())
+        assert bars == n - at[k]
+        if hit[first]:
+            want = ("CLOSED_SL", stop[k], at[k] + first) if stopped[first] else ("CLOSED_TP", target[k], at[k] + first)
+            assert (status, price, end) == want
+        elif bars >= 10:
+            assert (status, price, end) == ("CLOSED_EXPIRY", close[-1], n - 1)
+        else:
+            assert status == "OPEN" and end == -1
+
+
 def test_position_size(spark):
     df = spark.createDataFrame([(50.0, 100.0), (55.0, 100.0), (100.0, 100.0), (80.0, 0.0)],
                                "confidence double, price double").withColumn("capital", F.lit(1e6))
