@@ -128,6 +128,16 @@ def test_releases_survive_each_other(spark, panel):
     assert release.load_panel(spark, root).count() == half.count()
 
 
+def test_releases_are_written_from_tables_built_once(spark, monkeypatch):
+    """Three releases neither read the tables three times nor send the parts to the driver for each."""
+    from barloom.catalog import base, sourcing
+    given, write = [], release.write_release
+    monkeypatch.setattr(release, "write_release", lambda *a, **k: (given.extend(a[:3]), write(*a, **k))[1])
+    monkeypatch.setattr(sourcing, "RELEASES", {})
+    sourcing.released(base.Inputs(spark, "/root/testdata/sf0.001"))
+    assert len(given) == 9 and not any(df.inputFiles() for df in given)
+
+
 def test_daily_benchmark_has_every_day(spark):
     from barloom.sources import tables as src
     folder = "/root/testdata/sf0.001"
