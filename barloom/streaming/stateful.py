@@ -2,8 +2,9 @@
 
 Rows wait in the state of their key until the watermark has passed them and are then handled in
 event-time order, so files and batches may arrive out of order by up to the watermark's delay; rows
-behind the watermark are dropped.  Batches are taken over piece by piece; in memory at once are only
-the rows of a key that one step of the watermark releases.
+behind the watermark are dropped.  What waits is sorted outside memory: arriving rows become sorted
+runs, stored as chunks, and a step of the watermark merges the runs chunk by chunk.  In memory at
+once are one run, or two chunks of every run, however many rows a step releases for a key.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FLIP_AFTER = 3
+ARROW = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def run_lengths(codes: np.ndarray, code: object, count: int) -> np.ndarray:
@@ -28,15 +31,26 @@ def run_lengths(codes: np.ndarray, code: object, count: int) -> np.ndarray:
     return places - begins + 1 + np.where(begins == 0, carried, 0)
 
 
+def in_order(rows: pa.Table) -> np.ndarray:
+    """Places of the rows by (us, event_id), a missing id last; equal rows stay as they stand."""
+    ids = rows["event_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+    return np.lexsort((ids, rows["us"].to_numpy()))
+
+
 class InOrder(StatefulProcessor):
-    """Keeps rows (ts, event_id, ``columns``) until the watermark passes, then hands them on in order."""
+    """Keeps rows (ts, event_id, ``columns``) until the watermark passes, then hands them on in order.
+
+    ``handle_in_order`` gets them piece by piece and carries what it needs from one to the next in its
+    state.
+    """
 
     columns: dict[str, str] = {}
+    run_rows, chunk_rows = 200_000, 4_096
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        schema = ", ".join(["ms bigint", "us bigint", "event_id bigint", *[f"{c} {t}" for c, t in self.columns.items()]])
-        self.waiting = handle.getListState("waiting", schema)
+        self.runs = handle.getMapState("runs", "run bigint", "part int, parts int, ms bigint")
+        self.chunks = handle.getMapState("chunks", "run bigint, part int", "rows binary")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
@@ -49,33 +63,95 @@ class InOrder(StatefulProcessor):
         """What the passing of time alone brings about."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, first = timerValues.getCurrentWatermarkInMs(), None
+        mark, run, held, size = timerValues.getCurrentWatermarkInMs(), None, [], 0
+        first = 1 << 62
         for frame in rows:
             us = frame["ts"].dt.as_unit("us").astype("int64").to_numpy()
             keep = us // 1000 > mark
             if keep.any():
-                us, part = us[keep], frame[keep]
-                values = [part[c].tolist() for c in ("event_id", *self.columns)]
-                self.waiting.appendList(list(zip((us // 1000).tolist(), us.tolist(), *values)))
-                first = min(int(us.min()) // 1000, first if first is not None else 1 << 62)
-        if first is not None:
+                part = frame[keep]
+                held.append(pa.table({"us": us[keep], "event_id": pa.array(part["event_id"], pa.int64(), from_pandas=True),
+                                      **{c: pa.array(part[c], ARROW[t], from_pandas=True) for c, t in self.columns.items()}}))
+                size += len(part)
+            if size >= self.run_rows:
+                run, ms = self._keep(held, run)
+                first, held, size = min(first, ms), [], 0
+        if held:
+            run, ms = self._keep(held, run)
+            first = min(first, ms)
+        if run is not None:
             self.handle.registerTimer(first)
         return iter(())
 
+    def _keep(self, held: list[pa.Table], before: int | None) -> tuple[int, int]:
+        """Store the rows as the run after ``before``; its number and its first time."""
+        run = 1 + (max((k[0] for k in self.runs.keys()), default=-1) if before is None else before)
+        rows = pa.concat_tables(held)
+        rows = rows.take(in_order(rows))
+        starts = range(0, len(rows), self.chunk_rows)
+        for part, start in enumerate(starts):
+            self._put(run, part, rows.slice(start, self.chunk_rows))
+        ms = rows["us"][0].as_py() // 1000
+        self.runs.updateValue((run,), (0, len(starts), ms))
+        return run, ms
+
+    def _put(self, run: int, part: int, rows: pa.Table) -> None:
+        to = pa.BufferOutputStream()
+        with pa.ipc.new_stream(to, rows.schema) as stream:
+            stream.write_table(rows)
+        self.chunks.updateValue((run, part), (to.getvalue().to_pybytes(),))
+
+    def _next(self, run: int, part: int, parts: int, mark: int) -> tuple[pa.Table, bool]:
+        """Take the rows of a chunk that the watermark has passed out of the state; is there more of the run?"""
+        rows = pa.ipc.open_stream(bytes(self.chunks.getValue((run, part))[0])).read_all()
+        us = rows["us"].to_numpy()
+        ready = int(np.searchsorted(us, (mark + 1) * 1000))
+        if ready < len(us):
+            if ready:
+                self._put(run, part, rows.slice(ready))
+            self.runs.updateValue((run,), (part, parts, int(us[ready]) // 1000))
+            return rows.slice(0, ready), False
+        self.chunks.removeKey((run, part))
+        if part + 1 == parts:
+            self.runs.removeKey((run,))
+        return rows, part + 1 < parts
+
+    def _merged(self, mark: int) -> Iterator[pd.DataFrame]:
+        """The rows that the watermark has passed, in order; equal rows in the order of their arrival."""
+        passed = sorted((k[0], *v) for k, v in self.runs.iterator() if v[2] <= mark)
+        runs = [(run, parts) for run, _, parts, _ in passed]
+        part = [p for _, p, _, _ in passed]
+        more, loaded = [True] * len(runs), [None] * len(runs)
+        while True:
+            for i, (run, parts) in enumerate(runs):
+                while more[i] and (loaded[i] is None or len(loaded[i]) < self.chunk_rows):
+                    rows, more[i] = self._next(run, part[i], parts, mark)
+                    part[i] += 1
+                    loaded[i] = pa.concat_tables([loaded[i], rows]) if loaded[i] else rows
+            sizes = np.array([len(x) for x in loaded], int)
+            if not sizes.sum():
+                return
+            rows, ends = pa.concat_tables(loaded), np.cumsum(sizes)
+            order = in_order(rows)
+            place = np.empty(len(order), int)
+            place[order] = np.arange(len(order))
+            # what a run has yet to bring comes after the last of its loaded rows
+            cut = min((place[end - 1] + 1 for end, m in zip(ends, more) if m), default=len(order))
+            frame = rows.take(order[:cut]).to_pandas()
+            frame.insert(0, "ms", frame["us"] // 1000)
+            yield frame
+            done = np.bincount(np.searchsorted(ends, order[:cut], side="right"), minlength=len(runs))
+            loaded = [x.slice(n) for x, n in zip(loaded, done.tolist())]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= mark else later).append(tuple(row))
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self.handle.registerTimer(min(r[0] for r in later))
-        if ready:
-            frame = pd.DataFrame(ready, columns=["ms", "us", "event_id", *self.columns]).sort_values(["us", "event_id"], kind="stable")
+        for frame in self._merged(mark):
             out = self.handle_in_order(key, frame)
             if out is not None and len(out):
                 yield out
+        later = min((v[2] for v in self.runs.values()), default=None)
+        if later is not None:
+            self.handle.registerTimer(later)
         out = self.handle_time(key, mark)
         if out is not None and len(out):
             yield out
@@ -106,7 +182,10 @@ class MissStreak(InOrder):
 
 
 class RunningMean(InOrder):
-    """Exponential mean per key; the state is the last mean."""
+    """Exponential mean per key; the state is the last mean and its weight.
+
+    The weight falls with every missing price since the last known one, as in pandas.
+    """
 
     columns = {"price": "double"}
 
@@ -114,14 +193,27 @@ class RunningMean(InOrder):
         self.alpha = alpha
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("mean", "value double")
+        self.state = handle.getValueState("mean", "value double, weight double")
 
     def handle_in_order(self, key, frame: pd.DataFrame) -> pd.DataFrame | None:
-        carried = [self.state.get()[0]] if self.state.exists() else []
-        series = pd.Series([*carried, *frame["price"]])
-        mean = series.ewm(alpha=self.alpha, adjust=False).mean().iloc[len(carried):]
-        self.state.update((float(mean.iloc[-1]),))
-        return pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].to_numpy(), "ema": mean.to_numpy()})
+        price = frame["price"].to_numpy(float)
+        known = np.flatnonzero(~np.isnan(price))
+        before, weight = self.state.get() if self.state.exists() else (None, 1.0)
+        if before is None or np.isnan(before):
+            mean = self._mean(price)
+        elif len(known):
+            at = known[0]
+            weight *= (1 - self.alpha) ** (at + 1)
+            start = before if before == price[at] else (weight * before + self.alpha * price[at]) / (weight + self.alpha)
+            mean = np.concatenate([np.full(at, before), self._mean(np.concatenate([[start], price[at + 1:]]))])
+        else:
+            mean = np.full(len(price), before)
+        fade = (1 - self.alpha) ** (len(price) - 1 - known[-1]) if len(known) else weight * (1 - self.alpha) ** len(price)
+        self.state.update((float(mean[-1]), float(fade)))
+        return pd.DataFrame({"sym": key[0], "event_id": frame["event_id"].to_numpy(), "ema": mean})
+
+    def _mean(self, price: np.ndarray) -> np.ndarray:
+        return pd.Series(price).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
 
 
 class DirectionStreak(InOrder):

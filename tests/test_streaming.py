@@ -1,7 +1,9 @@
 """Streams continue where they stopped and equal the batch result."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -107,6 +109,75 @@ def test_late_rows_are_dropped_and_disorder_is_mended(spark):
     assert all(abs(got[i] - want[i]) < 1e-12 for i in got)
 
 
+class Kept(dict):
+    """A map state, a value state and a handle in memory."""
+
+    getValue, iterator, removeKey, updateValue = dict.get, lambda self: iter(list(self.items())), dict.__delitem__, dict.__setitem__
+    exists, update = dict.__len__, lambda self, v: self.__setitem__((), v)
+    getMapState = getValueState = lambda self, name, *schemas: self.setdefault(name, Kept())
+    registerTimer = lambda self, ms: self.__setitem__("timer", ms)
+
+    def get(self):
+        return self[()]
+
+    def __eq__(self, other):
+        return self is other
+
+
+def times(ms):
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+
+def test_a_step_of_the_watermark_is_handled_in_bounded_pieces():
+    """Whatever a step releases for a key, few rows are in memory; order and arrival order of equal rows hold."""
+    handle, mean = Kept(), stateful.RunningMean(0.3)
+    mean.run_rows, mean.chunk_rows = 500, 20
+    mean.init(handle)
+    pieces, by = [], mean.handle_in_order
+    mean.handle_in_order = lambda key, frame: (pieces.append(frame), by(key, frame))[1]
+    rng = np.random.default_rng(1)
+    base = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({"ts": base + pd.to_timedelta(rng.integers(0, 900, 5000), "s"), "event_id": rng.integers(0, 40, 5000),
+                         "price": np.where(rng.random(5000) < 0.2, np.nan, rng.random(5000))})
+    got = []
+    for part, mark in ((rows[:3000], 300), (rows[3000:], 600)):
+        part = part[part["ts"] > base + pd.Timedelta(seconds=mark - 300)] if mark > 300 else part
+        mean.handleInputRows(("a",), (part[i:i + 70] for i in range(0, len(part), 70)),
+                             times(0 if mark == 300 else int(base.value // 10**6) + 300_000))
+        got += list(mean.handleExpiredTimer(("a",), times(int(base.value // 10**6) + mark * 1000), None))
+        assert handle["timer"] > int(base.value // 10**6) + mark * 1000
+    early = rows["ts"] <= base + pd.Timedelta(seconds=300)
+    want = rows[(rows["ts"] <= base + pd.Timedelta(seconds=600)) & ~(early & (rows.index >= 3000))]
+    want = want.sort_values(["ts", "event_id"], kind="stable")
+    got = pd.concat(got, ignore_index=True)
+    assert list(got["event_id"]) == list(want["event_id"])
+    assert np.allclose(got["ema"], want["price"].ewm(alpha=0.3, adjust=False).mean(), rtol=0, atol=1e-12, equal_nan=True)
+    assert max(map(len, pieces)) <= 2 * 20 * 11 and max(len(x) for x, in handle["chunks"].values()) < 4_000
+    list(mean.handleExpiredTimer(("a",), times(1 << 50), None))
+    assert not handle["chunks"] and not handle["runs"] and sum(map(len, pieces)) == len(want) + (rows["ts"] > base + pd.Timedelta(seconds=600)).sum()
+
+
+def test_runs_of_a_stream_merge(spark):
+    """Runs of a few rows, several batches, missing prices: the figures of one pass over the whole."""
+    folder, out, state = (new_path(spark, x) for x in ("ticks", "ema", "ema-state"))
+    base, rng = dt.datetime(2024, 1, 1), np.random.default_rng(3)
+    rows = [(i, base + dt.timedelta(seconds=int(s)), 0, "ab"[i % 2], None if i % 9 == 0 else float(i % 31), None)
+            for i, s in enumerate(rng.integers(0, 86_400, 3000))]
+    cut = [r for r in rows if r[1].hour < 12], [r for r in rows if r[1].hour >= 12]
+    for part in cut:
+        write(spark, folder, part, 3)
+        mean = stateful.RunningMean(0.3)
+        mean.run_rows, mean.chunk_rows = 100, 9
+        stream = runner.ticks(runner.event_stream(spark, folder))
+        got = runner.to_table(stateful._run(stream, "sym", mean, "sym string, event_id bigint, ema double", "1 hour"), "ema", state, out)
+    got = got.toPandas().set_index("event_id")["ema"]
+    frame = pd.DataFrame(rows, columns=["event_id", "ts", "u", "sym", "price", "p"]).sort_values(["ts", "event_id"])
+    want = frame.groupby("sym")["price"].transform(lambda s: s.ewm(alpha=0.3, adjust=False).mean())
+    passed = frame[frame["ts"] <= frame["ts"].max() - pd.Timedelta(hours=1)].index
+    assert sorted(got.index) == sorted(passed)
+    assert np.allclose(got.sort_index(), want[sorted(passed)], rtol=0, atol=1e-12, equal_nan=True)
+
+
 @pytest.mark.parametrize("name", ["STR-1_each_bar_once", "STR-2_ticks_to_bars", "STR-3_session_vwap", "STR-3_direction_streak",
                                   "STR-4_miss_streak_flip", "STR-5_prediction_outcomes", "STR-6_position_monitor",
                                   "STR-7_streaming_ewm", "STR-8_ranking_refresh"])
