@@ -123,18 +123,40 @@ def rank_pct(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] =
     return df.join(_split_ranks(df, ranks, by, ["_row"], range_cells), "_row", "left").drop("_row")
 
 
+def _long(rows: DataFrame, ranks: Mapping[str, str], by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, by, _name, _v): one row per known value of a ranked column."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_name"), c(x).cast("double").alias("_v"))
+                      for i, x in enumerate(ranks.values())])
+    extra = [b for b in by if b not in keys]
+    return rows.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
+
+
+def _wide(long: DataFrame, ranks: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
+    return long.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == i, F.col("_pct"))).alias(out) for i, out in enumerate(ranks)])
+
+
 def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
                  keys: Sequence[str], range_cells: int) -> DataFrame:
     """(keys, ranks) of checkpointed rows; all ranked columns share one set of shuffles."""
-    pairs = F.array(*[F.struct(F.lit(out).alias("_name"), c(x).cast("double").alias("_v"))
-                      for out, x in ranks.items()])
-    extra = [b for b in by if b not in keys]
-    long = stable.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
+    long = _long(stable, ranks, by, keys)
     counts = _value_counts(long, [*by, "_name"], "_v", range_cells)
     ranked = same(long, counts, [*by, "_name", "_v"]).withColumn(
         "_pct", _pct(F.col("ties_below"), F.col("ties"), F.col("ties_total")))
-    return ranked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == out, F.col("_pct"))).alias(out) for out in ranks])
+    return _wide(ranked, ranks, keys)
+
+
+def narrow_ranks(rows: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str],
+                 keys: Sequence[str]) -> DataFrame:
+    """(keys, ranks) as of ``rank_pct`` with a bound, for rows that ``keys`` tell apart.
+
+    A ranked column of a group is sorted by itself, as (keys, value), so a task holds neither the
+    other columns of the rows nor a sort for every ranked column.  Rows without any value are left out.
+    """
+    by = _list(by)
+    ranked = _long(rows, ranks, by, keys).withColumn("_pct", peers("_v", [*by, "_name"]))
+    narrow = ranked.select(*keys, "_name", "_pct").repartition(*keys)  # before the sums, which have all columns
+    return _wide(narrow, ranks, keys)
 
 
 def ordinal(df: DataFrame, score: str, by: str | Sequence[str] = "date", tie: str = "sym",

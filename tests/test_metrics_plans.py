@@ -100,6 +100,30 @@ def test_no_cross_join_and_no_single_task_in_feature_plans(panel):
         assert bad not in split
 
 
+def test_many_names_are_ranked_apart_from_their_rows(spark, panel):
+    """The narrow factor table has the rows of the wide one, repeated and missing keys too, and sorts no whole rows by date."""
+    odd = panel.where("sym < 'CCC.NS'").limit(40).unionByName(panel.limit(9).withColumn("close", F.lit(None).cast("double")))
+    rows = panel.unionByName(odd).unionByName(panel.limit(30).withColumn("date", F.lit(None).cast("date")))
+    bench = panel.groupBy("date").agg(F.avg("close").alias("bench"))
+    fund = panel.groupBy("sym").agg(F.lit(D(2021, 12, 31)).alias("fy_end"), F.lit(D(2022, 3, 31)).alias("avail_date"),
+                                    F.lit(1.0).alias("eps"), F.lit(0.1).alias("roe"), F.lit(0.2).alias("earn_growth"),
+                                    F.lit(0.3).alias("profit_margin"))
+    features = factors.stored(rows, "odd")
+    wide = factors.factor_table(features, bench, fund, horizon=10, bound=6)
+    table = factors.factor_table(features, bench, fund, horizon=10, bound=6, narrow=True)
+    assert table.columns == wide.columns and table.count() == wide.count()
+    ranks = [x for x in wide.columns if x.startswith(("rank_", "score_"))]
+    keys = F.coalesce("date", F.lit(D(1970, 1, 1))).alias("date")
+    both = [sorted(map(repr, df.where("rank_deliv_pct IS NOT NULL").select("sym", keys, "deliv_pct", "rank_deliv_pct").collect()))
+            for df in (wide, table)]
+    assert both[0] and both[0] == both[1]
+    plain = [sorted(map(repr, factors.factor_table(panel, bench, fund, horizon=10, bound=6, narrow=n).select("sym", "date", *ranks)
+                        .collect())) for n in (False, True)]
+    assert plain[0] == plain[1]
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(wide) >= 13 and windows(table) <= 3
+
+
 def test_top_k_is_cut_before_the_shuffle(panel):
     assert "WindowGroupLimit" in plan_of(xs.top_k(panel, "close", 3))
 
