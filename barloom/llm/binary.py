@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, utf8, worker_cache
+from .arrow import slices, worker_cache
 from .packing import part_bases
 from .store import stored
-from .tokenids import PieceEncoder
+from .tokenids import BATCH_BYTES, PieceEncoder
 
 ROUNDS = 6
 #: Bytes of payload that one range of slots (one task) writes.
@@ -67,8 +67,8 @@ def token_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int) -
         width = encoder.kind.itemsize
         end = np.array([end_id], encoder.kind).tobytes()
         part, row = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids = [x + end for x in encoder.encode([t.decode() for t in utf8(batch.column("text"))])]
+        for batch in slices(batches, budget=BATCH_BYTES):
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             cuts = [range(0, len(x), length * width) for x in ids]
             flat = [x[a:a + length * width] for x, some in zip(ids, cuts) for a in some]
             source = np.repeat(np.arange(len(ids)), [len(some) for some in cuts])

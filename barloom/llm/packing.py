@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, utf8, worker_cache
+from .arrow import slices, worker_cache
 from .store import stored
-from .tokenids import PieceEncoder
+from .tokenids import BATCH_BYTES, PieceEncoder
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -32,8 +32,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder = worker_cache(f"pieces-{tokenizer}", lambda: PieceEncoder(tokenizer))
         end = np.array([end_id], encoder.kind).tobytes()
         part, start = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids = [x + end for x in encoder.encode([t.decode() for t in utf8(batch.column("text"))])]
+        for batch in slices(batches, budget=BATCH_BYTES):
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             sizes = np.array([len(x) // encoder.kind.itemsize for x in ids], np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
