@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from .arrow import ByteCache
 
 #: Bytes of the pieces that a worker process keeps.
-PIECE_BYTES = 96 << 20
+PIECE_BYTES = 128 << 20
 LONG_PIECE = 48
 #: Bytes of texts to encode at once: the more, the fewer pieces come up in several batches.
 BATCH_BYTES = 8 << 20
@@ -58,17 +58,16 @@ def byte_kinds(marks: list[str]) -> np.ndarray:
     return kinds
 
 
-def cut_rules() -> tuple[np.ndarray, np.ndarray]:
-    """By 8 * kind of a byte + kind of the next: whether to cut before the two, and between them."""
-    before, between = np.zeros((8, 8), bool), np.zeros((8, 8), bool)
+def cut_rules() -> np.ndarray:
+    """By 8 * kind of a byte + kind of the next: 1 to cut before the two, 2 between them, 3 for both."""
+    rules = np.zeros((32, 8), np.uint8)
     for solid in (LETTER, SIGN, SOLID):
-        before[[SPACE, BREAK], solid] = True
-        between[BREAK, solid] = True
+        rules[SPACE, solid], rules[BREAK, solid] = 1, 3
     # a byte from 80 on may end a white space, so only ASCII parts from white space behind it
     for solid in (LETTER, SIGN):
-        between[solid, [SPACE, BREAK]] = True
-    between[LETTER, SIGN] = between[SIGN, LETTER] = True
-    return before.ravel(), between.ravel()
+        rules[solid, [SPACE, BREAK]] = 2
+    rules[LETTER, SIGN] = rules[SIGN, LETTER] = 2
+    return rules.ravel()
 
 
 class PieceEncoder:
@@ -87,8 +86,7 @@ class PieceEncoder:
         self.cuts = (first.get("type") == "ByteLevel" and first.get("use_regex") is True
                      and not first.get("add_prefix_space") and not spec.get("normalizer")
                      and not any(re.search(r"\s|^\w*$", t) for t in marks) and not any(t.get("lstrip") or t.get("rstrip") for t in added))
-        self.kinds = byte_kinds(marks)
-        self.before, self.between = cut_rules()
+        self.kinds, self.rules = byte_kinds(marks).tobytes(), cut_rules().tobytes()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.bpe = self.model.model
         self.packed = [x.tobytes() for x in np.arange(self.model.get_vocab_size(True)).astype(self.kind)]
@@ -108,7 +106,7 @@ class PieceEncoder:
         ids = self.kept.get(piece)
         if ids is None:
             bare = piece[1:] if piece[0] == " " else piece
-            if bare.isascii() and bare.isalpha():
+            if bare.isalpha() and bare.isascii():
                 ids = self._word(piece)
             elif simple := WORD_AND_SIGNS.fullmatch(bare):
                 n = len(piece) - len(simple[2])
@@ -119,14 +117,15 @@ class PieceEncoder:
                 self.kept.put(piece, ids)
         return ids
 
-    def _cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _cuts(self, data: bytes, starts: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts that begin at ``starts`` begin in ``data``, and its end."""
-        kinds = self.kinds[data]
+        kinds = np.frombuffer(data.translate(self.kinds), np.uint8)
         pairs = kinds[:-1] * np.uint8(8) + kinds[1:]
         pairs[starts[(starts > 0) & (starts < len(data))] - 1] = 0  # of two texts
+        rules = np.frombuffer(pairs.tobytes().translate(self.rules), np.uint8)
         cut = np.zeros(len(data) + 1, bool)
-        cut[:-2] = self.before[pairs]
-        cut[1:-1] |= self.between[pairs]
+        cut[:-2] = rules & 1
+        cut[1:-1] |= rules > 1
         cut[starts] = cut[-1] = True
         return np.flatnonzero(cut)
 
@@ -141,7 +140,7 @@ class PieceEncoder:
             return [b""] * len(column)
         data = data.slice(ends[0], ends[-1] - ends[0])
         ends = ends - ends[0]
-        cuts = self._cuts(np.frombuffer(data, np.uint8), ends)
+        cuts = self._cuts(data.to_pybytes(), ends)
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), data).dictionary_encode()
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.kept.young.get, distinct))
