@@ -10,10 +10,14 @@ with missing scores, repeated keys and NaN too; only the caller chooses between
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import c, ratio
 from ..session import materialise
@@ -123,40 +127,78 @@ def rank_pct(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] =
     return df.join(_split_ranks(df, ranks, by, ["_row"], range_cells), "_row", "left").drop("_row")
 
 
-def _long(rows: DataFrame, ranks: Mapping[str, str], by: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, by, _name, _v): one row per known value of a ranked column."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("_name"), c(x).cast("double").alias("_v"))
-                      for i, x in enumerate(ranks.values())])
-    extra = [b for b in by if b not in keys]
-    return rows.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
-
-
-def _wide(long: DataFrame, ranks: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
-    return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == i, F.col("_pct"))).alias(out) for i, out in enumerate(ranks)])
-
-
 def _split_ranks(stable: DataFrame, ranks: Mapping[str, str], by: Sequence[str],
                  keys: Sequence[str], range_cells: int) -> DataFrame:
     """(keys, ranks) of checkpointed rows; all ranked columns share one set of shuffles."""
-    long = _long(stable, ranks, by, keys)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_name"), c(x).cast("double").alias("_v"))
+                      for i, x in enumerate(ranks.values())])
+    extra = [b for b in by if b not in keys]
+    long = stable.select(*keys, *extra, F.inline(pairs)).where(F.col("_v").isNotNull())
     counts = _value_counts(long, [*by, "_name"], "_v", range_cells)
     ranked = same(long, counts, [*by, "_name", "_v"]).withColumn(
         "_pct", _pct(F.col("ties_below"), F.col("ties"), F.col("ties_total")))
-    return _wide(ranked, ranks, keys)
+    return ranked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == i, F.col("_pct"))).alias(out) for i, out in enumerate(ranks)])
+
+
+Composites = Mapping[str, tuple[Callable, Sequence[str]]]
 
 
-def narrow_ranks(rows: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str],
-                 keys: Sequence[str]) -> DataFrame:
-    """(keys, ranks) as of ``rank_pct`` with a bound, for rows that ``keys`` tell apart.
+def narrow_ranks(df: DataFrame, ranks: Mapping[str, str], by: str | Sequence[str] = "date",
+                 composites: Composites | None = None) -> DataFrame:
+    """The ranks of ``rank_pct`` with a bound, the composites and the ranks of these, ``rank_<composite>``.
 
-    A ranked column of a group is sorted by itself, as (keys, value), so a task holds neither the
-    other columns of the rows nor a sort for every ranked column.  Rows without any value are left out.
+    ``composites`` is ``{name: (formula, rank columns)}``; a value is rounded to ``TIE_DIGITS``.  Every row
+    moves once, to its group, and a group is ranked column by column as plain numbers in one task, so
+    neither the ranked columns nor the composites are sorted or written along with whole rows.  The bound
+    states what such a task holds: about 25 numbers for each row of a group.
     """
-    by = _list(by)
-    ranked = _long(rows, ranks, by, keys).withColumn("_pct", peers("_v", [*by, "_name"]))
-    narrow = ranked.select(*keys, "_name", "_pct").repartition(*keys)  # before the sums, which have all columns
-    return _wide(narrow, ranks, keys)
+    composites = composites or {}
+    out = [*ranks, *composites, *[f"rank_{name}" for name in composites]]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in out]])
+
+    def ranked(rows: pa.Table) -> pa.Table:
+        found = {name: _percentiles(*_numbers(rows[x])) for name, x in ranks.items()}
+        for name, (formula, inputs) in composites.items():
+            found[name] = half_up(formula(*[found[x] for x in inputs]), TIE_DIGITS)
+        for name in composites:
+            found[f"rank_{name}"] = _percentiles(found[name], ~np.isnan(found[name]))
+        for name in out:
+            rows = rows.append_column(name, pa.array(found[name], from_pandas=True))
+        return rows
+
+    return df.groupBy(*_list(by)).applyInArrow(ranked, schema)
+
+
+def _numbers(x: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and where they are known; NaN is a value."""
+    return x.cast(pa.float64(), safe=False).to_numpy(), x.is_valid().to_numpy()
+
+
+def _percentiles(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``peers`` of one group, NaN where nothing is known: NaN is the largest value, 0.0 is -0.0."""
+    out, x = np.full(len(values), np.nan), values[known]
+    if len(x):
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        new = np.append(True, (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1])))
+        smaller = np.flatnonzero(new)
+        ties = np.diff(np.append(smaller, len(x)))
+        out[np.flatnonzero(known)[order]] = np.repeat(_pct(smaller, ties, len(x)), ties)
+    return out
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """``F.round`` of numbers, to at most 12 digits; NaN stays."""
+    size, scale = np.abs(x), 10.0 ** digits
+    with np.errstate(invalid="ignore"):
+        scaled = size * scale
+        out = np.copysign(np.floor(scaled + 0.5) / scale, x)
+        # where the product is too coarse to tell, the decimal form of the number decides
+        near = np.abs(scaled - np.floor(scaled) - 0.5) < 0.001 * max(1.0, np.fmax.reduce(size, initial=0.0))
+    unit = Decimal(1).scaleb(-digits)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) for v in x[near].tolist()]
+    return out + 0.0  # no negative zero
 
 
 def ordinal(df: DataFrame, score: str, by: str | Sequence[str] = "date", tie: str = "sym",
@@ -283,15 +325,29 @@ def zscore(df: DataFrame, columns: Sequence[str], by: str = "date", bound: int |
     return scored.drop(*[f"_{n}_{x}" for x in columns for n in ("mu", "sd", "lo", "hi")])
 
 
+def mean_mr(mom, rev):
+    """Momentum plus reversal, of columns or numbers."""
+    return (mom + rev) / 2
+
+
+def mean_fund3(rev, flow, value):
+    """Reversal, inverted delivery flow and earnings yield, of columns or numbers."""
+    return (rev + (1 - flow) + value) / 3
+
+
+#: The composites as ``narrow_ranks`` takes them.
+COMPOSITES: Composites = {"score_mr": (mean_mr, ("rank_mom_12_1", "rank_rev")),
+                          "score_fund3": (mean_fund3, ("rank_rev", "rank_deliv_x_ret", "rank_earn_yield"))}
+
+
 def composite_mr(mom: str = "rank_mom_12_1", rev: str = "rank_rev") -> Column:
-    """Momentum plus reversal; rounded so that equal rank sums tie exactly."""
-    return F.round((c(mom) + c(rev)) / 2, TIE_DIGITS)
+    """Rounded so that equal rank sums tie exactly."""
+    return F.round(mean_mr(c(mom), c(rev)), TIE_DIGITS)
 
 
 def composite_fund3(rev: str = "rank_rev", flow: str = "rank_deliv_x_ret",
                     value: str = "rank_earn_yield") -> Column:
-    """Reversal, inverted delivery flow and earnings yield."""
-    return F.round((c(rev) + (1 - c(flow)) + c(value)) / 3, TIE_DIGITS)
+    return F.round(mean_fund3(c(rev), c(flow), c(value)), TIE_DIGITS)
 
 
 def correlation(x: str, y: str) -> Column:

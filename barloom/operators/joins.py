@@ -1,6 +1,6 @@
 """Join operators: benchmark alignment, point-in-time fundamentals, lookups, date sampling.
 
-No side is forced to broadcast: the calendar-sized tables are small, Spark checks their size at run
+No side is forced to broadcast here: the calendar-sized tables are small, Spark checks their size at run
 time and falls back to a shuffled join beyond the threshold.
 """
 
@@ -69,9 +69,9 @@ def attach_fundamentals(daily: DataFrame, fund: DataFrame, load_order: str = "fy
     rows = daily.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(seq).alias("_seq"),
                         F.lit(None).cast(info).alias("_info"))
     stacked = rows.unionByName(published)
-    order = (Window.partitionBy("sym").orderBy("date", "_kind", "_seq")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = Window.partitionBy("sym")
+    ordered = Window.partitionBy("sym").orderBy("date", "_kind", "_seq")
+    order = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one window for both
     carried = (stacked.withColumn("_asof", F.last("_info", ignorenulls=True).over(order))
                .withColumn("_any", F.min("_kind").over(whole))
                .where((F.col("_kind") == 1) & (F.col("_any") == 0)))

@@ -6,12 +6,16 @@ the partitioning or a task retry; ratios turn to double only after the sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 
 REPORT_LAG_DAYS = 90
+PIECE_ROWS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +77,46 @@ def bars_from_daily(daily: DataFrame, unit: str = "week") -> DataFrame:
     )
 
 
+def closes_from_lines(items: DataFrame, key: str, unit: str = "week") -> DataFrame:
+    """(sym, date, close, volume, deliv_pct) as of ``bars_from_lines``, for symbols ``key``.
+
+    These columns need no sums of days.  Each task sums its lines to periods, in pieces, before they move
+    once to their symbol: a hot symbol shrinks, and what hardly repeats takes no memory for all keys of a
+    task.  The sums are so short that Spark would join many partitions to one, too many rows for the sorts
+    of the series behind; so their number is given.
+    """
+    period = F.col("day") if unit == "day" else F.trunc("day", unit)
+    names = ("cents", "qty", "final_qty")
+    rows = items.select(F.col(key).alias("sym"), period.alias("date"), *names)
+    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = rows.mapInArrow(piece_sums, rows.schema).withColumn("sym", F.col("sym").cast("string"))
+    sums = pieces.repartition(partitions, "sym").groupBy("sym", "date").agg(*[F.sum(x).alias(x) for x in names])
+    return sums.select(
+        "sym", "date", (F.col("cents") / 100.0 / F.col("qty")).alias("close"),
+        F.col("qty").cast("double").alias("volume"),
+        (100.0 * F.col("final_qty") / F.col("qty")).alias("deliv_pct"))
+
+
+def piece_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sym, date, sums) of every PIECE_ROWS rows or so of a task."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PIECE_ROWS:
+            yield from _summed(held)
+            held, n = [], 0
+    if held:
+        yield from _summed(held)
+
+
+def _summed(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    keys, sums = rows.column_names[:2], rows.column_names[2:]
+    out = rows.group_by(keys, use_threads=False).aggregate([(x, "sum") for x in sums])
+    return out.select([*keys, *[f"{x}_sum" for x in sums]]).rename_columns(rows.column_names).to_batches(PIECE_ROWS // 50)
+
+
 def brand_bars(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     return bars_from_lines(brand_lines(spark, folder), unit)
 
@@ -82,6 +126,11 @@ def supplier_bars(spark: SparkSession, folder: str, unit: str = "week") -> DataF
     return bars_from_lines(items, unit)
 
 
+def supplier_closes(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
+    """The columns of ``supplier_bars`` that need no sums of days."""
+    return closes_from_lines(lines(spark, folder), "l_suppkey", unit)
+
+
 def benchmark(spark: SparkSession, folder: str, unit: str = "week") -> DataFrame:
     """Volume-weighted price of everything per period."""
     period = F.col("day") if unit == "day" else F.trunc("day", unit)

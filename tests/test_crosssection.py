@@ -160,3 +160,33 @@ def test_both_paths_give_the_same_rows(awkward, run):
     def rows(bound):
         return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in run(awkward, bound).collect())
     assert rows(100) == rows(None) and len(rows(None)) > 2
+
+
+def test_narrow_ranks_equal_window_ranks(spark):
+    """Ties, NaN, both zeros, infinities, missing values and groups, whole numbers; composites of rounded sums too."""
+    rng = np.random.default_rng(5)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, nan, nan, 0.0, -0.0, inf, -inf, 1.0, None]
+    rows = [(None if d == 3 else d, i, odd[i % 9] if i < 27 else float(rng.integers(0, 30)) / 7,
+             None if d == 2 else float(rng.normal()), float(rng.normal()), None if i % 5 == 0 else int(rng.integers(0, 9)))
+            for d in range(4) for i in range(157)] + [(4, 0, 1.0, None, nan, None)]
+    df = spark.createDataFrame(rows, "date int, i int, a double, b double, x double, k int")
+    ranks = {"rank_a": "a", "rank_b": "b", "rank_x": "x", "rank_k": "k"}
+    formulas = {"s": (xs.mean_mr, ("rank_a", "rank_x")), "t": (xs.mean_fund3, ("rank_b", "rank_k", "rank_x"))}
+    got = xs.narrow_ranks(df, ranks, "date", formulas)
+    want = xs.rank_pct(df, ranks, bound=1000).withColumns({
+        "s": xs.composite_mr("rank_a", "rank_x"), "t": xs.composite_fund3("rank_b", "rank_k", "rank_x")})
+    want = xs.rank_pct(want, {"rank_s": "s", "rank_t": "t"}, bound=1000)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_half_up_rounds_as_spark(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random(2000), -rng.random(50), rng.integers(0, 10 ** 13, 500) / 1e13,
+                        (rng.integers(0, 10 ** 6, 200) * 10 + 5) / 1e13, [0.0, 0.5, 1.0, 4 / 3, np.nan, -1e-14]])
+    for x in (x, np.append(x, [700.25, np.inf])):
+        rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").coalesce(1)
+        for digits in (12, 6, 1):
+            want = [r[0] for r in rows.sortWithinPartitions("i").select(F.round("x", digits)).collect()]
+            assert list(map(repr, xs.half_up(x, digits).tolist())) == list(map(repr, want))

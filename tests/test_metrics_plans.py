@@ -1,11 +1,13 @@
 """Metric edge cases, context operators, running totals and plan shape."""
 
 import datetime as dt
+import glob
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import session
 from barloom.functions import windows as w
 from barloom.operators import backtest as bt
 from barloom.operators import crosssection as xs
@@ -124,6 +126,25 @@ def test_many_names_are_ranked_apart_from_their_rows(spark, panel):
     assert windows(wide) >= 13 and windows(table) <= 3
 
 
+def test_many_names_move_once_to_their_date(spark, panel):
+    """The narrow factor table stores nothing, moves rows once by date, without the columns it can build again, and keeps no row numbers."""
+    bench = panel.groupBy("date").agg(F.avg("close").alias("bench"))
+    fund = panel.groupBy("sym").agg(F.lit(D(2021, 12, 31)).alias("fy_end"), F.lit(D(2022, 3, 31)).alias("avail_date"),
+                                    F.lit(1.0).alias("eps"), F.lit(0.1).alias("roe"), F.lit(0.2).alias("earn_growth"),
+                                    F.lit(0.3).alias("profit_margin"))
+    kept = f"{session.shared_home(spark)}/barloom/factor-rows-*"
+    before = set(glob.glob(kept))
+    table = factors.factor_table(panel, bench, fund, horizon=10, bound=6, narrow=True)
+    assert set(glob.glob(kept)) == before
+    text = plan_of(table)
+    lines = text.split("\n")
+    by_date = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(date" in x and "REPARTITION_BY_COL" in x]
+    moved = lines[by_date[0] + 1]
+    assert len(by_date) == 1 and "_row" not in text and "Project" in moved
+    assert text.count("Exchange hashpartitioning(date") == 2 and "SortMergeJoin" not in text  # the rows, the benchmark's sums
+    assert not any(x in moved for x in ("rev#", "deliv_x_ret", "earn_yield")) and "deliv_chg20" in moved
+
+
 def test_top_k_is_cut_before_the_shuffle(panel):
     assert "WindowGroupLimit" in plan_of(xs.top_k(panel, "close", 3))
 

@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import quality, rows as rw
 from barloom.plans import factors as plan
 from barloom.session import new_path
-from barloom.sources import flows, raw, release, snapshots, statements, universe
+from barloom.sources import flows, raw, release, snapshots, statements, tables, universe
 
 D = dt.date
 
@@ -179,3 +180,20 @@ def test_wide_long_and_missing_columns(panel):
     wide = rw.wide(panel, "close", ["AAA.NS", "BBB.NS"])
     assert rw.long(wide, "close").count() == panel.where("sym in ('AAA.NS', 'BBB.NS')").count()
     assert rw.with_missing_columns(panel, ["close", "vix"]).select("vix").distinct().collect()[0][0] == 0.0
+
+
+def test_closes_are_those_of_the_bars(spark):
+    """Lines shrink to weeks before they move; keys, days and amounts may be missing."""
+    days = [D(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)] + [None]
+    rows = [(None if k % 17 == 0 else k % 3, days[k * 7 % 41], None if k % 13 == 0 else 100 + k, None if k % 19 == 0 else 1 + k % 9,
+             float(k), k % 4) for k in range(600)] + [(9, days[0], 5, None, 1.0, None)]
+    items = spark.createDataFrame(rows, "l_suppkey long, day date, cents long, qty long, price double, final_qty long")
+    got = tables.closes_from_lines(items, "l_suppkey")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" in plan
+    weeks = [pa.RecordBatch.from_pylist([{"sym": 1, "date": days[k % 35], "cents": 2} for k in range(1000)])] * 1200
+    pieces = list(tables.piece_sums(weeks))  # a hot symbol moves as one row a period and piece
+    assert sum(x.num_rows for x in pieces) == 3 * 35 and sum(sum(x["cents"].to_pylist()) for x in pieces) == 2_400_000
+    bars = tables.bars_from_lines(items.withColumn("sym", F.col("l_suppkey").cast("string")))
+    assert got.dtypes == bars.select(*got.columns).dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, bars.select(*got.columns).collect()))
